@@ -171,10 +171,11 @@ def _settle(listing: DataFrame, controls: int, scratch: Scratch, max_rounds: int
                 .observe(outcome, F.count_if(lost & F.col("proposed")).alias("lost"))
                 .filter(F.coalesce(~lost, F.lit(True)))
                 .select("case_number", "person_id", "rank", "proposed"))
-        settled = scratch.cut(kept, "listing")
+        path = scratch.write(kept, "listing")
+        settled = scratch.read(path, kept.schema)
         if written is not None:
             scratch.discard(written)
-        written = settled
+        written = path
         if outcome.get["lost"] == 0:
             return settled, used
         listing = settled.drop("proposed")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,30 +29,37 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/cohortspark-{uuid.uuid4().hex}"
         self._tables = 0
+        self._kept: set[str] = set()
 
     def write(self, df: DataFrame, label: str) -> str:
         """Write the rows as a new table and return its path."""
         self._tables += 1
         path = f"{self.root}/{self._tables:04d}-{label}"
         df.write.parquet(path)
+        self._kept.add(path)
         return path
 
+    def read(self, path: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path)
+
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         """The same rows, read back from a written table."""
-        return self.spark.read.schema(df.schema).parquet(self.write(df, label))
+        return self.read(self.write(df, label), df.schema)
 
-    def _path(self, path: str):
+    def _files(self, path: str):
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path, jvm_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def intact(self) -> bool:
-        """Whether every table written so far that was not discarded is still there."""
-        path, files = self._path(self.root)
-        return self._tables == 0 or files.exists(path)
-
-    def discard(self, df: DataFrame) -> None:
-        """Delete a table that ``cut`` returned and nothing reads any more."""
-        for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            if file.split(":", 1)[-1].lstrip("/").startswith(self.root.split(":", 1)[-1].lstrip("/")):
-                path, files = self._path(file)
-                files.delete(path, True)
+        """Whether every table that was written and not discarded is still there."""
+        for path in self._kept:
+            jvm_path, files = self._files(path)
+            if not files.exists(jvm_path):
+                return False
+        return True
+
+    def discard(self, path: str) -> None:
+        """Delete a table that nothing reads any more."""
+        jvm_path, files = self._files(path)
+        files.delete(jvm_path, True)
+        self._kept.discard(path)
