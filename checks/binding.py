@@ -55,8 +55,7 @@ def _measurement(orders: DataFrame) -> DataFrame:
                 "WHEN o_orderkey % 10 = 8 THEN 3016451 ELSE 3008486 END AS BIGINT) AS measurement_concept_id",
                 "CAST(o_orderdate AS DATE) AS measurement_date",
                 "CASE WHEN u = 999 THEN '<0.01' WHEN u = 998 THEN NULL "
-                "ELSE concat(CAST(CAST(floor(q / 100.0) AS BIGINT) AS STRING), '.', "
-                "lpad(CAST(q % 100 AS STRING), 2, '0'), ' uIU/mL') END AS value_source_value"))
+                "ELSE concat(CAST(q / 100.0 AS DECIMAL(20, 2)), ' uIU/mL') END AS value_source_value"))
 
 
 def _relationship(spark: SparkSession) -> DataFrame:

@@ -11,7 +11,8 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,16 @@ _Z = 1.96  # Fixed value: the normal quantile of the 95 % interval.
 _COEFFICIENTS = "estimate double, std_error double, statistic double, p_value double, converged boolean"
 
 
-def _coefficient(estimate: float, information: float, converged: bool) -> dict:
-    """One coefficient row; nothing but the flag if the model did not converge."""
-    if not converged:
-        return {"estimate": None, "std_error": None, "statistic": None, "p_value": None, "converged": False}
-    error = 1 / math.sqrt(information)
-    z = estimate / error
-    return {"estimate": estimate, "std_error": error, "statistic": z,
-            "p_value": math.erfc(abs(z) / math.sqrt(2)), "converged": True}
+def _coefficient_rule():
+    """How a fit becomes a coefficient row. Made inside a function so that it travels to the executors by value."""
+    def row(estimate: float, information: float, converged: bool) -> dict:
+        if not converged:
+            return {"estimate": None, "std_error": None, "statistic": None, "p_value": None, "converged": False}
+        error = 1 / math.sqrt(information)
+        z = estimate / error
+        return {"estimate": estimate, "std_error": error, "statistic": z,
+                "p_value": math.erfc(abs(z) / math.sqrt(2)), "converged": True}
+    return row
 
 
 def odds_ratio(estimate: Column, error: Column) -> dict[str, Column]:
@@ -39,13 +42,13 @@ def stratum_counts(df: DataFrame, variables: Sequence[str], *, outcome: str = "T
                    strata: str = "case_number") -> DataFrame:
     """Number of strata per variable, stratum size m, exposed members e and exposed case d; sets that cannot inform
     the model are left out. ``cases`` keeps the number of cases, which must be 1."""
-    case = F.col(outcome) == 1
-    sums = [F.struct(F.sum((F.col(v) == 1).cast("bigint")).alias("e"),
-                     F.sum(((F.col(v) == 1) & case).cast("bigint")).alias("d")).alias(v) for v in variables]
-    per_stratum = df.groupBy(strata).agg(F.count(F.lit(1)).alias("m"), F.count_if(case).alias("cases"), *sums)
-    tall = per_stratum.select("m", "cases", F.inline(F.array(*[
-        F.struct(F.lit(v).alias("variable"), F.col(v)["e"].alias("e"), F.col(v)["d"].alias("d")) for v in variables])))
-    return (tall.filter((F.col("cases") > 0) & (F.col("e") > 0) & (F.col("e") < F.col("m")))
+    sums = [F.expr(f"struct(sum(int({v} = 1)) AS e, sum(int({v} = 1 AND {outcome} = 1)) AS d) AS {v}")
+            for v in variables]
+    per_stratum = df.groupBy(strata).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col(outcome) == 1).alias("cases"),
+                                         *sums)
+    tall = ", ".join(f"struct('{v}' AS variable, {v}.e, {v}.d)" for v in variables)
+    return (per_stratum.selectExpr("m", "cases", f"inline(array({tall}))")
+            .filter((F.col("cases") > 0) & (F.col("e") > 0) & (F.col("e") < F.col("m")))
             .groupBy("variable", "cases", "m", "e", "d").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -61,10 +64,26 @@ def crude_odds(df: DataFrame, variables: DataFrame | Sequence[str], *, outcome:
     if candidates is not None:
         counts = counts.join(variables, "variable", "left_semi")
 
-    def newton(rows: pd.DataFrame) -> pd.DataFrame:
-        if (rows["cases"] > 1).any():
-            raise ValueError(f"a stratum of {rows['variable'].iloc[0]} holds more than one case")
-        n, m, e, d = (rows[c].to_numpy(float) for c in ("n", "m", "e", "d"))
+    newton = _newton_per_variable(max_iter, tol)
+    fits = counts.groupBy("variable").applyInArrow(newton, f"variable string, {_COEFFICIENTS}")
+    if candidates is not None:
+        listed = variables
+    else:
+        listed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in names])).alias("variable"))
+    return _finish(listed.join(fits, "variable", "left").withColumn("converged", F.coalesce("converged", F.lit(False))))
+
+
+def _newton_per_variable(max_iter: int, tol: float):
+    """Newton steps on the counts of one variable: a few dozen rows, however many strata they stand for."""
+    coefficient = _coefficient_rule()
+    schema = pa.schema([("variable", pa.string()), ("estimate", pa.float64()), ("std_error", pa.float64()),
+                        ("statistic", pa.float64()), ("p_value", pa.float64()), ("converged", pa.bool_())])
+
+    def newton(rows: pa.Table) -> pa.Table:
+        name = rows.column("variable")[0].as_py()
+        cases, n, m, e, d = (rows.column(c).to_numpy().astype(float) for c in ("cases", "n", "m", "e", "d"))
+        if (cases > 1).any():
+            raise ValueError(f"a stratum of {name} holds more than one case")
         beta, information, converged = 0.0, 0.0, False
         for _ in range(max_iter):
             odds = e * math.exp(beta)
@@ -79,14 +98,8 @@ def crude_odds(df: DataFrame, variables: DataFrame | Sequence[str], *, outcome:
             if abs(step) <= tol * max(1.0, abs(beta)):
                 converged = True
                 break
-        return pd.DataFrame([{"variable": rows["variable"].iloc[0], **_coefficient(beta, information, converged)}])
-
-    fits = counts.groupBy("variable").applyInPandas(newton, f"variable string, {_COEFFICIENTS}")
-    if candidates is not None:
-        listed = variables
-    else:
-        listed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in names])).alias("variable"))
-    return _finish(listed.join(fits, "variable", "left").withColumn("converged", F.coalesce("converged", F.lit(False))))
+        return pa.Table.from_pylist([{"variable": name, **coefficient(beta, information, converged)}], schema=schema)
+    return newton
 
 
 def _finish(fits: DataFrame) -> DataFrame:
@@ -101,7 +114,7 @@ def stratum_differences(df: DataFrame, variables: Sequence[str], *, outcome: str
 
     A stratum has the size the matching gave it; one above ``max_stratum``, or with two cases, raises an error.
     """
-    x = F.array(*[F.col(v).cast("double") for v in variables])
+    x = F.expr("array(" + ", ".join(f"double({v})" for v in variables) + ")")
     case = F.col(outcome) == 1
     rows = df.select(strata, case.alias("_case"), x.alias("_x")).filter(~F.exists("_x", F.isnull))
     sizes = rows.groupBy(strata).agg(F.count(F.lit(1)).alias("_m"), F.count_if("_case").alias("_cases"))
@@ -121,16 +134,17 @@ def stratum_differences(df: DataFrame, variables: Sequence[str], *, outcome: str
 
 def _partial_sums(p: int, beta: np.ndarray):
     """Per-partition log likelihood, score and information at ``beta``; vectorised over the strata of a batch."""
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_likelihood, score, information = 0.0, np.zeros(p), np.zeros((p, p))
         for batch in batches:
-            sets = batch["differences"].tolist()
-            if not sets:
+            if batch.num_rows == 0:
                 continue
-            n = batch["n"].to_numpy(float)
-            z = np.array([row for rows in sets for row in rows], dtype=float).reshape(-1, p)
-            first = np.concatenate([[0], np.cumsum([len(rows) for rows in sets])[:-1]]).astype(int)
-            stratum = np.repeat(np.arange(len(sets)), [len(rows) for rows in sets])
+            sets = batch.column("differences")
+            sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False)
+            z = sets.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
+            stratum = np.repeat(np.arange(len(sizes)), sizes)
             eta = z @ beta
             top = np.maximum(np.maximum.reduceat(eta, first), 0.0)   # the case itself has eta 0
             weight = np.exp(eta - top[stratum])
@@ -141,14 +155,15 @@ def _partial_sums(p: int, beta: np.ndarray):
             score -= n @ mean
             information += (z * (share * n[stratum])[:, None]).T @ z - (mean * n[:, None]).T @ mean
         values = np.concatenate([[log_likelihood], score, information.ravel()])
-        yield pd.DataFrame({"cell": np.arange(values.size), "value": values})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(values.size, dtype=np.int32)), pa.array(values)],
+                                         names=["cell", "value"])
     return sums
 
 
 def likelihood_at(sets: DataFrame, beta: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, score vector and information matrix, summed by Spark."""
     p = len(beta)
-    rows = (sets.mapInPandas(_partial_sums(p, np.asarray(beta, dtype=float)), "cell int, value double")
+    rows = (sets.mapInArrow(_partial_sums(p, np.asarray(beta, dtype=float)), "cell int, value double")
             .groupBy("cell").agg(F.sum("value").alias("value")).collect())   # 1 + p + p*p numbers
     values = np.zeros(1 + p + p * p)
     for row in rows:
@@ -197,11 +212,11 @@ def _newton(sets: DataFrame, variables: list[str], max_iter: int, tol: float) ->
             converged = True
             break
     variance = np.linalg.pinv(information[np.ix_(free, free)]) if free else np.zeros((0, 0))
-    rows = []
+    rows, coefficient = [], _coefficient_rule()
     for j, name in enumerate(variables):
         fitted = converged and j in free
         spread = float(variance[free.index(j), free.index(j)]) if fitted else 0.0
-        rows.append({"variable": name, **_coefficient(float(beta[j]), 1 / spread if fitted else 0.0, fitted)})
+        rows.append({"variable": name, **coefficient(float(beta[j]), 1 / spread if fitted else 0.0, fitted)})
     return rows
 
 

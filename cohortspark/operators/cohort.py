@@ -147,7 +147,8 @@ def select_cases(cohort: DataFrame, labs: DataFrame, scratch: Scratch, *,
              .select("person_id", "enroll_date", F.col("measurement_date").alias("indexdt"), "birth",
                      anniversary_years(F.col("birth"), F.col("measurement_date")).alias("age"),
                      "value", "gender_concept_id", F.lit(1).alias("TSH")))
-    return number_rows(cases, "person_id", "case_number", scratch)
+    # Written first: range partitioning samples its input, which would run the whole plan a second time.
+    return number_rows(scratch.cut(cases, "unnumbered"), "person_id", "case_number", scratch)
 
 
 def attrition(person: DataFrame, screened: DataFrame, cases: DataFrame, matches: DataFrame) -> DataFrame:

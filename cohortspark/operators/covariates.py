@@ -35,7 +35,7 @@ def flags(anchors: DataFrame, conditions: DataFrame, codes: DataFrame, columns:
     return (anchors.select(*KEY, "indexdt2").join(coded, "person_id")
             .filter(in_lookback(F.col("condition_start_date"), F.col("indexdt2"), days))
             .groupBy(*KEY)
-            .agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).alias(name) for c, name in columns.items()]))
+            .agg(*[F.expr(f"max(coalesce({c}, 0)) AS {name}") for c, name in columns.items()]))
 
 
 def comorbidity_flags(anchors: DataFrame, conditions: DataFrame, codes: DataFrame, **options) -> DataFrame:
@@ -46,19 +46,26 @@ def condition_flag(anchors: DataFrame, conditions: DataFrame, codes: DataFrame,
     return flags(anchors, conditions, codes, {"dis1": "cdis1"}, **options)
 
 
+def condition_flags(anchors: DataFrame, conditions: DataFrame, comorbidity_codes: DataFrame,
+                    condition_codes: DataFrame, **options) -> DataFrame:
+    """Comorbidity flags and the condition flag in one pass over the conditions."""
+    codes = comorbidity_codes.join(condition_codes, "concept_id", "full")
+    return flags(anchors, conditions, codes, {**{c: c for c in k.COMORBIDITIES}, "dis1": "cdis1"}, **options)
+
+
 def class_flags(anchors: DataFrame, drugs: DataFrame, codes: DataFrame, *,
                 classes: Sequence[str] = k.DRUG_CLASSES, days: int = k.LOOKBACK_DAYS) -> DataFrame:
     """One 0/1 flag per drug class taken in the look-back window; other classes alone give a row of zeros."""
     classed = drugs.join(codes, drugs["drug_concept_id"] == codes["concept_id"])
     taken = exposures_before(anchors.select(*KEY, "indexdt2"), classed, days=days)
-    return taken.groupBy(*KEY).agg(*[F.max(F.col("drname").eqNullSafe(name).cast("int")).alias(f"cdr{i}")
+    return taken.groupBy(*KEY).agg(*[F.expr(f"max(int(drname <=> '{name}')) AS cdr{i}")
                                      for i, name in enumerate(classes, start=1)])
 
 
 def fill_zero(df: DataFrame, prefixes: Sequence[str], names: Sequence[str] = ()) -> DataFrame:
     """Missing values replaced by 0 in the named columns and those with one of the prefixes."""
-    chosen = [c for c in df.columns if c in names or c.startswith(tuple(prefixes))]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in chosen})
+    return df.selectExpr(*[f"coalesce({c}, 0) AS {c}" if c in names or c.startswith(tuple(prefixes)) else c
+                           for c in df.columns])
 
 
 def age_group(age: Column) -> Column:
@@ -85,7 +92,7 @@ def recode_gender(gender: Column) -> Column:
 def comorbidity_score(df: DataFrame, *, weights: Mapping[str, int] = k.SCORE_WEIGHTS,
                       cuts: Sequence[int] = k.SCORE_CUTS) -> DataFrame:
     """The weighted sum of the comorbidity flags as ``CCI``, and its grade as ``CCIGR``."""
-    score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0))
+    score = F.expr(" + ".join(f"{w} * {c}" for c, w in weights.items()))
     grade = F.lit(len(cuts) + 1)
     for number, cut in reversed(list(enumerate(cuts, start=1))):
         grade = F.when(F.col("CCI") < cut, F.lit(number)).otherwise(grade)

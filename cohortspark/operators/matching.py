@@ -9,6 +9,10 @@ by the calendar, and no case is ever joined to a whole group of candidates:
 * a case with more draws from its runs, by a seeded hash, as many numbers as it is likely to need. The order in
   which new numbers come up is its random preference order.
 
+Cases of one cell (same exact columns, age and day) share their eligible controls and are served in order, so once the
+cases before one must have used them all up it cannot get any, and is left out. A control is thus listed by a number of
+cases that the bands and the list limit bound, not the data.
+
 If every control prefers the lowest case number, the stable matching of these lists equals serving the cases one by
 one, and it can be found in parallel rounds: each case proposes to its first k, each control keeps its lowest
 proposer, and every listing above that proposer is dropped. Cases whose draws ran out before they had k controls
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -28,7 +33,8 @@ from cohortspark import constants as k
 from cohortspark.storage import Scratch
 
 _LOG = logging.getLogger(__name__)
-_SALTS = 64
+_SALTS = 256
+_BLOCK_BITS = 16
 
 
 def control_pool(cohort: DataFrame, cases: DataFrame) -> DataFrame:
@@ -55,6 +61,7 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
     bands = (tuple(exact), age_band, date_band)
     cases, pool = _on_grid(cases), _on_grid(pool)
     listing = incomplete = None
+    final: list[DataFrame] = []
     rounds = 0
     for phase in range(max_rounds):
         if phase:
@@ -62,9 +69,14 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
             if active is None:
                 break
             pool = scratch.cut(_still_open(pool, listing, active, *bands), "pool")
+            # Nothing can displace the cases before the first short one; the work of a phase shrinks with them.
+            first_short = active.agg(F.min("case_number")).first()[0]
+            final.append(listing.filter(F.col("proposed") & (F.col("case_number") < first_short)))
+            listing, incomplete = (df.filter(F.col("case_number") >= first_short) for df in (listing, incomplete))
         else:
             active = cases
-        slots = scratch.cut(_slots(active, pool, *bands, seed, phase, list_limit, draws), "slots")
+        taken_by_each = 1 if phase else controls   # a short case takes at least one more
+        slots = scratch.cut(_slots(active, pool, *bands, taken_by_each, seed, phase, list_limit, draws), "slots")
         drawing = slots.filter(~F.col("complete")).select("case_number").distinct()
         if phase:
             others = incomplete.join(active.select("case_number"), "case_number", "left_anti")
@@ -80,7 +92,7 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
     else:
         raise RuntimeError(f"matching did not settle in {max_rounds} phases")
     _LOG.info("matched in %d phases and %d rounds", phase, rounds)
-    return listing.filter("proposed").select("case_number", "person_id")
+    return reduce(DataFrame.unionByName, final, listing.filter("proposed")).select("case_number", "person_id")
 
 
 def _on_grid(people: DataFrame) -> DataFrame:
@@ -128,8 +140,26 @@ def _positions(pool: DataFrame, exact: Sequence[str]) -> DataFrame:
             .select(*exact, F.col("age").alias("strip"), (F.col("start") + rank - 1).alias("position"), "person_id"))
 
 
-def _slots(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: int, date_band: int, seed: int,
-           phase: int, list_limit: int, draws: int) -> DataFrame:
+def _served(cases: DataFrame, runs: DataFrame, exact: Sequence[str], taken_by_each: int) -> DataFrame:
+    """Cases with the runs of their cell, without those that come after the cell's controls are used up.
+
+    Cases are ranked in their cell by blocks of consecutive numbers, so a cell that holds a large share of all cases
+    is ranked by many tasks, and blocks too far back are dropped before their cases are read.
+    """
+    cell = [*exact, "age", "day"]
+    places = cases.select("case_number", *cell, F.shiftright("case_number", _BLOCK_BITS).alias("block"))
+    earlier = Window.partitionBy(*cell).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (places.groupBy(*cell, "block").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+              .join(runs, cell).filter(F.col("ahead") * taken_by_each < F.col("total")))
+    in_block = F.row_number().over(Window.partitionBy(*cell, "block").orderBy("case_number"))
+    return (places.join(blocks, [*cell, "block"])
+            .withColumn("ahead", F.col("ahead") + in_block - 1)
+            .filter(F.col("ahead") * taken_by_each < F.col("total")))
+
+
+def _slots(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: int, date_band: int, taken_by_each: int,
+           seed: int, phase: int, list_limit: int, draws: int) -> DataFrame:
     """The control numbers each case lists: all of them, or distinct random draws in the order they come up."""
     runs = _runs(cases, _cells(pool, exact), exact, age_band, date_band)
     complete = F.col("total") <= list_limit
@@ -139,7 +169,7 @@ def _slots(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: in
     numbers = F.when(complete, F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).otherwise(
         F.array_distinct(draw))
     run = F.filter("runs", lambda r: (r["first"] <= F.col("number")) & (F.col("number") < r["first"] + r["size"]))
-    return (cases.join(runs, [*exact, "age", "day"])
+    return (_served(cases, runs, exact, taken_by_each)
             .select("case_number", *exact, complete.alias("complete"), "runs", F.posexplode(numbers).alias("turn", "number"))
             .withColumn("run", F.element_at(run, 1))
             .select("case_number", *exact, "complete", "turn", F.col("run")["strip"].alias("strip"),

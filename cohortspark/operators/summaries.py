@@ -16,7 +16,7 @@ from cohortspark.operators.relational import first_event, group_extreme, mean_an
 def frequency_table(df: DataFrame, *, outcome: str = "TSH",
                     variables: Sequence[str] = k.TABLE_VARIABLES) -> DataFrame:
     """Every variable's levels against the outcome: counts and shares, empty cells as 0, missing levels dropped."""
-    wide = df.select(outcome, *[F.col(c).cast("string").alias(c) for c in variables])
+    wide = df.selectExpr(outcome, *[f"string({c}) AS {c}" for c in variables])
     counts = (wide.unpivot(outcome, list(variables), "variable", "value").filter(F.col("value").isNotNull())
               .groupBy("variable", "value")
               .agg(F.count_if(F.col(outcome) == 0).alias("control"), F.count_if(F.col(outcome) == 1).alias("patient")))

@@ -16,7 +16,7 @@ MODEL_CANDIDATES = tuple(v for v in k.TABLE_VARIABLES if v not in (*k.NOT_MODELL
 
 
 class Study:
-    """Stages of the study. Each is lazy; the four that later stages share are written once to the scratch folder."""
+    """Stages of the study. Each is lazy; those that several later stages read are written once to the scratch folder."""
 
     def __init__(self, spark: SparkSession, tables: ClinicalTables, codes: CodeLists, *, seed: int = 42,
                  procedure_column: str = "procedure_source_value",
@@ -27,7 +27,8 @@ class Study:
 
     @cached_property
     def labs(self) -> DataFrame:
-        return cohort.numeric_lab(self.tables.measurement, self.codes.lab)
+        """Parsed once, for the screening, the case selection and the follow-up."""
+        return self.scratch.cut(cohort.numeric_lab(self.tables.measurement, self.codes.lab), "labs")
 
     @cached_property
     def screened(self) -> DataFrame:
@@ -73,12 +74,11 @@ class Study:
     def analysis(self) -> DataFrame:
         """One row per person and case, with every covariate, gender still as a concept."""
         exposures = self.scratch.cut(self.exposures, "exposures")
-        conditions, people = self.tables.condition_occurrence, self.case_control
         table = covariates.analysis_table(
-            people, exposure.recency_class(exposures), exposure.continuous_use(exposures),
-            covariates.comorbidity_flags(people, conditions, self.codes.comorbidity),
-            covariates.condition_flag(people, conditions, self.codes.covariate_condition),
-            covariates.class_flags(people, self.tables.drug_exposure, self.codes.covariate_drug))
+            self.case_control, exposure.recency_class(exposures), exposure.continuous_use(exposures),
+            covariates.condition_flags(self.case_control, self.tables.condition_occurrence,
+                                       self.codes.comorbidity, self.codes.covariate_condition),
+            covariates.class_flags(self.case_control, self.tables.drug_exposure, self.codes.covariate_drug))
         return self.scratch.cut(table, "analysis")
 
     @cached_property
@@ -122,7 +122,8 @@ class Study:
 
     @cached_property
     def lab_summary(self) -> DataFrame:
-        return summaries.lab_summary(of_persons(self.labs, self.exposed), self.period)
+        labs = self.scratch.cut(of_persons(self.labs, self.exposed), "exposed-labs")
+        return summaries.lab_summary(labs, self.period)
 
     @cached_property
     def hormone_series(self) -> DataFrame:
