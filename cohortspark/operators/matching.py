@@ -64,26 +64,26 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
     final: list[DataFrame] = []
     rounds = 0
     for phase in range(max_rounds):
+        active, near = cases, pool
         if phase:
-            active = _short_cases(listing, incomplete, cases, controls)
-            if active is None:
+            active = scratch.cut(_short_cases(listing, incomplete, cases, controls), "short")
+            first_short = active.agg(F.min("case_number")).first()[0]
+            if first_short is None:
                 break
-            pool = scratch.cut(_still_open(pool, listing, active, *bands), "pool")
+            held = reduce(DataFrame.unionByName, final, listing.filter("proposed"))
+            near = scratch.cut(_still_open(pool, held, active, *bands), "pool")
             # Nothing can displace the cases before the first short one; the work of a phase shrinks with them.
-            first_short = active.agg(F.min("case_number")).first()[0]
             final.append(listing.filter(F.col("proposed") & (F.col("case_number") < first_short)))
             listing, incomplete = (df.filter(F.col("case_number") >= first_short) for df in (listing, incomplete))
-        else:
-            active = cases
         taken_by_each = 1 if phase else controls   # a short case takes at least one more
-        slots = scratch.cut(_slots(active, pool, *bands, taken_by_each, seed, phase, list_limit, draws), "slots")
+        slots = scratch.cut(_slots(active, near, *bands, taken_by_each, seed, phase, list_limit, draws), "slots")
         drawing = slots.filter(~F.col("complete")).select("case_number").distinct()
         if phase:
             others = incomplete.join(active.select("case_number"), "case_number", "left_anti")
             incomplete = scratch.cut(others.unionByName(drawing), "incomplete")
         else:
             incomplete = drawing
-        fresh = _ranked(slots, phase, seed, _positions(pool, exact), exact)
+        fresh = _ranked(slots, phase, seed, _positions(near, exact), exact)
         if listing is not None:
             fresh = (listing.select("case_number", "person_id", "rank").unionByName(fresh)
                      .groupBy("case_number", "person_id").agg(F.min("rank").alias("rank")))
@@ -212,19 +212,20 @@ def _settle(listing: DataFrame, controls: int, scratch: Scratch, max_rounds: int
     raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
 
 
-def _short_cases(listing: DataFrame, incomplete: DataFrame, cases: DataFrame, controls: int) -> DataFrame | None:
-    """Cases that hold fewer than k controls and have not listed all they could take; None if there are none."""
+def _short_cases(listing: DataFrame, incomplete: DataFrame, cases: DataFrame, controls: int) -> DataFrame:
+    """Cases that hold fewer than k controls and have not listed all they could take."""
     full = (listing.filter("proposed").groupBy("case_number").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= controls))
     short = incomplete.join(full, "case_number", "left_anti")
-    if short.isEmpty():
-        return None
     return cases.join(short, "case_number", "left_semi")
 
 
-def _still_open(pool: DataFrame, listing: DataFrame, active: DataFrame, exact: Sequence[str], age_band: int,
+def _still_open(pool: DataFrame, held: DataFrame, active: DataFrame, exact: Sequence[str], age_band: int,
                 date_band: int) -> DataFrame:
-    """Controls that some short case could still take: near one, and not held by a case before the first of them."""
+    """Controls that some short case could still take: near one, and not held by a case before the first of them.
+
+    Taken from the whole pool in every phase, because a case that is content now may be short later.
+    """
     wanted = (active.groupBy(*exact, "age", "day").agg(F.min("case_number").alias("first_case"))
               .withColumn("age", F.explode(F.sequence(F.col("age") - age_band, F.col("age") + age_band)))
               .withColumn("is_cell", F.lit(False)))
@@ -233,7 +234,7 @@ def _still_open(pool: DataFrame, listing: DataFrame, active: DataFrame, exact: S
     near = Window.partitionBy(*exact, "age").orderBy("day").rangeBetween(-date_band, date_band)
     reach = (cells.unionByName(wanted).withColumn("first_case", F.min("first_case").over(near))
              .filter(F.col("is_cell") & F.col("first_case").isNotNull()).drop("is_cell"))
-    held = listing.filter("proposed").select("person_id", F.col("case_number").alias("holder"))
-    return (pool.join(reach, [*exact, "age", "day"]).join(held, "person_id", "left")
+    holders = held.select("person_id", F.col("case_number").alias("holder"))
+    return (pool.join(reach, [*exact, "age", "day"]).join(holders, "person_id", "left")
             .filter(F.col("holder").isNull() | (F.col("holder") > F.col("first_case")))
             .drop("first_case", "holder"))

@@ -61,14 +61,8 @@ def test_equals_serving_cases_one_by_one(spark, seed, hot):
     assert run(spark, cases, pool, seed=seed) == one_at_a_time(cases, pool, 4, seed)
 
 
-@pytest.mark.parametrize("seed, hot, n_cases, n_pool", [(4, 0.6, 60, 150), (5, 0.95, 120, 120)])
-def test_drawn_lists_keep_every_guarantee(spark, seed, hot, n_cases, n_pool):
-    rng = random.Random(seed)
-    pool = people(rng, n_pool, 10_000, hot=hot)
-    cases = numbered(people(rng, n_cases, 1, hot=hot))
-    pairs = run(spark, cases, pool, seed=seed, list_limit=16, draws=12)
-    person, case_of, held = {p[0]: p for p in pool}, {c[0]: c for c in cases}, defaultdict(list)
-    holder = {}
+def check_guarantees(pairs, cases, pool):
+    person, case_of, held, holder = {p[0]: p for p in pool}, {c[0]: c for c in cases}, defaultdict(list), {}
     for case, who in pairs:
         assert eligible(case_of[case], person[who])
         assert who not in holder
@@ -81,6 +75,19 @@ def test_drawn_lists_keep_every_guarantee(spark, seed, hot, n_cases, n_pool):
             assert all(holder.get(p[0], len(cases) + 1) <= case[0] for p in pool if eligible(case, p))
 
 
+def test_drawn_lists_keep_every_guarantee(spark):
+    """Forty separate groups of very different crowding, run together, with lists short enough to need many phases."""
+    rng = random.Random(4)
+    pool, cases = [], []
+    for group in range(1, 41):
+        hot, days = rng.choice([0.0, 0.3, 0.6, 0.95]), rng.choice([40, 120, 200])
+        pool += [(p, group, *rest) for p, _, *rest in people(rng, rng.randint(10, 60), 10_000 + 100 * group, days, hot=hot)]
+        cases += [(p, group, *rest) for p, _, *rest in people(rng, rng.randint(5, 50), 100 * group, days, hot=hot)]
+    rng.shuffle(cases)
+    cases = numbered(cases)
+    check_guarantees(run(spark, cases, pool, list_limit=6, draws=5), cases, pool)
+
+
 def test_blocks_and_salts_of_any_size_give_the_same_matching(spark, monkeypatch):
     rng = random.Random(21)
     pool = people(rng, 200, 1000, hot=0.8)
