@@ -76,13 +76,14 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
             final.append(listing.filter(F.col("proposed") & (F.col("case_number") < first_short)))
             listing, incomplete = (df.filter(F.col("case_number") >= first_short) for df in (listing, incomplete))
         taken_by_each = 1 if phase else controls   # a short case takes at least one more
-        slots = scratch.cut(_slots(active, near, *bands, taken_by_each, seed, phase, list_limit, draws), "slots")
-        drawing = slots.filter(~F.col("complete")).select("case_number").distinct()
+        served = scratch.cut(_served(active, near, *bands, taken_by_each), "served")
+        drawing = served.filter(F.col("total") > list_limit).select("case_number")
         if phase:
             others = incomplete.join(active.select("case_number"), "case_number", "left_anti")
             incomplete = scratch.cut(others.unionByName(drawing), "incomplete")
         else:
             incomplete = drawing
+        slots = _slots(served, exact, seed, phase, list_limit, draws)
         fresh = _ranked(slots, phase, seed, _positions(near, exact), exact)
         if listing is not None:
             fresh = (listing.select("case_number", "person_id", "rank").unionByName(fresh)
@@ -140,12 +141,14 @@ def _positions(pool: DataFrame, exact: Sequence[str]) -> DataFrame:
             .select(*exact, F.col("age").alias("strip"), (F.col("start") + rank - 1).alias("position"), "person_id"))
 
 
-def _served(cases: DataFrame, runs: DataFrame, exact: Sequence[str], taken_by_each: int) -> DataFrame:
+def _served(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: int, date_band: int,
+            taken_by_each: int) -> DataFrame:
     """Cases with the runs of their cell, without those that come after the cell's controls are used up.
 
     Cases are ranked in their cell by blocks of consecutive numbers, so a cell that holds a large share of all cases
     is ranked by many tasks, and blocks too far back are dropped before their cases are read.
     """
+    runs = _runs(cases, _cells(pool, exact), exact, age_band, date_band)
     cell = [*exact, "age", "day"]
     places = cases.select("case_number", *cell, F.shiftright("case_number", _BLOCK_BITS).alias("block"))
     earlier = Window.partitionBy(*cell).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,13 +158,13 @@ def _served(cases: DataFrame, runs: DataFrame, exact: Sequence[str], taken_by_ea
     in_block = F.row_number().over(Window.partitionBy(*cell, "block").orderBy("case_number"))
     return (places.join(blocks, [*cell, "block"])
             .withColumn("ahead", F.col("ahead") + in_block - 1)
-            .filter(F.col("ahead") * taken_by_each < F.col("total")))
+            .filter(F.col("ahead") * taken_by_each < F.col("total"))
+            .select("case_number", *exact, "runs", "total"))
 
 
-def _slots(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: int, date_band: int, taken_by_each: int,
-           seed: int, phase: int, list_limit: int, draws: int) -> DataFrame:
+def _slots(served: DataFrame, exact: Sequence[str], seed: int, phase: int, list_limit: int,
+           draws: int) -> DataFrame:
     """The control numbers each case lists: all of them, or distinct random draws in the order they come up."""
-    runs = _runs(cases, _cells(pool, exact), exact, age_band, date_band)
     complete = F.col("total") <= list_limit
     draw = F.transform(
         F.sequence(F.lit(1), F.lit(draws)),
@@ -169,7 +172,7 @@ def _slots(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: in
     numbers = F.when(complete, F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).otherwise(
         F.array_distinct(draw))
     run = F.filter("runs", lambda r: (r["first"] <= F.col("number")) & (F.col("number") < r["first"] + r["size"]))
-    return (_served(cases, runs, exact, taken_by_each)
+    return (served
             .select("case_number", *exact, complete.alias("complete"), "runs", F.posexplode(numbers).alias("turn", "number"))
             .withColumn("run", F.element_at(run, 1))
             .select("case_number", *exact, "complete", "turn", F.col("run")["strip"].alias("strip"),

@@ -48,7 +48,7 @@ class Study:
 
     @cached_property
     def pool(self) -> DataFrame:
-        return matching.control_pool(self.cohort, self.cases)
+        return self.scratch.cut(matching.control_pool(self.cohort, self.cases), "pool")
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -159,3 +159,7 @@ class Study:
             if name.startswith("TABLE"):
                 write_table(df, f"{folder}/{site}-{name}.parquet")
         return paths
+
+    def close(self) -> None:
+        """Delete the written stages; the stages cannot be read afterwards."""
+        self.scratch.close()

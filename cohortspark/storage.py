@@ -63,3 +63,8 @@ class Scratch:
         jvm_path, files = self._files(path)
         files.delete(jvm_path, True)
         self._kept.discard(path)
+
+    def close(self) -> None:
+        """Delete all tables of the run."""
+        self.discard(self.root)
+        self._kept.clear()
