@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -30,7 +29,6 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
-@functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer, processors
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 
 RANKS = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50_256    # fixed value: the id that the vocabulary keeps for the end of a text
@@ -15,9 +14,8 @@ def default_ranks() -> str:
     return public_tokenizers.path(RANKS)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """``encode(text) -> ids``, loaded once per worker. Control strings inside a text are ordinary text."""
+    """``encode(text) -> ids``, to be loaded once per task. Control strings inside a text are ordinary text."""
     import public_tokenizers
     import tiktoken
 
