@@ -61,8 +61,9 @@ def exact_dedup(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_co
         "doc", "id", "text_sha256", F.coalesce(is_set("bit1") & is_set("bit2"), F.lit(False)).alias("may_repeat"))
     maybe = scratch.cut(probed.filter("may_repeat").select("doc", "id", "text_sha256",
                                                            F.monotonically_increasing_id().alias("row")), "maybe")
-    groups = maybe.groupBy("text_sha256").agg(
-        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join reads plain shuffles of both sides, in which adaptive execution splits a hot group.
+    groups = scratch.cut(maybe.groupBy("text_sha256").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     grouped = maybe.join(groups, "text_sha256").select(
         "doc", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
     unique = probed.filter(~F.col("may_repeat")).select(
