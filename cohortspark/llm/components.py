@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from cohortspark.storage import Scratch
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round over edges (u, v) with v < u."""
+def _stars(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star round over edges (u, v) with v < u.
+
+    Minima are written before they are joined, so that the joins read plain shuffles, in which a hub can be split.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("m"))
-    large = (both.join(low, F.col("u") == F.col("node")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-             .unionByName(low.filter("m < node").select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
-    least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node")
+    low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("m")), "low")
+    large = scratch.cut(both.join(low, F.col("u") == F.col("node")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+             .unionByName(low.filter("m < node").select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct(), "large")
+    least = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node"), "least")
     return (large.join(least, F.col("u") == F.col("node")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
 
@@ -34,7 +37,7 @@ def components(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -
         if now[0] == 0 or now == state:
             break
         state = now
-        following = scratch.write(_stars(edges), "links")
+        following = scratch.write(_stars(scratch, edges), "links")
         scratch.discard(path)
         path = following
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(

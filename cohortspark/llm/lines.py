@@ -72,10 +72,11 @@ def repeated_runs(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_
     found = scratch.cut(df.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, f"place struct<no_id:boolean,id:{id_type},key:binary,line:int>, last int, mark long, mark_line int, content binary"), "windows")
     stand = F.struct("place.key", "mark_line")
-    marks = found.groupBy("mark").agg(F.min(stand).alias("a"), F.max(stand).alias("b")).filter("a < b").select("mark")
+    # Summaries are written before they are joined: the joins then read plain shuffles, in which a hot line can be split.
+    marks = scratch.cut(found.groupBy("mark").agg(F.min(stand).alias("a"), F.max(stand).alias("b")).filter("a < b").select("mark"), "marks")
     likely = scratch.cut(found.join(marks, "mark", "left_semi").select("place", "last", "content"), "likely")
-    first = (likely.groupBy("content").agg(F.min("place").alias("first"), F.max("place").alias("final"))
-             .filter("first < final").select(F.col("content").alias("of"), "first"))
+    first = scratch.cut(likely.groupBy("content").agg(F.min("place").alias("first"), F.max("place").alias("final"))
+                        .filter("first < final").select(F.col("content").alias("of"), "first"), "first")
     later = likely.join(first, F.col("content") == F.col("of")).filter("place > first").select("place.key", "place.line", "last").distinct()
     starts = F.expr("max(last) OVER (PARTITION BY key ORDER BY line, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     runs = later.withColumn("fresh", (F.coalesce(starts, F.lit(-2)) + 1 < F.col("line")).cast("int"))

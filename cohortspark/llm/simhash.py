@@ -207,7 +207,7 @@ def near_dedup(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col
     labelled = (distinct.join(groups, F.col("print") == F.col("node"), "left")
                 .select("print", "first_id", F.coalesce("label", "print").alias("label")))
     labelled = scratch.cut(labelled, "labels")
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    smallest = scratch.cut(labelled.groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
     named = labelled.join(smallest, "label").select("print", "component_id", F.col("label").alias("component"))
     return rows.join(named, "print").select(
         "key", "id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "component",
