@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+REACH = 32   # characters of a word that a pattern holds
+_NEXT = re.compile(rf"[\x20\x09-\x0D]*([^\x20\x09-\x0D]{{0,{REACH}}})")
+_DIGITS = re.compile(r"[0-9]+")
 _LABEL = re.compile(r"[^=:]*[=:][\"']?")
 _EDGE = "\"'.,;:!?()[]{}<>|"
 
@@ -68,26 +72,29 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _shape(word: str) -> str:
-    return re.sub(r"[0-9]+", "9", word.lower())
+    return _DIGITS.sub("9", word.lower())
 
 
 def _back(text: str, at: int) -> tuple[int, str]:
-    """Start of the word that ends before ``at``, over white space, and the word."""
+    """The word that ends before ``at``, over white space: its last ``REACH`` characters, and where they start."""
     stop = at
     while stop > 0 and _SPACE.match(text[stop - 1]):
         stop -= 1
     start = stop
-    while start > 0 and not _SPACE.match(text[start - 1]):
+    while start > 0 and stop - start < REACH and not _SPACE.match(text[start - 1]):
         start -= 1
     return start, text[start:stop]
 
 
 def contexts(text: str, start: int, end: int, label: str) -> list[str]:
-    """Lexical patterns around a span: two words before it; the words on both sides; its own label, as in ``key=value``."""
+    """Lexical patterns around a word: two words before it; the words on both sides; its own label, as in ``key=value``.
+
+    Words and labels count with the ``REACH`` characters that are next to the span.
+    """
     at, one = _back(text, start)
     two = _back(text, at)[1]
-    following = _WORDS.search(text, end)
-    out = [f"B {_shape(one)} _ {_shape(following[0]) if following else ''}"]
+    following = _NEXT.match(text, end)
+    out = [f"B {_shape(one)} _ {_shape(following[1])}"]
     if one:
         out.append(f"L {_shape(two)} {_shape(one)} _")
     if label:
@@ -100,11 +107,12 @@ def candidates(text: str, base: list[Span], min_chars: int, min_digits: int) ->
     out = []
     for _, i, j in base:
         at = i
-        while at > 0 and not _SPACE.match(text[at - 1]):
+        while at > 0 and i - at < REACH and not _SPACE.match(text[at - 1]):
             at -= 1
         out.append((i, j, True, contexts(text, at, j, text[at:i])))
     taken = sorted((i, j) for _, i, j in base)
-    seen, k = 0, 0
+    reached = list(accumulate((j for _, j in taken), max))   # the furthest end of the base spans up to each one
+    seen = 0
     for m in _DIGIT.finditer(text):
         if m.start() < seen:
             continue
@@ -119,11 +127,10 @@ def candidates(text: str, base: list[Span], min_chars: int, min_digits: int) ->
         value = word[len(label):]
         i = start + len(label) + len(value) - len(value.lstrip(_EDGE))
         j = seen - len(value) + len(value.rstrip(_EDGE))
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if j - i < min_chars or sum("0" <= c <= "9" for c in text[i:j]) < min_digits or any(a < j and i < b for a, b in taken[k:k + 8]):
+        before = bisect_left(taken, (j,))
+        if j - i < min_chars or before and reached[before - 1] > i or sum("0" <= c <= "9" for c in text[i:j]) < min_digits:
             continue
-        out.append((i, j, False, contexts(text, start, seen, label)))
+        out.append((i, j, False, contexts(text, start, seen, label[-REACH:])))
     return out
 
 
