@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from cohortspark.llm import pii
+
+# The patterns as they are defined; only fit for short texts.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    values = [int(c) for c in digits][::-1]
+    return sum(values[::2] + [sum(divmod(2 * d, 10)) for d in values[1::2]]) % 10 == 0
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return out
+
+
+def test_base_spans_match_the_plain_patterns():
+    r = random.Random(9)
+    bits = ["a@b.c", "@", ".", "x.y", "1", "23", "255.1.1.1", "256.1.1.1", "0001.2.3.4.5.6.7.8", "4111111111111111", "4111 1111-1111 1111", "+1 (555) 123-4567",
+            "+", " ", "-", "é", "\n", "+49 30 1234567", "a@b", "a@b..c", "x@y.z@w.v", "(", ")", "9" * 13, "٣"]
+    for _ in range(20_000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 9)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" * 150_000, "a@" * 150_000, "a.b@c-" * 50_000, "1 " * 150_000, "x=" * 150_000 + "1"):
+        base = pii.base_spans(text)
+        pii.candidates(text, base, 6, 4)
+
+
+def spans_of(rows, i):
+    return next(r for r in rows if r["id"] == i)
+
+
+def test_contexts_find_unseen_identifiers(scratch, docs_of):
+    r = random.Random(3)
+    rows = [(i, f"filler words number {i} here. Please call me at +1 (555) {r.randint(200, 999)}-{r.randint(1000, 9999)} today") for i in range(12)]
+    rows += [(100, "Please call me at 555-AB-77123 today"), (101, "version 2.0.12345678 is out"), (102, None), (103, ""),
+             (104, "so call me at extension-004711 today"), (104, "so call me at extension-004711 today"), (None, "a@b.org")]
+    df = docs_of(rows).withColumn("row", F.lit(1)).withColumn("spans", F.lit("x"))
+    found = pii.extract(scratch, df).collect()
+    assert len(found) == len(rows)
+    text = dict(rows)
+    added = spans_of(found, 100)["added"]
+    assert [text[100][s["start"]:s["stop"]] for s in added] == ["555-AB-77123"]
+    assert [text[104][s["start"]:s["stop"]] for s in spans_of(found, 104)["added"]] == ["extension-004711"]
+    assert spans_of(found, 101)["added"] == [] and spans_of(found, 102)["base"] == []
+    for row in found:
+        assert [tuple(s) for s in row["base"]] == plain_spans(text[row["id"]] or "")
+    assert pii.extract(scratch, docs_of([])).count() == 0
+
+
+def test_copies_lend_no_trust(scratch, docs_of):
+    rows = [(i, "Please call me at +1 (555) 123-4567 today") for i in range(30)] + [(50, "Please call me at 555-AB-77123 today")]
+    assert spans_of(pii.extract(scratch, docs_of(rows)).collect(), 50)["added"] == []
