@@ -11,6 +11,8 @@ from functools import cache
 from cohortspark import constants as k
 
 NUMBER = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
+# Multipliers and key factors of the controls' preference order.
+SCRAMBLE = ((668_265, 374_761, 15_731), (524_309, 789_221, 48_271), (907_633, 126_613, 69_069))
 FLAGS = (*k.COMORBIDITIES, "cdis1", *k.DRUG_FLAGS)
 MODEL = ("allo", *FLAGS)
 
@@ -28,6 +30,17 @@ def birthdays(start: str, end: str) -> str:
             f"month({start}) * 100 + day({start}) THEN 1 ELSE 0 END AS INT)")
 
 
+def scrambled() -> str:
+    """The candidate that each turn of a case names, as ``x3``: the arithmetic of the preference order."""
+    text = """SELECT case_number, total, length(bin(total - 1)) AS bits, (1::BIGINT << length(bin(total - 1))) - 1 AS mask,
+        unnest(range(1::BIGINT << length(bin(total - 1)))) AS turn, turn AS x0
+        FROM (SELECT DISTINCT case_number, total FROM pairs)"""
+    for step, (times, of_case, of_seed) in enumerate(SCRAMBLE, start=1):
+        text = (f"SELECT *, xor(y{step}, y{step} >> (1 + bits // 2)) AS x{step} FROM (SELECT *, (x{step - 1} * {times} "
+                f"+ case_number * {of_case} + 42 * {of_seed}) & mask AS y{step} FROM ({text}))")
+    return text
+
+
 STRIPPED = number("regexp_replace(value_source_value, '[^0-9.-]', '', 'g')")
 SHIPPED = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 CLASS_CASE = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(k.DRUG_CLASSES))
@@ -127,14 +140,16 @@ STEPS: dict[str, str] = {
         USING (person_id) WHERE rn = 1""",
     "pool": """SELECT person_id, enroll_date, gender_concept_id, CAST(floor(age) AS INT) AS age FROM stage8
         WHERE person_id NOT IN (SELECT person_id FROM cases)""",
-    "pairs": """SELECT c.case_number, p.person_id,
-        md5(concat('42|', CAST(c.case_number AS STRING), '|', CAST(p.person_id AS STRING))) AS r
+    "pairs": """SELECT c.case_number, p.person_id, row_number() OVER (PARTITION BY c.case_number
+        ORDER BY p.age, p.enroll_date, p.person_id % 256, p.person_id) - 1 AS number,
+        count(*) OVER (PARTITION BY c.case_number) AS total
         FROM cases c JOIN pool p ON p.gender_concept_id = c.gender_concept_id
         AND p.age BETWEEN c.age - 5 AND c.age + 5
         AND p.enroll_date BETWEEN c.enroll_date - 30 AND c.enroll_date + 30""",
+    "orders": """SELECT case_number, turn, CAST(x3 AS BIGINT) AS number FROM (""" + scrambled() + ") WHERE x3 < total",
     "lists": """SELECT c.case_number, coalesce(l.people, []::BIGINT[]) AS people FROM cases c LEFT JOIN
-        (SELECT case_number, list(person_id ORDER BY r, person_id) AS people FROM pairs GROUP BY case_number) l
-        USING (case_number)""",
+        (SELECT case_number, list(person_id ORDER BY turn) AS people FROM pairs JOIN orders USING (case_number, number)
+         GROUP BY case_number) l USING (case_number)""",
     "picks": """SELECT CAST(0 AS BIGINT) AS case_number, []::BIGINT[] AS taken, []::BIGINT[] AS got
         UNION ALL
         SELECT case_number, list_concat(taken, got), got FROM (

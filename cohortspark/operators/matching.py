@@ -3,21 +3,23 @@
 A control's eligibility depends only on its exact-match columns, its age and its entry date. Controls of one
 (exact columns, age) *strip* are numbered by entry date, so the controls a case may take are one run of consecutive
 numbers in each of the strips its age band touches. Those runs are found on counts per (strip, day), a grid bounded
-by the calendar, and no case is ever joined to a whole group of candidates:
+by the calendar, and no case is ever joined to a whole group of candidates.
 
-* a case with at most ``list_limit`` eligible controls lists them all, in the order of a seeded md5;
-* a case with more draws from its runs, by a seeded hash, as many numbers as it is likely to need. The order in
-  which new numbers come up is its random preference order.
+Laid end to end, the runs of a case number its candidates 0 to total - 1. The case prefers them in one fixed random
+order: turn t names candidate ``scrambled(t)``, a keyed bijection of the next power of two in plain integer arithmetic,
+and turns that name no candidate are passed over. The order needs no list, so a case reads it page by page and only as
+far as it must, and the page size changes nothing but the work.
+
+If every control prefers the lowest case number, the stable matching of these orders equals serving the cases one by
+one, and it can be found in parallel rounds. Each short case reads its next page, leaves out controls that a lower case
+holds, and proposes to the first ones it still needs. A control goes to its lowest proposer; the other proposers, and
+the holder it had, are short and go on in the next round from where they stopped. Only those cases are carried, and
+a round writes new holders, reading places and short cases, never the whole state. A case reads on in every round, and
+an order is finite, so the rounds end; a case ends with fewer than k controls only when lower-numbered cases hold every
+other eligible one.
 
 Cases of one cell (same exact columns, age and day) share their eligible controls and are served in order, so once the
-cases before one must have used them all up it cannot get any, and is left out. A control is thus listed by a number of
-cases that the bands and the list limit bound, not the data.
-
-If every control prefers the lowest case number, the stable matching of these lists equals serving the cases one by
-one, and it can be found in parallel rounds: each case proposes to its first k, each control keeps its lowest
-proposer, and every listing above that proposer is dropped. Cases whose draws ran out before they had k controls
-draw again from the controls that no earlier case holds for good, until nobody is left short. A case therefore ends
-with fewer than k controls only when lower-numbered cases hold every other eligible one.
+cases before one must have used them all up it cannot get any, and is left out.
 """
 
 from __future__ import annotations
@@ -26,15 +28,17 @@ import logging
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark import constants as k
 from cohortspark.storage import Scratch
 
 _LOG = logging.getLogger(__name__)
-_SALTS = 256
+_SALTS = 256        # fixed value: controls of a day are numbered by person_id % _SALTS, then person_id
 _BLOCK_BITS = 16
+# Multipliers and key factors of the preference order, odd and below 2**20 so that no product overflows.
+_SCRAMBLE = ((668_265, 374_761, 15_731), (524_309, 789_221, 48_271), (907_633, 126_613, 69_069))
 
 
 def control_pool(cohort: DataFrame, cases: DataFrame) -> DataFrame:
@@ -54,46 +58,105 @@ def candidate_counts(cases: DataFrame, pool: DataFrame, *, exact: Sequence[str]
 def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
                    exact: Sequence[str] = ("gender_concept_id",), controls: int = k.CONTROLS_PER_CASE,
                    age_band: int = k.AGE_BAND, date_band: int = k.ENTRY_BAND, seed: int = 42,
-                   list_limit: int = 512, draws: int = 64, max_rounds: int = 200) -> DataFrame:
-    """The matched (case_number, person_id) pairs."""
-    if not 0 < controls <= min(list_limit, draws):
-        raise ValueError("a list must be able to hold the controls of a case")
-    bands = (tuple(exact), age_band, date_band)
+                   page: int = 32) -> DataFrame:
+    """The matched (case_number, person_id) pairs. A case reads ``page`` turns at first, then as many as it has read."""
+    if controls < 1 or page < 1:
+        raise ValueError("a case needs at least one control and one turn")
     cases, pool = _on_grid(cases), _on_grid(pool)
-    listing = incomplete = None
-    final: list[DataFrame] = []
-    rounds = 0
-    for phase in range(max_rounds):
-        active, near = cases, pool
-        if phase:
-            active = scratch.cut(_short_cases(listing, incomplete, cases, controls), "short")
-            first_short = active.agg(F.min("case_number")).first()[0]
-            if first_short is None:
-                break
-            held = reduce(DataFrame.unionByName, final, listing.filter("proposed"))
-            near = scratch.cut(_still_open(pool, held, active, *bands), "pool")
-            # Nothing can displace the cases before the first short one; the work of a phase shrinks with them.
-            final.append(listing.filter(F.col("proposed") & (F.col("case_number") < first_short)))
-            listing, incomplete = (df.filter(F.col("case_number") >= first_short) for df in (listing, incomplete))
-        taken_by_each = 1 if phase else controls   # a short case takes at least one more
-        served = scratch.cut(_served(active, near, *bands, taken_by_each), "served")
-        drawing = served.filter(F.col("total") > list_limit).select("case_number")
-        if phase:
-            others = incomplete.join(active.select("case_number"), "case_number", "left_anti")
-            incomplete = scratch.cut(others.unionByName(drawing), "incomplete")
-        else:
-            incomplete = drawing
-        slots = _slots(served, exact, seed, phase, list_limit, draws)
-        fresh = _ranked(slots, phase, seed, _positions(near, exact), exact)
-        if listing is not None:
-            fresh = (listing.select("case_number", "person_id", "rank").unionByName(fresh)
-                     .groupBy("case_number", "person_id").agg(F.min("rank").alias("rank")))
-        listing, used = _settle(fresh, controls, scratch, max_rounds - rounds)
-        rounds += used
+    positions = scratch.cut(_positions(pool, exact), "positions")
+    served = scratch.cut(_served(cases, pool, tuple(exact), age_band, date_band, controls), "served")
+    short = served.withColumns({"cursor": F.lit(0).cast("bigint"), "need": F.lit(controls).cast("bigint")})
+    won: list[DataFrame] = []
+    cursors: list[DataFrame] = []
+    written = 0
+    while True:
+        asked = scratch.cut(_proposals(_read_page(short, exact, seed, page), positions, won, exact), "asked")
+        # The lowest proposer of each control; every proposer is lower than the holder before it.
+        won.append(scratch.cut(asked.filter("person_id IS NOT NULL").groupBy("person_id")
+                               .agg(F.min("case_number").alias("case_number")), "won"))
+        cursors.append(asked.groupBy("case_number").agg(F.max("next_cursor").alias("cursor")))
+        losses = _losses(asked, won[-1])
+        place = (reduce(DataFrame.unionByName, cursors).join(losses, "case_number", "left_semi")
+                 .groupBy("case_number").agg(F.max("cursor").alias("cursor")))
+        following = (served.join(losses, "case_number").join(place, "case_number")
+                     .filter(F.col("cursor") < _turns(F.col("total"))))
+        short = scratch.cut(following, "short")
+        left = short.count()
+        written += left
+        if not left:
+            break
+    _LOG.info("matched in %d rounds, %d short cases carried", len(won), written)
+    return reduce(DataFrame.unionByName, won).groupBy("person_id").agg(F.min("case_number").alias("case_number")).select(
+        "case_number", "person_id")
+
+
+def _turns(total: Column) -> Column:
+    """The length of the preference order: the power of two that is not below the number of candidates."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _bits(total))
+
+
+def _bits(total: Column) -> Column:
+    return F.length(F.bin(total - 1)).cast("int")
+
+
+def scrambled(turn: Column, bits: Column, case_number: Column, seed: int) -> Column:
+    """The candidate that a turn names: odd multiples, key additions and xor-shifts, each a bijection of ``bits`` bits."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+    half = F.expr("1") + F.floor(bits / 2).cast("int")
+    x = turn
+    for times, of_case, of_seed in _SCRAMBLE:
+        x = (x * times + case_number.bitwiseAND(F.lit((1 << 40) - 1)) * of_case + seed % (1 << 40) * of_seed).bitwiseAND(mask)
+        x = x.bitwiseXOR(F.call_function("shiftright", x, half))
+    return x
+
+
+def _read_page(short: DataFrame, exact: Sequence[str], seed: int, page: int) -> DataFrame:
+    """The next turns of each short case as (case_number, need, stop, turn, strip, position); a case without a candidate
+    on its page has one row without a strip."""
+    bits = _bits(F.col("total"))
+    stop = F.least(F.col("cursor") + F.greatest(F.col("cursor"), F.lit(page).cast("bigint")), _turns(F.col("total")))
+    pages = (short.withColumn("stop", stop)
+             .withColumn("named", F.transform(F.sequence(F.col("cursor"), F.col("stop") - 1), lambda t: F.struct(
+                 t.alias("turn"), scrambled(t, bits, F.col("case_number"), seed).alias("number"))))
+             .withColumn("named", F.filter("named", lambda x: x["number"] < F.col("total"))))
+    keep = ["case_number", *exact, "need", "stop"]
+    in_run = F.filter("named", lambda x: (x["number"] >= F.col("run.first")) & (x["number"] < F.col("run.first") + F.col("run.size")))
+    rows = (pages.select(*keep, "named", F.explode("runs").alias("run")).select(*keep, "run", F.explode(in_run).alias("x"))
+            .select(*keep, F.col("x.turn").alias("turn"), F.col("run.strip").alias("strip"),
+                    (F.col("run.lo") + F.col("x.number") - F.col("run.first")).alias("position")))
+    return rows.unionByName(pages.filter(F.size("named") == 0).select(*keep), allowMissingColumns=True)
+
+
+def _proposals(rows: DataFrame, positions: DataFrame, won: list[DataFrame], exact: Sequence[str]) -> DataFrame:
+    """Per short case its proposals, (case_number, need, next_cursor, person_id, holder), or one row without a person."""
+    named = rows.join(positions, [*exact, "strip", "position"], "left").select("case_number", "need", "stop", "turn", "person_id")
+    if won:
+        held = reduce(DataFrame.unionByName, won).withColumnRenamed("case_number", "holder")
+        # A control has at most one holder per round, each lower than the one before.
+        named = (named.join(held, "person_id", "left").groupBy("case_number", "need", "stop", "turn", "person_id")
+                 .agg(F.min("holder").alias("holder")))
     else:
-        raise RuntimeError(f"matching did not settle in {max_rounds} phases")
-    _LOG.info("matched in %d phases and %d rounds", phase, rounds)
-    return reduce(DataFrame.unionByName, final, listing.filter("proposed")).select("case_number", "person_id")
+        named = named.withColumn("holder", F.lit(None).cast("bigint"))
+    free = F.col("person_id").isNotNull() & F.coalesce(F.col("holder") > F.col("case_number"), F.lit(True))
+    by_turn = Window.partitionBy("case_number").orderBy(F.when(free, F.lit(0)).otherwise(F.lit(1)), "turn")
+    placed = named.withColumns({"free": free, "place": F.row_number().over(by_turn)}).filter(
+        (F.col("free") & (F.col("place") <= F.col("need"))) | (~F.col("free") & (F.col("place") == 1)))
+    # A case whose needs are met goes on after its last proposal; others have read the whole page.
+    reached = F.when(F.col("free") & (F.col("place") == F.col("need")), F.col("turn") + 1).otherwise(F.lit(None))
+    whole = Window.partitionBy("case_number")
+    return placed.select("case_number", "need", F.coalesce(F.max(reached).over(whole), F.col("stop")).alias("next_cursor"),
+                         F.when(F.col("free"), F.col("person_id")).alias("person_id"), "holder")
+
+
+def _losses(asked: DataFrame, won: DataFrame) -> DataFrame:
+    """How many controls each case still needs after the round, of the cases that took part or lost a control."""
+    outcome = asked.join(won.select("person_id", F.col("case_number").alias("winner")), "person_id", "left")
+    got = F.count_if(F.col("winner") == F.col("case_number"))
+    still = outcome.groupBy("case_number", "need").agg(got.alias("got")).select(
+        "case_number", (F.col("need") - F.col("got")).alias("need"))
+    displaced = (asked.filter("person_id IS NOT NULL AND holder IS NOT NULL").select("person_id", "holder").distinct()
+                 .groupBy(F.col("holder").alias("case_number")).agg(F.count(F.lit(1)).alias("need")))
+    return (still.unionByName(displaced).groupBy("case_number").agg(F.sum("need").alias("need")).filter("need > 0"))
 
 
 def _on_grid(people: DataFrame) -> DataFrame:
@@ -101,7 +164,7 @@ def _on_grid(people: DataFrame) -> DataFrame:
 
 
 def _salt() -> Column:
-    return F.pmod(F.xxhash64("person_id"), F.lit(_SALTS))
+    return F.pmod(F.col("person_id"), F.lit(_SALTS))
 
 
 def _cells(pool: DataFrame, exact: Sequence[str]) -> DataFrame:
@@ -160,84 +223,3 @@ def _served(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: i
             .withColumn("ahead", F.col("ahead") + in_block - 1)
             .filter(F.col("ahead") * taken_by_each < F.col("total"))
             .select("case_number", *exact, "runs", "total"))
-
-
-def _slots(served: DataFrame, exact: Sequence[str], seed: int, phase: int, list_limit: int,
-           draws: int) -> DataFrame:
-    """The control numbers each case lists: all of them, or distinct random draws in the order they come up."""
-    complete = F.col("total") <= list_limit
-    draw = F.transform(
-        F.sequence(F.lit(1), F.lit(draws)),
-        lambda j: F.pmod(F.xxhash64(F.lit(seed), F.lit(phase), F.col("case_number"), j), F.col("total")))
-    numbers = F.when(complete, F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).otherwise(
-        F.array_distinct(draw))
-    run = F.filter("runs", lambda r: (r["first"] <= F.col("number")) & (F.col("number") < r["first"] + r["size"]))
-    return (served
-            .select("case_number", *exact, complete.alias("complete"), "runs", F.posexplode(numbers).alias("turn", "number"))
-            .withColumn("run", F.element_at(run, 1))
-            .select("case_number", *exact, "complete", "turn", F.col("run")["strip"].alias("strip"),
-                    (F.col("run")["lo"] + F.col("number") - F.col("run")["first"]).alias("position")))
-
-
-def _ranked(slots: DataFrame, phase: int, seed: int, positions: DataFrame, exact: Sequence[str]) -> DataFrame:
-    """Listed controls with their place on the case's list; a list has at most ``list_limit`` rows."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("case_number").cast("string"),
-                            F.col("person_id").cast("string")))
-    order = Window.partitionBy("case_number").orderBy(F.when(~F.col("complete"), F.col("turn")), key, "person_id")
-    return (slots.join(positions, [*exact, "strip", "position"])
-            .select("case_number", "person_id",
-                    (F.lit(phase).cast("bigint") * 1_000_000 + F.row_number().over(order)).alias("rank")))
-
-
-def _settle(listing: DataFrame, controls: int, scratch: Scratch, max_rounds: int) -> tuple[DataFrame, int]:
-    """Rounds of proposals until none is turned down."""
-    written = None
-    by_rank = Window.partitionBy("case_number").orderBy("rank")
-    for used in range(1, max_rounds + 1):
-        proposals = listing.withColumn("proposed", F.row_number().over(by_rank) <= controls)
-        # One row per control on the right, aggregated before the shuffle; many cases may list one control.
-        holders = (proposals.filter("proposed").groupBy("person_id")
-                   .agg(F.min("case_number").alias("holder")))
-        lost = F.col("case_number") > F.col("holder")
-        outcome = Observation()
-        kept = (proposals.join(holders, "person_id", "left")
-                .observe(outcome, F.count_if(lost & F.col("proposed")).alias("lost"))
-                .filter(F.coalesce(~lost, F.lit(True)))
-                .select("case_number", "person_id", "rank", "proposed"))
-        path = scratch.write(kept, "listing")
-        settled = scratch.read(path, kept.schema)
-        if written is not None:
-            scratch.discard(written)
-        written = path
-        if outcome.get["lost"] == 0:
-            return settled, used
-        listing = settled.drop("proposed")
-    raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
-
-
-def _short_cases(listing: DataFrame, incomplete: DataFrame, cases: DataFrame, controls: int) -> DataFrame:
-    """Cases that hold fewer than k controls and have not listed all they could take."""
-    full = (listing.filter("proposed").groupBy("case_number").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= controls))
-    short = incomplete.join(full, "case_number", "left_anti")
-    return cases.join(short, "case_number", "left_semi")
-
-
-def _still_open(pool: DataFrame, held: DataFrame, active: DataFrame, exact: Sequence[str], age_band: int,
-                date_band: int) -> DataFrame:
-    """Controls that some short case could still take: near one, and not held by a case before the first of them.
-
-    Taken from the whole pool in every phase, because a case that is content now may be short later.
-    """
-    wanted = (active.groupBy(*exact, "age", "day").agg(F.min("case_number").alias("first_case"))
-              .withColumn("age", F.explode(F.sequence(F.col("age") - age_band, F.col("age") + age_band)))
-              .withColumn("is_cell", F.lit(False)))
-    cells = (pool.select(*exact, "age", "day").distinct()
-             .withColumns({"first_case": F.lit(None).cast("bigint"), "is_cell": F.lit(True)}))
-    near = Window.partitionBy(*exact, "age").orderBy("day").rangeBetween(-date_band, date_band)
-    reach = (cells.unionByName(wanted).withColumn("first_case", F.min("first_case").over(near))
-             .filter(F.col("is_cell") & F.col("first_case").isNotNull()).drop("is_cell"))
-    holders = held.select("person_id", F.col("case_number").alias("holder"))
-    return (pool.join(reach, [*exact, "age", "day"]).join(holders, "person_id", "left")
-            .filter(F.col("holder").isNull() | (F.col("holder") > F.col("first_case")))
-            .drop("first_case", "holder"))

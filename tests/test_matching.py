@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import random
 from collections import defaultdict
 
@@ -30,14 +29,25 @@ def eligible(case, person):
     return (case[2] == person[1] and abs(case[3] - person[2]) <= 5 and abs((case[4] - person[3]).days) <= 30)
 
 
+def preferences(case, pool, seed=42):
+    """The case's candidates in its order, from the definition: turns of a power of two, scrambled."""
+    listed = sorted((p for p in pool if eligible(case, p)), key=lambda p: (p[2], p[3], p[0] % 256, p[0]))
+    bits = len(bin(max(len(listed) - 1, 0))) - 2
+    for turn in range(1 << bits if listed else 0):
+        x = turn
+        for times, of_case, of_seed in matching._SCRAMBLE:
+            x = (x * times + case[0] * of_case + seed * of_seed) % (1 << bits)
+            x ^= x >> 1 + bits // 2
+        if x < len(listed):
+            yield listed[x][0]
+
+
 def one_at_a_time(cases, pool, k, seed=42):
     taken, out = set(), set()
     for case in sorted(cases):
-        listed = sorted((hashlib.md5(f"{seed}|{case[0]}|{p[0]}".encode()).hexdigest(), p[0])
-                        for p in pool if p[0] not in taken and eligible(case, p))
-        for _, person in listed[:k]:
-            taken.add(person)
-            out.add((case[0], person))
+        mine = [p for p in preferences(case, pool, seed) if p not in taken][:k]
+        taken.update(mine)
+        out.update((case[0], p) for p in mine)
     return out
 
 
@@ -75,27 +85,45 @@ def check_guarantees(pairs, cases, pool):
             assert all(holder.get(p[0], len(cases) + 1) <= case[0] for p in pool if eligible(case, p))
 
 
-def test_drawn_lists_keep_every_guarantee(spark):
-    """Forty separate groups of very different crowding, run together, with lists short enough to need many phases."""
-    rng = random.Random(4)
+def crowded(seed=4):
+    """Forty separate groups of very different crowding."""
+    rng = random.Random(seed)
     pool, cases = [], []
     for group in range(1, 41):
         hot, days = rng.choice([0.0, 0.3, 0.6, 0.95]), rng.choice([40, 120, 200])
         pool += [(p, group, *rest) for p, _, *rest in people(rng, rng.randint(10, 60), 10_000 + 100 * group, days, hot=hot)]
         cases += [(p, group, *rest) for p, _, *rest in people(rng, rng.randint(5, 50), 100 * group, days, hot=hot)]
     rng.shuffle(cases)
-    cases = numbered(cases)
-    check_guarantees(run(spark, cases, pool, list_limit=6, draws=5), cases, pool)
+    return numbered(cases), pool
+
+
+def test_every_order_is_a_permutation():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 20, 64, 65, 500):
+        pool = [(i, 1, 50, START) for i in range(1, n + 1)]
+        for _ in range(5):
+            case = (rng.randint(1, 10 ** 9), 0, 1, 50, START)
+            assert sorted(preferences(case, pool)) == list(range(1, n + 1))
+
+
+def test_page_size_changes_nothing(spark):
+    rng = random.Random(6)
+    sparse = numbered(people(rng, 40, 1)), people(rng, 300, 1000)
+    one_cell = numbered([(i, 1, 50, START) for i in range(1, 61)]), [(1000 + i, 1, 50, START) for i in range(150)]
+    for cases, pool in (crowded(), sparse, one_cell):
+        expected = one_at_a_time(cases, pool, 4)
+        check_guarantees(expected, cases, pool)
+        for page in (5, 64, 1 << 20):
+            assert run(spark, cases, pool, page=page) == expected
 
 
-def test_blocks_and_salts_of_any_size_give_the_same_matching(spark, monkeypatch):
+def test_blocks_of_any_size_give_the_same_matching(spark, monkeypatch):
     rng = random.Random(21)
     pool = people(rng, 200, 1000, hot=0.8)
     cases = numbered(people(rng, 120, 1, hot=0.8))
     expected = one_at_a_time(cases, pool, 4)
     assert run(spark, cases, pool) == expected
     monkeypatch.setattr(matching, "_BLOCK_BITS", 2)
-    monkeypatch.setattr(matching, "_SALTS", 3)
     assert run(spark, cases, pool) == expected
 
 
@@ -103,7 +131,7 @@ def test_draws_are_spread_evenly(spark):
     """Forty separate groups, each with one case and twenty controls: every place is about equally likely."""
     pool = [(100 * g + i, g, 50, START + dt.timedelta(days=i)) for g in range(1, 41) for i in range(20)]
     cases = [(g, 50_000 + g, g, 50, START + dt.timedelta(days=10)) for g in range(1, 41)]
-    pairs = run(spark, cases, pool, list_limit=8, draws=8)
+    pairs = run(spark, cases, pool)
     counts = defaultdict(int)
     for _, who in pairs:
         counts[who % 100] += 1
