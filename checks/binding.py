@@ -1,6 +1,8 @@
 """The supplied sales tables, relabelled as clinical tables and code lists.
 
-Plain projections of customer, orders and lineitem; the numbers test the code and say nothing medical.
+Plain projections of customer, orders and lineitem; the numbers test the code and say nothing medical. Some genders,
+birth months, condition dates and recorded ends of exposures are missing or impossible, recorded ends differ from the
+supply's, and some exposures last over a year, so that rules which differ only there give different results.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ def clinical_tables(spark: SparkSession, folder: str) -> ClinicalTables:
     return ClinicalTables(
         person=customer.selectExpr(
             "c_custkey AS person_id",
-            "CAST(CASE WHEN c_custkey % 6 < 3 THEN 8507 ELSE 8532 END AS BIGINT) AS gender_concept_id",
+            "CAST(CASE WHEN c_custkey % 53 = 0 THEN NULL WHEN c_custkey % 6 < 3 THEN 8507 ELSE 8532 END AS BIGINT) AS gender_concept_id",
             "CAST(1930 + (c_custkey * 7) % 70 AS INT) AS year_of_birth",
-            "CAST(1 + c_custkey % 12 AS INT) AS month_of_birth",
+            "CAST(CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 89 = 0 THEN 13 ELSE 1 + c_custkey % 12 END AS INT) "
+            "AS month_of_birth",
             "CAST(1 + c_custkey % 28 AS INT) AS day_of_birth"),
         measurement=_measurement(orders),
         drug_exposure=shipped.selectExpr(
             "l_orderkey * 10 + l_linenumber AS drug_exposure_id", "o_custkey AS person_id",
             "l_partkey % 200 AS drug_concept_id", "CAST(l_shipdate AS DATE) AS drug_exposure_start_date",
-            "date_add(CAST(l_shipdate AS DATE), CAST(l_quantity AS INT) - 1) AS drug_exposure_end_date",
+            "CASE WHEN l_orderkey % 37 = 0 THEN NULL WHEN l_orderkey % 41 = 0 OR l_partkey % 200 = 5 "
+            "AND l_orderkey % 3 = 0 THEN date_add(CAST(l_shipdate AS DATE), 700) "
+            "ELSE date_add(CAST(l_shipdate AS DATE), CAST(l_quantity + l_orderkey % 5 AS INT) - 1) END AS drug_exposure_end_date",
             "CAST(l_quantity AS INT) AS days_supply"),
         condition_occurrence=shipped.selectExpr(
             "o_custkey AS person_id", "(l_orderkey * 31 + l_linenumber * 17) % 200 AS condition_concept_id",
-            "CAST(l_shipdate AS DATE) AS condition_start_date"),
+            "CASE WHEN l_orderkey % 43 <> 0 THEN CAST(l_shipdate AS DATE) END AS condition_start_date"),
         procedure_occurrence=shipped.selectExpr(
             "o_custkey AS person_id",
             "CASE WHEN l_orderkey % 101 = 0 THEN 4036252 ELSE 10000 + l_suppkey END AS procedure_concept_id",

@@ -52,9 +52,9 @@ STEPS: dict[str, str] = {
     # ---- clinical tables and code lists
     "ids200": "SELECT range AS id FROM range(200)",
     "person": """SELECT c_custkey AS person_id,
-        CAST(CASE WHEN c_custkey % 6 < 3 THEN 8507 ELSE 8532 END AS BIGINT) AS gender_concept_id,
+        CAST(CASE WHEN c_custkey % 53 = 0 THEN NULL WHEN c_custkey % 6 < 3 THEN 8507 ELSE 8532 END AS BIGINT) AS gender_concept_id,
         CAST(1930 + (c_custkey * 7) % 70 AS INT) AS year_of_birth,
-        CAST(1 + c_custkey % 12 AS INT) AS month_of_birth, CAST(1 + c_custkey % 28 AS INT) AS day_of_birth
+        CAST(CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 89 = 0 THEN 13 ELSE 1 + c_custkey % 12 END AS INT) AS month_of_birth, CAST(1 + c_custkey % 28 AS INT) AS day_of_birth
         FROM customer""",
     "measurement": """SELECT o_orderkey AS measurement_id, o_custkey AS person_id,
         CAST(CASE WHEN o_orderkey % 10 < 6 THEN 1001 + o_orderkey % 2 WHEN o_orderkey % 10 < 8 THEN 3010340
@@ -68,11 +68,13 @@ STEPS: dict[str, str] = {
               FROM (SELECT *, (o_orderkey * 7919 + 104729) % 1000 AS u FROM orders))""",
     "drug_exposure": f"""SELECT l_orderkey * 10 + l_linenumber AS drug_exposure_id, o_custkey AS person_id,
         l_partkey % 200 AS drug_concept_id, CAST(l_shipdate AS DATE) AS drug_exposure_start_date,
-        CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) - 1 AS drug_exposure_end_date,
+        CAST(CASE WHEN l_orderkey % 37 = 0 THEN NULL WHEN l_orderkey % 41 = 0 OR l_partkey % 200 = 5
+             AND l_orderkey % 3 = 0 THEN CAST(l_shipdate AS DATE) + 700
+             ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity + l_orderkey % 5 AS INT) - 1 END AS DATE) AS drug_exposure_end_date,
         CAST(l_quantity AS INT) AS days_supply {SHIPPED}""",
     "condition_occurrence": f"""SELECT o_custkey AS person_id,
         (l_orderkey * 31 + l_linenumber * 17) % 200 AS condition_concept_id,
-        CAST(l_shipdate AS DATE) AS condition_start_date {SHIPPED}""",
+        CASE WHEN l_orderkey % 43 <> 0 THEN CAST(l_shipdate AS DATE) END AS condition_start_date {SHIPPED}""",
     "procedure_occurrence": f"""SELECT o_custkey AS person_id,
         CASE WHEN l_orderkey % 101 = 0 THEN 4036252 ELSE 10000 + l_suppkey END AS procedure_concept_id,
         CAST(l_shipdate AS DATE) AS procedure_date,
@@ -115,7 +117,7 @@ STEPS: dict[str, str] = {
         FROM (SELECT *, {number("split_part(value_source_value, ' ', 1)")} AS value FROM measurement
               WHERE measurement_concept_id IN (SELECT concept_id FROM tsh_codes)) WHERE value IS NOT NULL""",
     "entry": "SELECT person_id, min(measurement_date) AS enroll_date FROM labs GROUP BY person_id",
-    "births": """SELECT person_id, gender_concept_id, make_date(year_of_birth, month_of_birth, day_of_birth) AS birth
+    "births": """SELECT person_id, gender_concept_id, make_date(year_of_birth, CASE WHEN month_of_birth <= 12 THEN month_of_birth END, day_of_birth) AS birth
         FROM person""",
     "adult": """SELECT * FROM (SELECT person_id, enroll_date, birth, gender_concept_id,
         (enroll_date - birth) / 365.25 AS age FROM entry JOIN births USING (person_id)) WHERE age >= 19""",
@@ -146,9 +148,9 @@ STEPS: dict[str, str] = {
         FROM cases c JOIN pool p ON p.gender_concept_id = c.gender_concept_id
         AND p.age BETWEEN c.age - 5 AND c.age + 5
         AND p.enroll_date BETWEEN c.enroll_date - 30 AND c.enroll_date + 30""",
-    "orders": """SELECT case_number, turn, CAST(x3 AS BIGINT) AS number FROM (""" + scrambled() + ") WHERE x3 < total",
+    "preferences": """SELECT case_number, turn, CAST(x3 AS BIGINT) AS number FROM (""" + scrambled() + ") WHERE x3 < total",
     "lists": """SELECT c.case_number, coalesce(l.people, []::BIGINT[]) AS people FROM cases c LEFT JOIN
-        (SELECT case_number, list(person_id ORDER BY turn) AS people FROM pairs JOIN orders USING (case_number, number)
+        (SELECT case_number, list(person_id ORDER BY turn) AS people FROM pairs JOIN preferences USING (case_number, number)
          GROUP BY case_number) l USING (case_number)""",
     "picks": """SELECT CAST(0 AS BIGINT) AS case_number, []::BIGINT[] AS taken, []::BIGINT[] AS got
         UNION ALL
@@ -208,7 +210,7 @@ STEPS: dict[str, str] = {
         FROM case_control b LEFT JOIN recency USING (person_id, case_number)
         LEFT JOIN dose USING (person_id, case_number) LEFT JOIN cci USING (person_id, case_number)
         LEFT JOIN cdis USING (person_id, case_number) LEFT JOIN cdr USING (person_id, case_number)""",
-    "scored": """SELECT * REPLACE (CASE WHEN gender_concept_id = 8507 THEN 1 ELSE 0 END AS gender_concept_id),
+    "scored": """SELECT * REPLACE (CASE WHEN gender_concept_id = 8507 THEN 1 WHEN gender_concept_id <> 8507 THEN 0 END AS gender_concept_id),
         CASE WHEN CCI < 1 THEN 1 WHEN CCI < 2 THEN 2 WHEN CCI < 3 THEN 3 ELSE 4 END AS CCIGR
         FROM (SELECT *, CCI6 + CCI7 + CCI11 + CCI13 + 2 * (CCI2 + CCI5 + CCI9 + CCI12 + CCI14)
                         + 4 * (CCI15 + CCI7) + 6 * CCI16 AS CCI FROM analysis)""",
@@ -216,7 +218,7 @@ STEPS: dict[str, str] = {
         "control / (control + patient) AS control_ratio, patient, patient / (control + patient) AS patient_ratio "
         "FROM (" + " UNION ALL ".join(
             f"SELECT '{v}' AS variable, CAST({v} AS STRING) AS value, count(*) FILTER (TSH = 0) AS control, "
-            f"count(*) FILTER (TSH = 1) AS patient FROM scored GROUP BY {v}" for v in k.TABLE_VARIABLES) + ")",
+            f"count(*) FILTER (TSH = 1) AS patient FROM scored WHERE {v} IS NOT NULL GROUP BY {v}" for v in k.TABLE_VARIABLES) + ")",
     "model_variables": f"""SELECT DISTINCT variable FROM freq WHERE value = '1' AND control <> 0 AND patient <> 0
         AND variable NOT IN ({", ".join(f"'{v}'" for v in k.NOT_MODELLED)})""",
     # ---- models
@@ -248,8 +250,9 @@ STEPS: dict[str, str] = {
     # ---- follow-up
     "exposed": """SELECT person_id, case_number, enroll_date, indexdt2 AS index_date FROM analysis
         WHERE value IS NOT NULL AND allo = 1""",
-    "eras": """SELECT person_id, min(drug_exposure_start_date) AS start_date, max(drug_exposure_end_date) AS last_intake,
-        CAST(max(drug_exposure_end_date) - min(drug_exposure_start_date) AS INT) AS drug_days
+    "eras": """SELECT person_id, min(drug_exposure_start_date) AS start_date, CASE WHEN count(*) = count(drug_exposure_end_date) THEN max(drug_exposure_end_date) END AS last_intake,
+        CAST(CASE WHEN count(*) = count(drug_exposure_end_date) THEN max(drug_exposure_end_date) END
+             - min(drug_exposure_start_date) AS INT) AS drug_days
         FROM (SELECT *, sum(fresh) OVER (PARTITION BY person_id
                   ORDER BY drug_exposure_start_date, drug_exposure_end_date, drug_exposure_id, days_supply
                   ROWS UNBOUNDED PRECEDING) AS era
@@ -257,7 +260,8 @@ STEPS: dict[str, str] = {
                         PARTITION BY person_id ORDER BY drug_exposure_start_date, drug_exposure_end_date,
                         drug_exposure_id, days_supply) + 7 THEN 0 ELSE 1 END AS fresh FROM target_drugs))
         GROUP BY person_id, era""",
-    "eras_max": """SELECT person_id, min(s) AS start_date, max(e) AS last_intake, CAST(max(e) - min(s) AS INT) AS drug_days
+    "eras_max": """SELECT person_id, min(s) AS start_date, CASE WHEN count(*) = count(e) THEN max(e) END AS last_intake,
+        CAST(CASE WHEN count(*) = count(e) THEN max(e) END - min(s) AS INT) AS drug_days
         FROM (SELECT *, sum(fresh) OVER (PARTITION BY person_id ORDER BY s, e, drug_exposure_id
                   ROWS UNBOUNDED PRECEDING) AS era
               FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY person_id ORDER BY s, e, drug_exposure_id
@@ -274,20 +278,25 @@ STEPS: dict[str, str] = {
     "tests": f"""SELECT CASE WHEN measurement_concept_id IN {ids(k.T3_CODES)} THEN 'T3'
              WHEN measurement_concept_id IN {ids(k.T4_CODES)} THEN 'T4'
              WHEN measurement_concept_id IN {ids(k.FREE_T4_CODES)} THEN 'freeT4' END AS hormone,
-        m.person_id, measurement_id, measurement_date, {STRIPPED} AS value, index_date, last_start
+        m.person_id, measurement_id, measurement_date, {STRIPPED} AS value,
+        value_source_value AS text, index_date, last_start
         FROM measurement m JOIN (SELECT person_id, index_date, max(start_date) AS last_start FROM near_eras
                                  GROUP BY person_id, index_date) e ON e.person_id = m.person_id""",
     "before_tests": """SELECT hormone, 1 AS part, CASE WHEN count(*) = count(value) THEN min(value) END AS value FROM (
             SELECT *, min(measurement_date) OVER (PARTITION BY hormone, person_id) AS earliest FROM tests
             WHERE hormone IS NOT NULL AND measurement_date < last_start)
         WHERE measurement_date = earliest GROUP BY hormone, person_id""",
+    "text_tests": f"""SELECT hormone, 1 AS part, CASE WHEN count(*) = count(text) THEN {number("min(text)")} END AS value FROM (
+            SELECT *, min(measurement_date) OVER (PARTITION BY hormone, person_id) AS earliest FROM tests
+            WHERE hormone IS NOT NULL AND measurement_date < last_start)
+        WHERE measurement_date = earliest GROUP BY hormone, person_id""",
     "after_tests": """SELECT hormone, 2 AS part, value FROM (
             SELECT *, row_number() OVER (PARTITION BY hormone, person_id
                                          ORDER BY measurement_date DESC, measurement_id) AS rn
             FROM tests WHERE hormone IS NOT NULL AND measurement_date >= index_date) WHERE rn = 1""",
     "classified": """SELECT person_id, condition_concept_id, condition_start_date, index_date,
         CASE WHEN condition_start_date < index_date THEN 'before' WHEN condition_start_date > index_date THEN 'after'
-             ELSE 'same' END AS condition
+             WHEN condition_start_date = index_date THEN 'same' END AS condition
         FROM condition_occurrence JOIN (SELECT DISTINCT person_id, index_date FROM near_eras) USING (person_id)""",
     "fresh_pairs": """SELECT person_id, condition_concept_id FROM classified WHERE condition = 'after'
         EXCEPT SELECT person_id, condition_concept_id FROM classified WHERE condition = 'before'""",
@@ -350,6 +359,20 @@ def chapter_join(rows: str, rule: str) -> str:
         LEFT JOIN titles USING (Chapter)"""
 
 
+def before_after(before: str) -> str:
+    return f"""SELECT concat(h.hormone, '_', CAST(h.part AS STRING)) AS name,
+        round(CASE WHEN count(t.hormone) = count(t.value) THEN avg(t.value) END, 6) AS value, count(t.hormone) AS n
+        FROM (SELECT * FROM (VALUES ('T3', 1), ('T3', 2), ('T4', 1), ('T4', 2), ('freeT4', 1), ('freeT4', 2))
+              v(hormone, part)) h
+        LEFT JOIN (SELECT * FROM {before} UNION ALL SELECT * FROM after_tests) t
+        ON t.hormone = h.hormone AND t.part = h.part GROUP BY h.hormone, h.part"""
+
+
+# The files that a study writes, and the steps that hold their rows.
+RESULT_FILES = {"TABLE1": "freq", "TABLE2": "model_variables", "TABLE3": "model_variables", "diagram": "range(10)",
+                "TSH_table": "range(4)", "t_series": "range(6)", "newdisease_topN": "new_codes",
+                "newdisease_ICDchapter": "(SELECT DISTINCT r.Chapter FROM new_codes b LEFT JOIN " + """letters r
+                    ON r.letter = b.ICD[1] AND TRY_CAST(substr(b.ICD, 2, 2) AS INT) BETWEEN r.low AND r.high)"""}
 BY_LETTER = "letters r ON r.letter = b.ICD[1] AND TRY_CAST(substr(b.ICD, 2, 2) AS INT) BETWEEN r.low AND r.high"
 ATTRITION = ("(SELECT count(DISTINCT person_id) FROM person)", "(SELECT count(*) FROM entry)",
              "(SELECT count(*) FROM adult)", *[f"(SELECT count(*) FROM stage{i})" for i in range(4, 9)],
@@ -383,7 +406,7 @@ TEXTS: dict[str, str] = {
     "exposure_end": f"""SELECT drug_concept_id, min({DRUG_DAYS}) AS first_end, max({DRUG_DAYS}) AS last_end
         FROM drug_exposure GROUP BY drug_concept_id""",
     "enroll_year": "SELECT person_id, CAST(year(enroll_date) AS INT) AS enrollyear FROM entry",
-    "recode_gender": "SELECT person_id, CASE WHEN gender_concept_id = 8507 THEN 1 ELSE 0 END AS gender FROM person",
+    "recode_gender": "SELECT person_id, CASE WHEN gender_concept_id = 8507 THEN 1 WHEN gender_concept_id <> 8507 THEN 0 END AS gender FROM person",
     "odds_ratio_ci": f"""SELECT variable, level, round(OR_, 6) AS "OR", {rounded("lower_ci", "upper_ci")} FROM crude""",
     "icd_chapter": f"SELECT b.ICD, b.n, r.Chapter FROM blocks b LEFT JOIN {BY_LETTER}",
     "icd_three_char": """SELECT ICD, concept_name, n FROM blocks JOIN concept ON concept_code = ICD
@@ -440,7 +463,7 @@ TEXTS: dict[str, str] = {
         "e.drug_exposure_start_date BETWEEN a.enroll_date AND a.enroll_date + 364 "
         "OR e.drug_exposure_end_date BETWEEN a.enroll_date AND a.enroll_date + 364"),
     "exclude_drug_overlap": drug_free(
-        "e.drug_exposure_start_date <= a.enroll_date + 364 AND e.drug_exposure_end_date >= a.enroll_date"),
+        "e.drug_exposure_start_date <= a.enroll_date + 364 AND coalesce(e.drug_exposure_end_date, e.drug_exposure_start_date) >= a.enroll_date"),
     "screened_cohort": "SELECT person_id, enroll_date, gender_concept_id, round(age, 6) AS age FROM stage8",
     "attrition": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT {i} AS no, '{name}' AS name, CAST({count} AS BIGINT) AS number"
@@ -475,12 +498,10 @@ TEXTS: dict[str, str] = {
         UNION ALL SELECT 'TSH_after_indexdt_max', round(avg(value), 6), count(*) FROM (
             SELECT *, rank() OVER (PARTITION BY person_id ORDER BY value DESC) AS place FROM period_labs) WHERE place = 1
         UNION ALL SELECT 'TSH_after_indexdt_mean', round(avg(value), 6), count(*) FROM period_labs""",
-    "before_after_series": """SELECT concat(h.hormone, '_', CAST(h.part AS STRING)) AS name,
-        round(CASE WHEN count(t.hormone) = count(t.value) THEN avg(t.value) END, 6) AS value, count(t.hormone) AS n
-        FROM (SELECT * FROM (VALUES ('T3', 1), ('T3', 2), ('T4', 1), ('T4', 2), ('freeT4', 1), ('freeT4', 2))
-              v(hormone, part)) h
-        LEFT JOIN (SELECT * FROM before_tests UNION ALL SELECT * FROM after_tests) t
-        ON t.hormone = h.hormone AND t.part = h.part GROUP BY h.hormone, h.part""",
+    "before_after_text": before_after("text_tests"),
+    "sink_result_files": "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS name, (SELECT count(*) FROM {rows}) AS n" for name, rows in RESULT_FILES.items()) + ")",
+    "before_after_series": before_after("before_tests"),
     "classify_relative_to_index": """SELECT person_id, condition_concept_id, condition_start_date, index_date, condition
         FROM classified""",
     "top_new_diagnoses": "SELECT ICD, n, concept_name FROM new_codes ORDER BY n DESC, ICD",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -547,6 +549,21 @@ def before_after_series(s: Study) -> DataFrame:
     return s.hormone_series.select("name", r6("value").alias("value"), "n")
 
 
+@query
+def before_after_text(s: Study) -> DataFrame:
+    series = summaries.before_after(s.near_eras, s.tables.measurement, column=s.hormone_column, string_min=True)
+    return series.select("name", r6("value").alias("value"), "n")
+
+
+@query
+def sink_result_files(s: Study) -> DataFrame:
+    """Rows of each written file, read back."""
+    paths = s.write_results(f"{s.scratch.root}/results-{uuid.uuid4().hex}", "SITE")
+    counts = [s.spark.read.csv(path, header=True).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+              for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def classify_relative_to_index(s: Study) -> DataFrame:
     return diagnoses.classify(s.tables.condition_occurrence, s.near_eras)

@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_RUNS_OFF = 1e-2   # an estimate that moves so much while the likelihood does not has no maximum
 _Z = 1.96  # Fixed value: the normal quantile of the 95 % interval.
 _COEFFICIENTS = "estimate double, std_error double, statistic double, p_value double, converged boolean"
 
@@ -109,22 +110,19 @@ def _finish(fits: DataFrame) -> DataFrame:
 
 
 def stratum_differences(df: DataFrame, variables: Sequence[str], *, outcome: str = "TSH",
-                        strata: str = "case_number", max_stratum: int = 10_000) -> DataFrame:
+                        strata: str = "case_number") -> DataFrame:
     """Distinct sets of covariate differences (control minus case) with the number of strata that show them.
 
-    A stratum has the size the matching gave it; one above ``max_stratum``, or with two cases, raises an error.
+    A stratum has the size the matching gave it; one with two cases raises an error.
     """
     x = F.expr("array(" + ", ".join(f"double({v})" for v in variables) + ")")
     case = F.col(outcome) == 1
     rows = df.select(strata, case.alias("_case"), x.alias("_x")).filter(~F.exists("_x", F.isnull))
-    sizes = rows.groupBy(strata).agg(F.count(F.lit(1)).alias("_m"), F.count_if("_case").alias("_cases"))
-    bad = (F.when(F.col("_cases") > 1, F.raise_error(F.lit("a stratum holds more than one case")))
-           .when(F.col("_m") > max_stratum, F.raise_error(F.lit("a stratum is larger than max_stratum")))
-           .otherwise(F.col("_cases") == 1))
-    rows = rows.join(sizes.filter(bad).select(strata), strata, "left_semi")
     members = rows.groupBy(strata).agg(
-        F.first(F.when(F.col("_case"), F.col("_x")), ignorenulls=True).alias("_of_case"),
+        F.count_if("_case").alias("_cases"), F.first(F.when(F.col("_case"), F.col("_x")), ignorenulls=True).alias("_of_case"),
         F.collect_list(F.when(~F.col("_case"), F.col("_x"))).alias("_of_controls"))
+    members = members.filter(F.when(F.col("_cases") > 1, F.raise_error(F.lit("a stratum holds more than one case")))
+                             .otherwise(F.col("_cases") == 1))
     differences = F.array_sort(F.transform("_of_controls", lambda control: F.zip_with(
         control, "_of_case", lambda a, b: a - b)))
     informative = F.exists("differences", lambda z: F.exists(z, lambda v: v != 0))
@@ -172,7 +170,7 @@ def likelihood_at(sets: DataFrame, beta: Sequence[float]) -> tuple[float, np.nda
 
 
 def adjusted_odds(df: DataFrame, variables: Sequence[str], *, outcome: str = "TSH", strata: str = "case_number",
-                  max_iter: int = 20, tol: float = 1e-9) -> DataFrame:
+                  max_iter: int = 60, tol: float = 1e-9) -> DataFrame:
     """One model with all variables. Each Newton step is one Spark job over the distinct strata; the driver only sees
     a p x p matrix. A variable that is a combination of earlier ones gets no coefficient."""
     spark = df.sparkSession
@@ -189,6 +187,8 @@ def adjusted_odds(df: DataFrame, variables: Sequence[str], *, outcome: str = "TS
 
 
 def _newton(sets: DataFrame, variables: list[str], max_iter: int, tol: float) -> list[dict]:
+    """Newton steps until no estimate moves. A variable that still moves when the likelihood has stopped to change runs off to
+    infinity (it is separated): it stays where it is, without an estimate, and the others go on."""
     p = len(variables)
     beta, converged = np.zeros(p), False
     log_likelihood, score, information = likelihood_at(sets, beta)
@@ -196,21 +196,21 @@ def _newton(sets: DataFrame, variables: list[str], max_iter: int, tol: float) ->
     for _ in range(max_iter):
         if not free:
             break
-        block = information[np.ix_(free, free)]
-        if np.linalg.cond(block) > 1e14:
-            break
         step = np.zeros(p)
-        step[free] = np.linalg.solve(block, score[free])
+        step[free] = np.linalg.solve(information[np.ix_(free, free)], score[free])
         beta = beta + step
         new = likelihood_at(sets, beta)
         while new[0] < log_likelihood - 1e-9 * abs(log_likelihood) and np.abs(step).max() > tol:
             step = step / 2     # the full step overshot
             beta = beta - step
             new = likelihood_at(sets, beta)
+        still = abs(new[0] - log_likelihood) <= 1e-9 * (abs(new[0]) + 0.1)
         log_likelihood, score, information = new
-        if np.abs(step).max() <= tol * max(1.0, float(np.abs(beta).max())):
+        if np.abs(step).max() <= tol * max(1.0, float(np.abs(beta[free]).max())):
             converged = True
             break
+        if still:
+            free = [j for j in free if abs(step[j]) <= _RUNS_OFF]
     variance = np.linalg.pinv(information[np.ix_(free, free)]) if free else np.zeros((0, 0))
     rows, coefficient = [], _coefficient_rule()
     for j, name in enumerate(variables):

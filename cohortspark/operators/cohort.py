@@ -98,19 +98,22 @@ def exclude_abnormal(cohort: DataFrame, labs: DataFrame, *, low: float = k.LOWER
 
 def screen(labs: DataFrame, person: DataFrame, conditions: DataFrame, procedures: DataFrame, drugs: DataFrame, *,
            procedure_column: str = "procedure_source_value", patterns: Sequence[str] = k.SURGERY_PATTERNS,
-           procedure_codes: Sequence[int] = k.RADIOIODINE_CODES, min_age: int = k.MIN_AGE,
-           days: int = k.BASELINE_DAYS) -> DataFrame:
+           procedure_codes: Sequence[int] = k.RADIOIODINE_CODES, min_age: int = k.MIN_AGE, low: float = k.LOWER_LIMIT,
+           high: float = k.UPPER_LIMIT, days: int = k.BASELINE_DAYS, scratch: Scratch | None = None) -> DataFrame:
     """One row per tested person with every entry rule as a flag; ``conditions`` and ``drugs`` are already
     restricted to the excluded codes.
 
     Each event table is aggregated to one row per person first, so all rules share the person partitioning and
     the table is built in one pass. ``passed`` counts the rules met in order: 1 adult, 2 laboratory,
-    3 condition, 4 surgery, 5 drug, 6 procedure code.
+    3 condition, 4 surgery, 5 drug, 6 procedure code. With a scratch folder the entry dates, which two rules need, are
+    written once.
     """
     first_date = F.min("measurement_date")
     lab = labs.groupBy("person_id").agg(
         first_date.alias("enroll_date"),
-        F.min(F.when(outside_range(F.col("value")), F.col("measurement_date"))).alias("_abnormal"))
+        F.min(F.when(outside_range(F.col("value"), low, high), F.col("measurement_date"))).alias("_abnormal"))
+    if scratch is not None:
+        lab = scratch.cut(lab, "entry")
     condition = conditions.groupBy("person_id").agg(F.min("condition_start_date").alias("_condition"))
     surgery = contains_any(procedure_column, patterns)
     treated = F.col("procedure_concept_id").isin(*procedure_codes)

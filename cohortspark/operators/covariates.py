@@ -48,8 +48,13 @@ def condition_flag(anchors: DataFrame, conditions: DataFrame, codes: DataFrame,
 
 def condition_flags(anchors: DataFrame, conditions: DataFrame, comorbidity_codes: DataFrame,
                     condition_codes: DataFrame, **options) -> DataFrame:
-    """Comorbidity flags and the condition flag in one pass over the conditions."""
-    codes = comorbidity_codes.join(condition_codes, "concept_id", "full")
+    """Comorbidity flags and the condition flag in one pass over the conditions.
+
+    The two lists become one by a union, whose size Spark knows from the files; a full join's estimate would be the
+    product of both, and the conditions would be shuffled by concept for it.
+    """
+    both = comorbidity_codes.unionByName(condition_codes, allowMissingColumns=True)
+    codes = both.groupBy("concept_id").agg(*[F.max(c).alias(c) for c in both.columns if c != "concept_id"])
     return flags(anchors, conditions, codes, {**{c: c for c in k.COMORBIDITIES}, "dis1": "cdis1"}, **options)
 
 
@@ -68,25 +73,26 @@ def fill_zero(df: DataFrame, prefixes: Sequence[str], names: Sequence[str] = ())
                            for c in df.columns])
 
 
-def age_group(age: Column) -> Column:
+def age_group(age: Column, bands: Sequence[tuple[int, int]] = k.AGE_BANDS) -> Column:
     """Number of the age band; ages outside all bands share the last number."""
-    group = F.lit(len(k.AGE_BANDS) + 1)
-    for number, (low, high) in reversed(list(enumerate(k.AGE_BANDS, start=1))):
+    group = F.lit(len(bands) + 1)
+    for number, (low, high) in reversed(list(enumerate(bands, start=1))):
         group = F.when(age.between(low, high), F.lit(number)).otherwise(group)
     return group
 
 
-def analysis_table(case_control: DataFrame, *parts: DataFrame) -> DataFrame:
+def analysis_table(case_control: DataFrame, *parts: DataFrame, bands: Sequence[tuple[int, int]] = k.AGE_BANDS) -> DataFrame:
     """Case-control rows with all covariates joined on (person, case), missing flags as 0, age band and entry year."""
     table = case_control
     for part in parts:
         table = table.join(part, KEY, "left")
     return (fill_zero(table, ("CCI", "cdis", "cdr"), ("w", "allo"))
-            .withColumns({"agegr": age_group(F.col("age")), "enrollyear": F.year("enroll_date")}))
+            .withColumns({"agegr": age_group(F.col("age"), bands), "enrollyear": F.year("enroll_date")}))
 
 
-def recode_gender(gender: Column) -> Column:
-    return if_else(gender == k.MALE, F.lit(1), F.lit(0))
+def recode_gender(gender: Column, code: int = k.MALE) -> Column:
+    """1 for the given concept, else 0; a missing gender stays missing."""
+    return if_else(gender == code, F.lit(1), F.lit(0))
 
 
 def comorbidity_score(df: DataFrame, *, weights: Mapping[str, int] = k.SCORE_WEIGHTS,

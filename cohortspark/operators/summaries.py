@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import constants as k
 from cohortspark.functions import na_agg, stripped_number
-from cohortspark.operators.relational import first_event, group_extreme, mean_and_n
+from cohortspark.operators.relational import group_extreme, mean_and_n
 
 
 def frequency_table(df: DataFrame, *, outcome: str = "TSH",
@@ -65,7 +65,7 @@ def lab_summary(labs: DataFrame, period: DataFrame) -> DataFrame:
 def before_after(eras: DataFrame, measurement: DataFrame, *, column: str = "measurement_concept_id",
                  code_sets: Mapping[str, Sequence[int]] = k.HORMONES, string_min: bool = False) -> DataFrame:
     """Mean value and number of persons per code set, at the first test before an era and at the last test on or
-    after the index date; one scan serves all sets.
+    after the index date. The tests are scanned once and the eras once.
 
     ``string_min`` takes the smallest text before it is read as a number, instead of the smallest number.
     """
@@ -77,18 +77,17 @@ def before_after(eras: DataFrame, measurement: DataFrame, *, column: str = "meas
              .select("_set", "person_id", "measurement_id", "measurement_date", "value_source_value")
              .join(persons, "person_id"))
 
-    text = F.col("value_source_value")
-    earliest = group_extreme(tests.filter(F.col("measurement_date") < F.col("_last_start"))
-                             .withColumn("_who", F.struct("_set", "person_id")), "_who", "measurement_date")
-    if string_min:
-        smallest = na_agg(F.min, text).try_cast("double")
-    else:
-        smallest = na_agg(F.min, stripped_number(text))
-    before = earliest.groupBy("_set", "person_id").agg(smallest.alias("_value"))
-    after = (first_event(tests.filter(F.col("measurement_date") >= F.col("index_date")), ["_set", "person_id"],
-                         [F.col("measurement_date").desc_nulls_last(), F.col("measurement_id")])
-             .select("_set", "person_id", stripped_number(text).alias("_value")))
-    both = before.withColumn("_when", F.lit(1)).unionByName(after.withColumn("_when", F.lit(2)))
+    text, day = F.col("value_source_value"), F.col("measurement_date")
+    lowest = na_agg(F.min, text).try_cast("double") if string_min else na_agg(F.min, stripped_number(text))
+    before, after = F.max(day < F.col("_last_start")), F.max(day >= F.col("index_date"))
+    # One row per person, set and day says all: the day's smallest value, and the value of its first test.
+    days = tests.groupBy("_set", "person_id", "measurement_date").agg(
+        before.alias("_before"), after.alias("_after"), F.struct(lowest.alias("value")).alias("_lowest"),
+        F.min_by(F.struct(stripped_number(text).alias("value")), "measurement_id").alias("_first"))
+    ends = days.groupBy("_set", "person_id").agg(
+        F.min_by("_lowest", F.when(F.col("_before"), day)).alias("_1"), F.max_by("_first", F.when(F.col("_after"), day)).alias("_2"))
+    both = (ends.select("_set", F.inline(F.array(*[F.struct(F.lit(n).alias("_when"), F.col(f"_{n}").alias("_test")) for n in (1, 2)])))
+            .filter(F.col("_test").isNotNull()).select("_set", "_when", F.col("_test.value").alias("_value")))
     means = (both.groupBy("_set", "_when").agg(na_agg(F.avg, "_value").alias("value"), F.count(F.lit(1)).alias("n"))
              .select("value", "n", F.concat_ws("_", "_set", "_when").alias("name")))
     # A set without any test still has its two rows.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import constants as k
 from cohortspark.operators import clogit, cohort, covariates, diagnoses, exposure, matching, summaries
+from cohortspark.plans.parameters import StudyParameters
 from cohortspark.sources import ClinicalTables, CodeLists, in_codes, of_persons, write_csv, write_table
 from cohortspark.storage import Scratch
 
@@ -18,11 +19,13 @@ MODEL_CANDIDATES = tuple(v for v in k.TABLE_VARIABLES if v not in (*k.NOT_MODELL
 class Study:
     """Stages of the study. Each is lazy; those that several later stages read are written once to the scratch folder."""
 
-    def __init__(self, spark: SparkSession, tables: ClinicalTables, codes: CodeLists, *, seed: int = 42,
+    def __init__(self, spark: SparkSession, tables: ClinicalTables, codes: CodeLists, *,
+                 parameters: StudyParameters | None = None, seed: int = 42,
                  procedure_column: str = "procedure_source_value",
                  hormone_column: str = "measurement_concept_id"):
         self.spark, self.tables, self.codes = spark, tables, codes
         self.seed, self.procedure_column, self.hormone_column = seed, procedure_column, hormone_column
+        self.parameters = parameters or StudyParameters()
         self.scratch = Scratch(spark)
 
     @cached_property
@@ -32,10 +35,13 @@ class Study:
 
     @cached_property
     def screened(self) -> DataFrame:
+        p = self.parameters
         excluded = in_codes(self.tables.condition_occurrence, "condition_concept_id", self.codes.excluded_condition)
         drugs = in_codes(self.tables.drug_exposure, "drug_concept_id", self.codes.excluded_drug)
         flags = cohort.screen(self.labs, self.tables.person, excluded, self.tables.procedure_occurrence, drugs,
-                              procedure_column=self.procedure_column)
+                              procedure_column=self.procedure_column, patterns=p.surgery_patterns,
+                              procedure_codes=p.procedure_codes, min_age=p.min_age, low=p.lower_limit, high=p.upper_limit,
+                              days=p.baseline_days, scratch=self.scratch)
         return self.scratch.cut(flags, "screened")
 
     @cached_property
@@ -44,7 +50,8 @@ class Study:
 
     @cached_property
     def cases(self) -> DataFrame:
-        return self.scratch.cut(cohort.select_cases(self.cohort, self.labs, self.scratch), "cases")
+        return self.scratch.cut(cohort.select_cases(self.cohort, self.labs, self.scratch,
+                                                    threshold=self.parameters.upper_limit), "cases")
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -52,7 +59,11 @@ class Study:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return matching.match_controls(self.cases, self.pool, self.scratch, seed=self.seed)
+        """Written, because several stages read it."""
+        p = self.parameters
+        return self.scratch.cut(matching.match_controls(
+            self.cases, self.pool, self.scratch, exact=p.exact, controls=p.controls, age_band=p.age_band,
+            date_band=p.entry_band, seed=self.seed), "matches")
 
     @cached_property
     def attrition(self) -> DataFrame:
@@ -64,32 +75,38 @@ class Study:
 
     @cached_property
     def target_drugs(self) -> DataFrame:
-        return in_codes(self.tables.drug_exposure, "drug_concept_id", self.codes.target_drug)
+        """Written once, for the exposures and the eras."""
+        return self.scratch.cut(in_codes(self.tables.drug_exposure, "drug_concept_id", self.codes.target_drug), "target-drugs")
 
     @cached_property
     def exposures(self) -> DataFrame:
-        return exposure.exposure_window(self.case_control, self.target_drugs)
+        return exposure.exposure_window(self.case_control, self.target_drugs, days=self.parameters.lookback_days,
+                                        mode=self.parameters.exposure_mode)
 
     @cached_property
     def analysis(self) -> DataFrame:
         """One row per person and case, with every covariate, gender still as a concept."""
         exposures = self.scratch.cut(self.exposures, "exposures")
+        p = self.parameters
         table = covariates.analysis_table(
-            self.case_control, exposure.recency_class(exposures), exposure.continuous_use(exposures),
+            self.case_control, exposure.recency_class(exposures, bins=p.recency_bins),
+            exposure.continuous_use(exposures, gap=p.span_gap),
             covariates.condition_flags(self.case_control, self.tables.condition_occurrence,
-                                       self.codes.comorbidity, self.codes.covariate_condition),
-            covariates.class_flags(self.case_control, self.tables.drug_exposure, self.codes.covariate_drug))
+                                       self.codes.comorbidity, self.codes.covariate_condition, days=p.lookback_days),
+            covariates.class_flags(self.case_control, self.tables.drug_exposure, self.codes.covariate_drug,
+                                   classes=p.drug_classes, days=p.lookback_days), bands=p.age_bands)
         return self.scratch.cut(table, "analysis")
 
     @cached_property
     def scored(self) -> DataFrame:
         """The analysis table with score, grade and gender as 0/1."""
-        return (covariates.comorbidity_score(self.analysis)
-                .withColumn("gender_concept_id", covariates.recode_gender(F.col("gender_concept_id"))))
+        p = self.parameters
+        return (covariates.comorbidity_score(self.analysis, weights=p.score_weights, cuts=p.score_cuts)
+                .withColumn("gender_concept_id", covariates.recode_gender(F.col("gender_concept_id"), p.gender_code)))
 
     @cached_property
     def frequencies(self) -> DataFrame:
-        return summaries.frequency_table(self.scored)
+        return self.scratch.cut(summaries.frequency_table(self.scored), "frequencies")
 
     @cached_property
     def model_variables(self) -> DataFrame:
@@ -110,15 +127,16 @@ class Study:
 
     @cached_property
     def eras(self) -> DataFrame:
-        return exposure.drug_eras(of_persons(self.target_drugs, self.exposed))
+        return exposure.drug_eras(of_persons(self.target_drugs, self.exposed), gap=self.parameters.era_gap,
+                                  compare=self.parameters.era_compare)
 
     @cached_property
     def near_eras(self) -> DataFrame:
-        return self.scratch.cut(exposure.eras_near_index(self.eras, self.exposed), "eras")
+        return self.scratch.cut(exposure.eras_near_index(self.eras, self.exposed, days=self.parameters.lookback_days), "eras")
 
     @cached_property
     def period(self) -> DataFrame:
-        return exposure.exposure_period(self.near_eras)
+        return exposure.exposure_period(self.near_eras, follow_up=self.parameters.follow_up_days)
 
     @cached_property
     def lab_summary(self) -> DataFrame:
@@ -127,7 +145,8 @@ class Study:
 
     @cached_property
     def hormone_series(self) -> DataFrame:
-        return summaries.before_after(self.near_eras, self.tables.measurement, column=self.hormone_column)
+        return summaries.before_after(self.near_eras, self.tables.measurement, column=self.hormone_column,
+                                      code_sets=self.parameters.hormones, string_min=self.parameters.string_min)
 
     @cached_property
     def new_pairs(self) -> DataFrame:
@@ -139,7 +158,7 @@ class Study:
 
     @cached_property
     def new_chapters(self) -> DataFrame:
-        return diagnoses.chapters(self.new_codes)
+        return diagnoses.chapters(self.new_codes, mode=self.parameters.chapter_mode)
 
     def write_results(self, folder: str, site: str) -> dict[str, str]:
         """Write every result as CSV (the three tables also as parquet) and return the paths."""

@@ -38,8 +38,16 @@ class CodeLists:
 
 
 def csv_codes(spark: SparkSession, path: str, schema: str = "concept_id bigint") -> DataFrame:
-    """A code list from a CSV file with a header; the first columns must be those of the schema."""
-    return spark.read.schema(schema).csv(path, header=True, nullValue="NA", enforceSchema=True)
+    """A code list from a CSV file: the columns of the schema, found by their names in the header, in any order.
+
+    Other columns are left out; a missing one raises an error.
+    """
+    header = spark.read.csv(path, header=True, nullValue="NA")   # all columns as text; Spark reads the first line only
+    wanted = [part.split() for part in schema.split(",")]
+    missing = [name for name, _ in wanted if name not in header.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return header.select(*[F.trim(F.col(f"`{name}`")).try_cast(kind).alias(name) for name, kind in wanted])
 
 
 def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
