@@ -95,7 +95,8 @@ def dedup_lines(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_co
     docs = df.select(nested(df).alias("doc"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"))
     text = F.col(f"doc.`{text_col}`")
     left = F.filter(F.split(text_of(text), "\n"), lambda _, i: ~F.exists("spans", lambda s: (s["first"] <= i) & (i <= s["last"])))
-    cleaned = (docs.join(spans, "key", "left")
+    # The spans grow with the corpus: texts and spans are shuffled to each other at every size, never broadcast.
+    cleaned = (docs.join(spans.hint("merge"), "key", "left")
                .withColumn("cleaned", F.when(F.col("spans").isNull(), text).otherwise(F.array_join(left, "\n")))
                .withColumn("removed", F.coalesce("spans", F.expr("CAST(array() AS array<struct<first:int,last:int>>)"))))
     return cleaned.select(*[F.col("cleaned").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c)
