@@ -247,6 +247,40 @@ STEPS: dict[str, str] = {
         exp(estimate + 1.96 * std_error) AS upper_ci, estimate, std_error, statistic, p_value,
         estimate IS NOT NULL AS converged FROM model_variables v LEFT JOIN fits USING (variable)
         LEFT JOIN p_values USING (variable)""",
+    # One model of all variables: a Newton step per turn of the recursion. Members are differences from their case, the
+    # matrix is [information | score | identity], and list_reduce does one Gauss-Jordan pivot per variable.
+    "members": "SELECT case_number, row_number() OVER () AS member, TSH, ["
+        + ", ".join(f"CAST({v} AS DOUBLE) * (SELECT count(*) FROM model_variables WHERE variable = '{v}')" for v in MODEL) + "] AS x FROM scored",
+    "differences": """SELECT case_number, r.member, list_transform(list_zip(r.x, c.x), lambda p: p[1] - p[2]) AS z
+        FROM members r JOIN members c USING (case_number) WHERE c.TSH = 1""",
+    "unused": "SELECT [" + ", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM model_variables WHERE variable = '{v}') THEN 0.0::DOUBLE ELSE 1 END"
+                                     for v in MODEL) + "] AS unit FROM range(1)",
+    "joint": f"""SELECT 0 AS it, list_transform(range({len(MODEL)}), lambda i: 0.0::DOUBLE) AS beta, []::DOUBLE[] AS variance
+        UNION ALL
+        SELECT it + 1, list_transform(list_zip(beta, inverse), lambda p: p[1] + p[2][{len(MODEL) + 1}]),
+               list_transform(inverse, lambda r, k: r[{len(MODEL) + 1} + k])
+        FROM (SELECT it, beta, list_reduce(list_prepend(list(line ORDER BY k), list_transform(range({len(MODEL)}), lambda i: NULL::DOUBLE[][])),
+                  lambda a, b, i: list_transform(a, lambda r, j: list_transform(r, lambda v, c:
+                      CASE WHEN j = i - 1 THEN v / a[i - 1][i - 1] ELSE v - r[i - 1] * a[i - 1][c] / a[i - 1][i - 1] END))) AS inverse
+              FROM (SELECT it, beta, k, list_concat(list(v + CASE WHEN l = k THEN unit[k] ELSE 0 END ORDER BY l),
+                        list_transform(range(1, {len(MODEL) + 1}), lambda c: CASE WHEN c = k THEN 1.0::DOUBLE ELSE 0 END)) AS line
+                    FROM (SELECT it, beta, unit, k, l, sum(q * CASE WHEN l > {len(MODEL)} THEN -z[k] ELSE d[k] * d[l] END) AS v
+                          FROM (SELECT it, beta, case_number, member, q, list(zk ORDER BY k) AS z, list(dk ORDER BY k) AS d
+                                FROM (SELECT *, zk - sum(q * zk) OVER (PARTITION BY case_number, k) AS dk
+                                      FROM (SELECT it, beta, case_number, member, q, unnest(range(1, {len(MODEL) + 1})) AS k, unnest(z) AS zk
+                                            FROM (SELECT *, w / sum(w) OVER (PARTITION BY case_number) AS q
+                                                  FROM (SELECT it, beta, case_number, member, z, exp(list_dot_product(beta, z)) AS w
+                                                        FROM joint CROSS JOIN differences WHERE it < 12))))
+                                GROUP BY it, beta, case_number, member, q)
+                          CROSS JOIN unused CROSS JOIN (SELECT unnest(range(1, {len(MODEL) + 1})) AS k) CROSS JOIN (SELECT unnest(range(1, {len(MODEL) + 2})) AS l)
+                          GROUP BY it, beta, unit, k, l)
+                    GROUP BY it, beta, unit, k)
+              GROUP BY it, beta)""",
+    "joint_fits": "SELECT variable, beta[k] AS estimate, sqrt(variance[k]) AS std_error, beta[k] / sqrt(variance[k]) AS statistic "
+        "FROM joint CROSS JOIN (VALUES " + ", ".join(f"('{v}', {i})" for i, v in enumerate(MODEL, start=1)) + """) t(variable, k)
+        WHERE it = 12 AND variable IN (SELECT variable FROM model_variables)""",
+    "joint_p_values": """SELECT variable, 1 - 2 * sum(weight * exp(-0.5 * pow(statistic * i / 400, 2)))
+        * abs(statistic) / 1200 / sqrt(2 * pi()) AS p_value FROM joint_fits CROSS JOIN simpson GROUP BY variable, statistic""",
     # ---- follow-up
     "exposed": """SELECT person_id, case_number, enroll_date, indexdt2 AS index_date FROM analysis
         WHERE value IS NOT NULL AND allo = 1""",
@@ -314,7 +348,7 @@ STEPS: dict[str, str] = {
     "blocks": "SELECT substr(concept_code, 1, 3) AS ICD, CAST(sum(n) AS BIGINT) AS n FROM coded GROUP BY 1",
 }
 
-RECURSIVE = {"picks", "newton"}
+RECURSIVE = {"picks", "newton", "joint"}
 
 
 @cache
@@ -485,6 +519,11 @@ TEXTS: dict[str, str] = {
     "model_variable_list": "SELECT variable FROM model_variables",
     "crude_odds_ratios": f"""SELECT variable, level, round(OR_, 6) AS "OR",
         {rounded("lower_ci", "upper_ci", "estimate", "std_error", "statistic", "p_value")}, converged FROM crude""",
+    # Without separated variables, as in the tables that this is compared on.
+    "adjusted_odds_ratios": f"""SELECT variable, '1' AS level, round(exp(estimate), 6) AS "OR",
+        round(exp(estimate - 1.96 * std_error), 6) AS lower_ci, round(exp(estimate + 1.96 * std_error), 6) AS upper_ci,
+        {rounded("estimate", "std_error", "statistic", "p_value")}, true AS converged
+        FROM joint_fits JOIN joint_p_values USING (variable)""",
     "drug_era": "SELECT person_id, start_date, last_intake, drug_days FROM eras",
     "drug_era_running_max": "SELECT person_id, start_date, last_intake, drug_days FROM eras_max",
     "eras_near_index": "SELECT person_id, start_date, last_intake, drug_days, enroll_date, index_date FROM near_eras",
