@@ -84,88 +84,116 @@ def _fillings(counts: list[int], lengths: list[int], room: int, waste: int, widt
     return [f[2] for f in sorted(found)[:width]]
 
 
-def _best_fit(counts: list[int], room: int) -> Pattern:
-    """The largest item that fits, again and again."""
-    out = []
-    length = room
-    while room > 0 and length > 0:
-        length = min(length, room)
-        while length > 0 and not counts[length]:
-            length -= 1
-        if length:
-            times = min(counts[length], room // length)
-            out.append((length, times))
-            room -= times * length
-            length -= 1
-    return tuple(out)
-
-
-def plan(histogram: dict[int, int], limit: int, nodes: int = 4_000, width: int = 3, steps: int = 400) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences use each, for the given number of items of each length.
-
-    Bin completion: take the largest item left, complete its sequence with an undominated filling, use that pattern as often
-    as the items allow, and go on. The first descent, with the filling of least waste each time, is the best-fit incumbent.
-    Branches are cut when the waste so far leaves no way to beat the incumbent, and the search ends when the incumbent
-    reaches the lower bound or after ``nodes`` patterns; then the incumbent stands. Work depends on the number of
-    different lengths, not of items.
+def best_fit(histogram: dict[int, int], limit: int) -> list[tuple[Pattern, int]]:
+    """Best-fit decreasing, for all pieces of a length at once: they go to the fullest sequences that still take one."""
+    rooms: list[dict[Pattern, int]] = [{} for _ in range(limit + 1)]   # sequences by room left, then by pattern
+    rooms[limit][()] = sum(histogram.values())   # more empty sequences than can be needed
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        room = length
+        while left:
+            if not rooms[room]:
+                room += 1
+                continue
+            pattern, number = next(iter(rooms[room].items()))
+            fits = room // length
+            used, times = (min(number, left // fits), fits) if left >= fits else (1, left)
+            after = room - times * length
+            filled = (*pattern, (length, times))
+            rooms[after][filled] = rooms[after].get(filled, 0) + used
+            rooms[room][pattern] -= used
+            if not rooms[room][pattern]:
+                del rooms[room][pattern]
+            left -= used * times
+            room = length   # what is left of the sequence may be the best fit now
+    return [(pattern, number) for group in rooms for pattern, number in group.items() if pattern]
+
+
+def lower_bound(histogram: dict[int, int], limit: int) -> int:
+    """No plan needs fewer sequences: pieces over half need one each, and for each size k, those too long to go with a piece of
+    size k have no use for the pieces between k and half."""
+    best = -(-sum(length * n for length, n in histogram.items()) // limit)
+    for k in sorted({length for length in histogram if 2 * length <= limit} | {0}):
+        alone = sum(n for length, n in histogram.items() if length > limit - k)
+        half = [(length, n) for length, n in histogram.items() if 2 * length > limit and length <= limit - k]
+        small = sum(length * n for length, n in histogram.items() if k <= length and 2 * length <= limit)
+        spare = sum((limit - length) * n for length, n in half)
+        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(small - spare) // limit)))
+    return best
+
+
+def complete(histogram: dict[int, int], limit: int, incumbent: list[tuple[Pattern, int]], nodes: int, width: int = 3,
+             steps: int = 400) -> list[tuple[Pattern, int]]:
+    """Bin completion: the fewest sequences found, at most as many as the incumbent has.
+
+    Take the largest piece left, complete its sequence with an undominated filling, use that pattern as often as the pieces
+    allow, and go on; fillings of least waste first. A branch ends when its waste leaves no way to beat the incumbent. The search
+    ends at the lower bound or after ``nodes`` patterns.
     """
     total = sum(length * n for length, n in histogram.items())
-    large = sum(n for length, n in histogram.items() if 2 * length > limit)
-    bound = max(-(-total // limit), large)
-    best: list[tuple[Pattern, int]] = []
-    best_size = None
-    budget = [nodes]
-
-    def descend(counts: list[int], chosen: list[tuple[Pattern, int]], used: int, wasted: int) -> bool:
-        """Whether the search is over."""
-        nonlocal best, best_size
-        stack = [(counts, chosen, used, wasted)]
-        while stack:
-            counts, chosen, used, wasted = stack.pop()
-            while True:
-                largest = next((n for n in range(limit, 0, -1) if counts[n]), 0)
-                if not largest:
-                    if best_size is None or used < best_size:
-                        best, best_size = chosen, used
-                    if best_size <= bound:
-                        return True
-                    break
-                # sequences that the incumbent would need, less one, bound the waste that is still allowed
-                allowed = limit if best_size is None else (best_size - 1) * limit - total - wasted
-                if allowed < 0 or budget[0] <= 0 and best_size is not None:
-                    break
-                budget[0] -= 1
-                counts = counts.copy()
-                counts[largest] -= 1
-                room = limit - largest
-                lengths = [n for n in range(room, 0, -1) if counts[n]]
-                options = _fillings(counts, lengths, room, min(allowed, room), width, steps) if lengths else [()]
-                greedy = _best_fit(counts, room)
-                if not options or sum(a * b for a, b in greedy) > sum(a * b for a, b in options[0]):
-                    options = [greedy, *options]
-                counts[largest] += 1
-                following = []
-                for filling in options:
-                    need: dict[int, int] = {largest: 1}
-                    for length, times in filling:
-                        need[length] = need.get(length, 0) + times
-                    repeat = min(counts[length] // times for length, times in need.items())
-                    after = counts.copy()
-                    for length, times in need.items():
-                        after[length] -= repeat * times
-                    pattern = tuple(sorted(need.items(), reverse=True))
-                    spare = limit - sum(a * b for a, b in need.items())
-                    following.append((after, [*chosen, (pattern, repeat)], used + repeat, wasted + repeat * spare))
-                stack += reversed(following[1:])
-                counts, chosen, used, wasted = following[0]
-            if budget[0] <= 0:
-                return True
-        return True
-
+    bound = lower_bound(histogram, limit)
+    best, best_size = incumbent, sum(times for _, times in incumbent)
     counts = [0] * (limit + 1)
     for length, n in histogram.items():
         counts[length] = n
-    descend(counts, [], 0, 0)
+    stack: list[tuple[list[int], tuple, int, int]] = [(counts, (), 0, 0)]   # counts left, chosen (linked), used, wasted
+    while stack and best_size > bound and nodes > 0:
+        counts, chosen, used, wasted = stack.pop()
+        largest = next((n for n in range(limit, 0, -1) if counts[n]), 0)
+        if not largest:
+            if used < best_size:
+                best, best_size = [], used
+                while chosen:
+                    best.append(chosen[0])
+                    chosen = chosen[1]
+            continue
+        allowed = (best_size - 1) * limit - total - wasted
+        if allowed < 0:
+            continue
+        nodes -= 1
+        room = limit - largest
+        counts[largest] -= 1
+        lengths = [n for n in range(room, 0, -1) if counts[n]]
+        options = _fillings(counts, lengths, room, min(allowed, room), width, steps) if lengths else [()]
+        counts[largest] += 1
+        for filling in reversed(options):
+            need: dict[int, int] = {largest: 1}
+            for length, times in filling:
+                need[length] = need.get(length, 0) + times
+            repeat = min(counts[length] // times for length, times in need.items())
+            after = counts.copy()
+            for length, times in need.items():
+                after[length] -= repeat * times
+            spare = limit - sum(a * b for a, b in need.items())
+            if repeat * spare <= allowed:
+                pattern = tuple(sorted(need.items(), reverse=True))
+                stack.append((after, ((pattern, repeat), chosen), used + repeat, wasted + repeat * spare))
+    return best
+
+
+def plan(histogram: dict[int, int], limit: int, nodes: int = 2_000, reopened: tuple[int, ...] = (20, 40, 80, 160, 320)) -> list[tuple[Pattern, int]]:
+    """Patterns and how many sequences use each, for the given number of pieces of each length.
+
+    Best fit gives the incumbent. Bin completion then searches for a better plan of all pieces, and again of the pieces of
+    the 20, 40, ... sequences with the most room, where a small search is nearly complete. Work depends on the
+    number of different lengths, not of pieces.
+    """
+    best = complete(histogram, limit, best_fit(histogram, limit), nodes)
+    for number in reopened:
+        if sum(times for _, times in best) <= lower_bound(histogram, limit):
+            break
+        opened: list[tuple[Pattern, int]] = []
+        rest: list[tuple[Pattern, int]] = []
+        for pattern, times in sorted(best, key=lambda p: sum(a * b for a, b in p[0])):
+            take = min(times, number)
+            number -= take
+            opened += [(pattern, take)] if take else []
+            rest += [(pattern, times - take)] if times > take else []
+        part: dict[int, int] = {}
+        for pattern, times in opened:
+            for length, n in pattern:
+                part[length] = part.get(length, 0) + n * times
+        best = rest + complete(part, limit, opened, nodes)
     return best
 
 
