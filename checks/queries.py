@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.binding import clinical_tables, code_lists
 from cohortspark import constants as k
-from cohortspark.functions import (anniversary_years, birth_date, duration_years, in_lookback, na_agg,
+from cohortspark.functions import (anniversary_years, birth_date, duration_years, na_agg,
                                    stripped_number)
 from cohortspark.operators import clogit, cohort, covariates, diagnoses, exposure, matching, relational, summaries
 from cohortspark.plans.study import Study
@@ -77,13 +77,7 @@ def scan_like_any(s: Study) -> DataFrame:
 
 
 def coded_conditions(s: Study) -> DataFrame:
-    """Conditions counted per related ICD-10 code; counted per concept before the vocabulary is joined."""
-    counts = s.tables.condition_occurrence.groupBy("condition_concept_id").agg(F.count(F.lit(1)).alias("n"))
-    links = s.tables.concept_relationship.filter("relationship_id = 'Mapped from'")
-    codes = s.tables.concept.filter("vocabulary_id = 'ICD10CM'").select("concept_id", "concept_code")
-    return (counts.join(links, F.col("condition_concept_id") == F.col("concept_id_1"))
-            .join(codes, F.col("concept_id_2") == F.col("concept_id"))
-            .groupBy("concept_code").agg(F.sum("n").alias("n")))
+    return diagnoses.count_codes(s.tables.condition_occurrence, s.tables.concept_relationship, s.tables.concept)
 
 
 def conditions_by_block(s: Study) -> DataFrame:
@@ -233,10 +227,8 @@ def lookback_endpoint(s: Study) -> DataFrame:
 
 @query
 def lookback_point(s: Study) -> DataFrame:
-    return (s.case_control.select("person_id", "case_number", "indexdt2")
-            .join(s.tables.condition_occurrence, "person_id")
-            .filter(in_lookback(F.col("condition_start_date"), F.col("indexdt2"), k.LOOKBACK_DAYS))
-            .select("person_id", "case_number", "condition_concept_id", "condition_start_date"))
+    return covariates.events_in_lookback(s.case_control, s.tables.condition_occurrence, "condition_start_date").select(
+        "person_id", "case_number", "condition_concept_id", "condition_start_date")
 
 
 @query
@@ -316,10 +308,7 @@ def mean_and_n(s: Study) -> DataFrame:
 
 @query
 def pivot_flags(s: Study) -> DataFrame:
-    classed = s.tables.drug_exposure.join(s.codes.covariate_drug, F.col("drug_concept_id") == F.col("concept_id"))
-    wide = classed.groupBy("person_id").pivot("drname", list(k.DRUG_CLASSES)).agg(F.count(F.lit(1)))
-    return wide.select("person_id", *[(F.coalesce(F.col(c), F.lit(0)) > 0).cast("int").alias(c)
-                                      for c in k.DRUG_CLASSES])
+    return covariates.class_table(s.tables.drug_exposure, s.codes.covariate_drug)
 
 
 @query

@@ -25,6 +25,12 @@ def case_control_table(cases: DataFrame, matches: DataFrame, cohort: DataFrame)
     return case_rows.unionByName(controls, allowMissingColumns=True).select(*columns)
 
 
+def events_in_lookback(anchors: DataFrame, events: DataFrame, date: str, *, days: int = k.LOOKBACK_DAYS) -> DataFrame:
+    """Events of the anchored persons on a day of the look-back window, once per anchor row."""
+    return (anchors.select(*KEY, "indexdt2").join(events, "person_id")
+            .filter(in_lookback(F.col(date), F.col("indexdt2"), days)))
+
+
 def flags(anchors: DataFrame, conditions: DataFrame, codes: DataFrame, columns: Mapping[str, str], *,
           days: int = k.LOOKBACK_DAYS) -> DataFrame:
     """Largest value of each code-list column over the conditions in the look-back window, missing counted as 0.
@@ -32,9 +38,7 @@ def flags(anchors: DataFrame, conditions: DataFrame, codes: DataFrame, columns:
     ``columns`` maps code-list columns to the names of the flags.
     """
     coded = conditions.join(codes, conditions["condition_concept_id"] == codes["concept_id"])
-    return (anchors.select(*KEY, "indexdt2").join(coded, "person_id")
-            .filter(in_lookback(F.col("condition_start_date"), F.col("indexdt2"), days))
-            .groupBy(*KEY)
+    return (events_in_lookback(anchors, coded, "condition_start_date", days=days).groupBy(*KEY)
             .agg(*[F.expr(f"max(coalesce({c}, 0)) AS {name}") for c, name in columns.items()]))
 
 
@@ -67,6 +71,13 @@ def class_flags(anchors: DataFrame, drugs: DataFrame, codes: DataFrame, *,
                                      for i, name in enumerate(classes, start=1)])
 
 
+def class_table(drugs: DataFrame, codes: DataFrame, *, classes: Sequence[str] = k.DRUG_CLASSES) -> DataFrame:
+    """One row per person with a listed drug, and a 0/1 column named after each class."""
+    classed = drugs.join(codes, drugs["drug_concept_id"] == codes["concept_id"])
+    wide = classed.groupBy("person_id").pivot("drname", list(classes)).agg(F.count(F.lit(1)))
+    return wide.select("person_id", *[(F.coalesce(F.col(c), F.lit(0)) > 0).cast("int").alias(c) for c in classes])
+
+
 def fill_zero(df: DataFrame, prefixes: Sequence[str], names: Sequence[str] = ()) -> DataFrame:
     """Missing values replaced by 0 in the named columns and those with one of the prefixes."""
     return df.selectExpr(*[f"coalesce({c}, 0) AS {c}" if c in names or c.startswith(tuple(prefixes)) else c

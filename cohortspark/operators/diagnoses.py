@@ -52,6 +52,17 @@ def roll_up(pairs: DataFrame, relationship: DataFrame, concept: DataFrame, *, vo
             .select("ICD", "n", "concept_name"))
 
 
+def count_codes(conditions: DataFrame, relationship: DataFrame, concept: DataFrame, *, vocabulary: str = "ICD10CM",
+                relation: str = "Mapped from") -> DataFrame:
+    """Conditions counted per related code of a vocabulary; they shrink to one row per concept before they meet it."""
+    counts = conditions.groupBy("condition_concept_id").agg(F.count(F.lit(1)).alias("n"))
+    links = relationship.filter(F.col("relationship_id") == relation)
+    codes = concept.filter(F.col("vocabulary_id") == vocabulary).select("concept_id", "concept_code")
+    return (counts.join(links, F.col("condition_concept_id") == F.col("concept_id_1"))
+            .join(codes, F.col("concept_id_2") == F.col("concept_id"))
+            .groupBy("concept_code").agg(F.sum("n").alias("n")))
+
+
 def three_character_codes(concept: DataFrame, vocabulary: str = "ICD10CM") -> DataFrame:
     return (concept.filter((F.col("vocabulary_id") == vocabulary) & (F.length("concept_code") == 3))
             .select("concept_code", "concept_name"))
