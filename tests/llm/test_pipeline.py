@@ -1,0 +1,118 @@
+"""Every pipeline stage against a brute-force version, each on what the stage before it kept."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from cohortspark.llm import tokens
+
+from .test_mixing import level_targets
+from .test_simhash import brute_groups, brute_print
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def documents():
+    r = random.Random(11)
+    words = {"en": "the and of that with from this have".split(), "de": "der die das und nicht ein schön groß".split()}
+    rows = []
+    for i in range(70):
+        lang = r.choice(["en", "de"])
+        text = " ".join(r.choice(words[lang]) + r.choice(["", "a", "ing", "en"]) + r.choice("abcdefgh") for _ in range(r.choice([4, 40, 300, 2000])))
+        source = r.choice(["hot"] * 4 + ["b", "c", None])
+        rows.append((i, text, lang, source))
+        if i % 3 == 0:
+            rows.append((200 + i, text.replace(" ", "  ", 3), lang, "b"))
+        if i % 4 == 0:
+            rows.append((300 + i, text + " und", lang, source))
+    rows += [(500, None, "en", "b"), (501, "", "en", "b"), (502, "12 34 !!", "de", None), (None, rows[0][1], "en", "c"), (rows[1][0], *rows[1][1:])]
+    r.shuffle(rows)
+    return rows
+
+
+def by_position(row):
+    return (row[0] is None, row[0] or 0)
+
+
+def after_language(rows):
+    return [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+
+
+def after_exact(rows):
+    best = {}
+    for r in rows:
+        key = re.sub(r"[\x20\x09-\x0d]+", " ", r[1] or "")
+        if key not in best or by_position(r) < by_position(best[key]):
+            best[key] = r
+    return list(best.values())
+
+
+def after_near(rows):
+    groups, best = brute_groups([brute_print(r[1]) for r in rows]), {}
+    for g, r in zip(groups, rows):
+        if g not in best or by_position(r) < by_position(best[g]):
+            best[g] = r
+    return list(best.values())
+
+
+def after_mix(rows):
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(WORD.findall(r[1]))
+    out = []
+    for source, target in level_targets(sizes).items():
+        own = sorted((r for r in rows if r[3] == source),
+                     key=lambda r: hashlib.md5(f"1|{'' if r[0] is None else r[0]}|{r[1]}".encode()).hexdigest())
+        left = min(int(target + 0.5), 2 * sizes[source])
+        while left > 0:
+            for r in own:
+                n = len(WORD.findall(r[1]))
+                if left > 0 and n:
+                    out.append(r if left >= n else (r[0], "".join(re.findall(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+", r[1])[:left]), *r[2:]))
+                    left -= min(left, n)
+    return out
+
+
+@pytest.fixture
+def folder(spark, docs_of, tmp_path):
+    docs_of(documents()).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_every_stage_matches_brute_force(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for k, ((name, stage), brute) in enumerate(zip(corpus_pipeline.STAGES, (after_language, after_exact, after_near, after_mix, None))):
+        rows = [tuple(r)[:4] for r in docs.collect()]
+        stage(spark, docs, folder).write.parquet(str(tmp_path / f"stage-{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage-{k}"))
+        if brute:
+            assert docs.columns == columns, name
+            assert Counter(tuple(r)[:4] for r in docs.collect()) == Counter(brute(rows)), name
+    encode = tokens.encoder(tokens.default_ranks())
+    expected = Counter()
+    for doc_id, text, *_ in rows:
+        ids = [*encode(text), 2]
+        cut = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        expected.update((doc_id, p, i, j - i, zlib.crc32(np.array(ids[i:j], "<u4").tobytes())) for p, (i, j) in enumerate(zip(cut, cut[1:])))
+    packed = docs.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == expected
+    for _, own in {s: sorted((r["offset"], r["length"]) for r in packed if r["sequence_id"] == s) for s in {r["sequence_id"] for r in packed}}.items():
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) <= 1024
+
+
+def test_run_is_the_stages_in_order(spark, folder):
+    assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_empty_documents(spark, docs_of, tmp_path):
+    docs_of([]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
