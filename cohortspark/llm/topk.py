@@ -106,7 +106,7 @@ def _search(k: int, step: int, held: int):
 
 
 def top_k(scratch: Scratch, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10,
-          pivots: int = 24, block_rows: int = 2048, query_rows: int = 256, shards: int = 64, step: int = 128) -> DataFrame:
+          pivots: int = 24, block_rows: int = 2048, query_rows: int = 256, shards: int | None = None, step: int = 128) -> DataFrame:
     """The ``k`` best inner products of every query: (query_id, rank, vec_id, score), ties to the smaller vec_id.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows with another id and as many components.
@@ -114,22 +114,23 @@ def top_k(scratch: Scratch, df: DataFrame, id_col: str = "vec_id", vector_col: s
 
     Pivots are the ``pivots`` rows of each dimension with the smallest hash, a bounded sample; every row is indexed by its
     distances to all of them. Rows are packed into blocks of about ``block_rows`` by hash. A query block meets every candidate
-    block once: blocks lie in ``shards``, and each query block is copied to all of them. In a block, the pivot table bounds
+    block once: blocks lie in ``shards`` (by default twice the session's shuffle partitions, so that all tasks have work), and
+    each query block is copied to all of them. In a block, the pivot table bounds
     each candidate's product from above; candidates are scored in order of that bound until it falls below the k-th best.
 
     Rows that repeat id and vector count once; queries that share an id but not the vector are each answered. With fewer than
     ``k`` candidates all are returned; an empty table gives an empty result. Extra columns are ignored.
     """
     rows = scratch.cut(usable(df, id_col, vector_col).withColumn("h", F.xxhash64("vec_id", "vec")), "vectors")
-    n_by_dim = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.min_by("vec", "h").alias("one"))
-    sample = rows.select("dim", "vec", "h").join(n_by_dim.select("dim"), "dim").withColumn(
+    # Spark limits each task to its first rows before the shuffle, as the filter is on the row number.
+    sample = rows.select("dim", "vec", "h").withColumn(
         "r", F.expr("row_number() OVER (PARTITION BY dim ORDER BY h, vec)")).filter(F.col("r") <= pivots)
     table: dict[int, list] = {}
     for r in sample.select("dim", "vec").toLocalIterator():   # at most `pivots` vectors per dimension
         table.setdefault(r["dim"], []).append(r["vec"])
     pivot_arrays = {dim: np.array(v, np.float64) for dim, v in table.items()}
-    total = rows.count()
-    blocks = max(1, -(-total // block_rows))
+    blocks = max(1, -(-rows.count() // block_rows))
+    shards = min(blocks, shards or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     queries = rows.filter(F.col("vec_id") % every == 0)
     q_blocks = max(1, -(-queries.count() // query_rows))
     sharded = rows.select("vec_id", "vec", "dim", F.pmod("h", F.lit(blocks)).alias("block")).withColumn(
@@ -137,7 +138,7 @@ def top_k(scratch: Scratch, df: DataFrame, id_col: str = "vec_id", vector_col: s
     packed = sharded.groupBy("block", "dim").applyInArrow(_blocks(pivot_arrays), BLOCK)
     asked = (queries.select("vec_id", "vec", "dim", F.pmod(F.xxhash64("h"), F.lit(q_blocks)).alias("block"), F.lit(0).alias("shard"))
              .groupBy("block", "dim").applyInArrow(_blocks(pivot_arrays), BLOCK))
-    copied = asked.select(F.explode(F.sequence(F.lit(0), F.lit(min(shards, blocks) - 1))).alias("shard"), "dim",
+    copied = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim",
                           *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "distances")])
     pairs = packed.join(copied, ["shard", "dim"]).select("dim", "ids", "vectors", "distances", "q_ids", "q_vectors", "q_distances")
     found = pairs.mapInArrow(_search(k, step, 20_000), "query_id long, query binary, vec_id long, score long")
