@@ -9,27 +9,12 @@ import time
 from pyspark.sql import SparkSession
 
 from checks.binding import clinical_tables, code_lists
-from cohortspark.operators.matching import match_controls
 from cohortspark.plans.study import Study
-from cohortspark.storage import Scratch
 
-# Cases and controls of the crowded matching, all of one gender, year and few ages.
-CROWDED = (2_000, 8_000)
 STAGES = ("labs", "screened", "cases", "matches", "attrition", "case_control", "analysis", "frequencies", "crude_odds",
           "adjusted_odds", "near_eras", "lab_summary", "hormone_series", "new_codes", "new_chapters")
 
 
-def crowded_matching(spark: SparkSession, scratch: Scratch) -> float:
-    """Seconds to match cases that compete for few controls, which takes many rounds."""
-    cases, controls = (scratch.cut(spark.range(n).selectExpr(
-        f"id + {first} AS person_id", "8507L AS gender_concept_id", "CAST(50 + id % 7 AS INT) AS age",
-        "date_add(DATE'2015-01-01', CAST(id * 37 % 90 AS INT)) AS enroll_date", "id + 1 AS case_number"), "people")
-        for n, first in zip(CROWDED, (1, 1_000_000)))
-    begin = time.perf_counter()
-    match_controls(cases, controls.drop("case_number"), scratch).write.format("noop").mode("overwrite").save()
-    return round(time.perf_counter() - begin, 3)
-
-
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -45,8 +30,6 @@ def main() -> None:
         begin = time.perf_counter()
         getattr(study, stage).write.format("noop").mode("overwrite").save()
         times[stage] = round(time.perf_counter() - begin, 3)
-    times["crowded_matching"] = crowded_matching(spark, study.scratch)
-    study.close()
     print(json.dumps({"metric": "total_stage_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()
