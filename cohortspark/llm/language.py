@@ -64,13 +64,47 @@ class TextModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, label_col: str = "lang", text_col: str = "text", rows: int = 4_000) -> TextModel:
-        """Fit on at most ``rows`` labelled rows, those with the smallest hash of label and text. Null labels take no part."""
-        known = labelled.select(F.col(f"`{label_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter(
+        """Fit on at most ``rows`` distinct texts of each label, those with the smallest hash of label and text.
+
+        Drawn per label, so that a rare language is fitted on all its texts; of distinct texts, so that copies weigh nothing.
+        Null labels and texts take no part. Only hashes are counted over all rows; the driver gets at most about ``rows`` of them
+        a label, and the executors send one copy of each drawn text per task.
+        """
+        known = labelled.select(F.col(f"`{label_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(
             "lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("lang", "text"))
-        last = known.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-        if last is None:
+        hashes = known.select("lang", "h").distinct()
+        numbers = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row per label
+        if not numbers:
             return cls([], np.full((1 << BUCKET_BITS, 1), -np.log(1 << BUCKET_BITS)))
-        sample = known.filter(F.col("h") <= last).limit(rows).select("lang", "text")
+
+        def up_to(last: dict[str, int]) -> Column:
+            """Whether a row's hash is among those of its label; labels that are not named are whole."""
+            if not last:
+                return F.lit(True)
+            limits = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+            return F.col("h") <= F.coalesce(F.element_at(limits, F.col("lang")), F.lit((1 << 63) - 1))
+
+        # Hashes are uniform: this share of a label's range holds ``rows`` of them with six deviations to spare.
+        large = {x: min((1 << 63) - 1, int((rows + 6 * rows ** 0.5 + 36) / n * 2.0 ** 64) - (1 << 63)) for x, n in numbers.items() if n > rows}
+        if large:
+            near = hashes.filter(F.col("lang").isin(*large)).filter(up_to(large)).toArrow()
+            lang, h = near.column("lang").to_pylist(), near.column("h").to_pylist()
+            smallest: dict[str, list[int]] = {x: [] for x in large}
+            for x, value in zip(lang, h):
+                smallest[x].append(value)
+            large = {x: sorted(values)[:rows][-1] if values else large[x] for x, values in smallest.items()}
+
+        def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[str, int]] = set()
+            for batch in batches:
+                fresh = []
+                for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    fresh.append(key not in seen)
+                    seen.add(key)
+                yield batch.filter(pa.array(fresh, pa.bool_()))
+
+        sample = (known.filter(up_to(large)).mapInArrow(once, "lang string, text string, h long")
+                  .dropDuplicates(["lang", "h"]).select("lang", "text"))
 
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}

@@ -71,3 +71,33 @@ def test_stage_keeps_clean_documents(spark, scratch, docs_of):
     ids = {r[0] for r in kept.select("doc_id").collect()}
     assert {r[0] for r in docs.select("doc_id").collect()} <= ids and not ids & {900, 901, 902} and 903 in ids
     assert language.keep_identified(scratch, docs_of([])).count() == 0
+
+
+def test_rare_languages_and_hot_copies_keep_their_sample(scratch, docs_of):
+    r = random.Random(5)
+    words = {"en": "the and of this that with from have".split(), "de": "der die das und nicht ein schön groß".split(),
+             "fi": "ja ei että hän olla minä tämä mutta".split()}
+    rows = [(i, " ".join(r.choice(words[lang]) + r.choice(["", *"abcdefgh"]) for _ in range(30)), lang)
+            for i in range(20_000) for lang in ["fi" if i % 10_000 == 0 else "de" if i % 2 else "en"]]
+    known = docs_of(rows).withColumn("h", F.xxhash64("lang", "text"))
+    hot = known.filter("lang <> 'fi'").orderBy("h").select("text", "lang").first()
+    rows += [(100_000 + i, hot["text"], hot["lang"]) for i in range(10_000)]
+    df = docs_of(rows).repartition(8)
+    assert language.TextModel.fit(df).languages == ["de", "en", "fi", "und"]
+    kept = language.keep_identified(scratch, df)
+    assert kept.count() == len(rows)
+    found = language.TextModel.fit(df, rows=50)
+    for lang, own in words.items():
+        assert found.languages[int(found.likelihoods(" ".join(own * 3), 40).argmax())] == lang
+
+
+def test_sample_holds_the_distinct_texts_with_the_smallest_hashes(spark, docs_of):
+    r = random.Random(6)
+    rows = [(i, f"{'abcdefgh'[i % 8]} {'xyz'[i % 3]} " * 4 + " ".join(r.choice(["lo", "mi", "na", "ru"]) for _ in range(9)), "a" if i % 5 else "b") for i in range(3000)]
+    rows += [(9000 + i, None, "a") for i in range(3)] + [(9100, "no label", None)]
+    whole = docs_of(rows + rows[:700] * 2)
+    known = docs_of(rows).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("lang", "text")).select("lang", "text", "h").distinct().collect()
+    drawn = [x for lang in "ab" for x in sorted((k for k in known if k["lang"] == lang), key=lambda k: k["h"])[:100]]
+    assert len(drawn) == 200
+    few, all_of_them = language.TextModel.fit(whole, rows=100), language.TextModel.fit(docs_of([(1, d["text"], d["lang"]) for d in drawn]))
+    assert few.languages == all_of_them.languages and (few.logs == all_of_them.logs).all()
