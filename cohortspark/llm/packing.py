@@ -19,16 +19,17 @@ PIECES = "doc struct<id:{id}>, piece int, start long, length int, ids binary, pa
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end: int = 2,
-           ranks: str | None = None) -> DataFrame:
+           ranks: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Each document's ids and a final ``end``, cut into pieces of ``limit`` ids; the first piece may be shorter.
 
+    ``added`` are the strings that are single ids inside a text (see ``encoder``); by default there are none.
     ``ids`` holds little-endian unsigned 32-bit ids. (part, nth) numbers the pieces of each length within a task.
     """
     path = ranks or default_ranks()
     id_type = df.schema[id_col].dataType.simpleString()
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path, added), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             ids_in, texts = batch.column(0), batch.column(1)
@@ -212,7 +213,7 @@ def _slots(spark: SparkSession, patterns: list[tuple[Pattern, int]]) -> DataFram
 
 
 def pack(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end: int = 2,
-         ranks: str | None = None) -> DataFrame:
+         ranks: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of all documents with their place: (id, piece, start, length, ids, sequence_id, offset).
 
     Tokenised pieces are written once. Only the number of pieces of each length (at most ``limit`` numbers) reaches the
@@ -221,7 +222,7 @@ def pack(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str
     A null text is an empty document, which is the final id alone. Null ids and repeated rows are packed like any others.
     An empty table gives no pieces. Extra columns are ignored. ``sequences`` joins the ids of each sequence.
     """
-    cut = scratch.cut(pieces(df, id_col, text_col, limit, end, ranks), "pieces")
+    cut = scratch.cut(pieces(df, id_col, text_col, limit, end, ranks, added), "pieces")
     counts = scratch.cut(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}   # at most limit rows
     slots = _slots(df.sparkSession, plan(histogram, limit))

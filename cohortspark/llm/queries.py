@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import chat, exact, language, lines, mixing, packing, pii, simhash, token_files, topk
+from cohortspark.llm.tokens import ADDED
 from cohortspark.storage import Scratch
 
 
@@ -46,7 +47,7 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(Scratch(spark), _table(spark, folder, "documents"))
+    packed = packing.pack(Scratch(spark), _table(spark, folder, "documents"), added=ADDED)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

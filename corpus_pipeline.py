@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import exact, language, mixing, packing, simhash
+from cohortspark.llm.tokens import ADDED
 from cohortspark.storage import Scratch
 
 
@@ -36,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents with their sequence and their place in it."""
-    packed = packing.pack(Scratch(spark), docs)
+    packed = packing.pack(Scratch(spark), docs, added=ADDED)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id",
                          "offset")
 

@@ -106,3 +106,28 @@ def test_empty_and_repeated_rows(scratch, docs_of):
     assert packing.pack(scratch, docs_of([])).count() == 0
     rows = packing.pack(scratch, docs_of([(None, None), (1, "same"), (1, "same")])).collect()
     assert len(rows) == 3 and len({r["sequence_id"] for r in rows}) == 1
+
+
+ADDED_TEXTS = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y", "<|endoftext|", "é<|endoftext|>漢 <|endoftext",
+               "<|endo<|endoftext|>text|>", "", "no such token", "word " * 1500 + "<|endoftext|>" * 700, "it's <|endoftext|>'s 12<|endoftext|>34"]
+
+
+def test_added_token_has_the_ids_of_the_json_file(spark, docs_of, tmp_path):
+    import corpus_pipeline
+    from cohortspark.llm import queries
+
+    json_file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))   # as it is
+    encode = tokens.encoder(tokens.default_ranks(), tokens.ADDED)
+    r = random.Random(7)
+    mixed = ["".join(r.choice(["<|endoftext|>", " ", "a", "\n", "<|", "|>", "1", "é", "'s"]) for _ in range(r.randint(0, 9))) for _ in range(2000)]
+    for text in [*ADDED_TEXTS, *mixed]:
+        assert encode(text) == json_file.encode(text, add_special_tokens=False).ids
+    docs = docs_of(list(enumerate(ADDED_TEXTS)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    expected = set()
+    for i, text in enumerate(ADDED_TEXTS):
+        ids = [*json_file.encode(text, add_special_tokens=False).ids, 2]
+        cut = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        expected |= {(i, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cut, cut[1:]))}
+    for packed in (queries.op5_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert {(x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in packed.collect()} == expected
