@@ -76,3 +76,20 @@ def test_contexts_find_unseen_identifiers(scratch, docs_of):
 def test_copies_lend_no_trust(scratch, docs_of):
     rows = [(i, "Please call me at +1 (555) 123-4567 today") for i in range(30)] + [(50, "Please call me at 555-AB-77123 today")]
     assert spans_of(pii.extract(scratch, docs_of(rows)).collect(), 50)["added"] == []
+
+
+def test_slots_find_identifiers_of_every_shape(scratch, docs_of):
+    r = random.Random(8)
+    phone = lambda: f"+1 (555) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    rows = [(i, f"filler number {i}. Please call me at {phone()} today") for i in range(40)]
+    rows += [(100 + i, f"mail=user{i}@host.org;ssn={phone()} x{i}") for i in range(40)]
+    rows += [(200 + i, f'{{"user":"u{i}","email":"u{i}@host.org","n":{i}}}') for i in range(40)]
+    rows += [(300 + i, f"the and{i} of user{i}@mail.org the and") for i in range(40)] + [(400 + i, f"word{i} of thing{i} the rest") for i in range(200)]
+    new = {900: ("Please call me at bob(at)host(dot)org today", "bob(at)host(dot)org"), 901: ("Please call me at 555 010 4477 today", "555 010 4477"),
+           902: ("Please call me at @some_handle today", "@some_handle"), 903: ("mail=a@b.com;ssn=123456789 y", "123456789"),
+           904: ('{"user":"me","email":"me(at)host","n":1}', "me(at)host"), 905: ("Please call me at DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 00"),
+           906: ("word of something the rest", None)}
+    found = {x["id"]: x for x in pii.extract(scratch, docs_of(rows + [(i, t) for i, (t, _) in new.items()])).collect()}
+    for i, (text, value) in new.items():
+        assert [text[s["start"]:s["stop"]] for s in found[i]["added"]] == ([value] if value else []), text
+    assert not any(found[i]["added"] for i, _ in rows)
