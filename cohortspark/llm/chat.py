@@ -78,6 +78,15 @@ def masked_text(formatted: str, starts, ends, loss) -> str:
     return "".join(pieces)
 
 
+def learned_text(formatted: str, starts, ends, loss) -> str:
+    """The original text under the mask: each turn is unescaped on its own, as a ``<`` that ends one and a ``\\|`` that begins the
+    next are no escape."""
+    starts, ends, loss = np.asarray(starts), np.asarray(ends), np.asarray(loss, bool)
+    # Turns begin at a control string, which no masked token touches.
+    turn = np.searchsorted([m.start() for m in re.finditer(re.escape(START), formatted)], starts, "right")
+    return "".join(unescape(masked_text(formatted, starts, ends, loss & (turn == k))) for k in np.unique(turn[loss]).tolist())
+
+
 def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text", learn: tuple[str, ...] = ("assistant",), vocabulary: str | None = None) -> DataFrame:
     """One row per conversation: (id, formatted, ids, starts, ends, loss).
@@ -148,8 +157,7 @@ def digests(chats: DataFrame, id_name: str) -> DataFrame:
                 text, starts, ends, loss = (batch.column(c)[k] for c in (1, 2, 3, 4))
                 text = text.as_py()
                 turns = parse(text)
-                under = unescape(masked_text(text, starts.values.to_numpy(), ends.values.to_numpy(),
-                                             loss.values.to_numpy(zero_copy_only=False)))
+                under = learned_text(text, starts.values.to_numpy(), ends.values.to_numpy(), loss.values.to_numpy(zero_copy_only=False))
                 rows.append((len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(under),
                              sha256(under.encode()).hexdigest(), len(text)))
             conv = pa.StructArray.from_arrays([batch.column(0)], names=["id"])

@@ -61,3 +61,15 @@ def test_alignment_by_search_matches_a_scan():
         spans = [(spans[0], spans[1]), (spans[2], spans[3])]
         expected = [any(i < b and a < j for a, b in spans) for i, j in zip(cuts, cuts[1:])]
         assert chat.align(starts, ends, spans).tolist() == expected
+
+
+def test_masked_texts_are_unescaped_one_by_one(spark):
+    from hashlib import sha256
+
+    pairs = [("code <", "\\| more"), ("<", "\\|"), ("a <\\", "\\| b"), ("<|", "\\|"), ("x <\\|", "\\\\|<")]
+    rows = [(c, 2 * t, "assistant", text) for c, pair in enumerate(pairs) for t, text in enumerate(pair)]
+    rows += [(9, 0, "assistant", "<"), (9, 1, "user", "\\|"), (9, 2, "assistant", "\\|")]
+    found = {r["conv_id"]: r for r in chat.digests(chat.format_chats(spark.createDataFrame(rows, SCHEMA)), "conv_id").collect()}
+    for c, texts in [*enumerate(pairs), (9, ("<", "\\|"))]:
+        whole = "".join(texts)
+        assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(whole), sha256(whole.encode()).hexdigest())
