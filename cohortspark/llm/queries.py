@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import chat, exact, language, lines, mixing, packing, pii, simhash, token_files, topk
+from cohortspark.llm import chat, exact, language, lines, merkle, mixing, packing, pii, repair, simhash, token_files, topk, urls
 from cohortspark.llm.tokens import ADDED
 from cohortspark.storage import Scratch
 
@@ -78,5 +78,40 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(Scratch(spark), _table(spark, folder, "documents"), columns=["doc_id"])
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = merkle.digest_of(*others, F.translate("text", urls.UPPER, urls.LOWER))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered)
+    proofs = merkle.build(Scratch(spark), docs, merkle.digest_of(*others, F.col("text")), carry={"tampered": tampered}).proofs()
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+                         merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.digests(repair.repair(Scratch(spark), repair.damage(turns)), "id")
+    joined = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+# The rules of the URL query, and the names of hosts whose URLs it lists.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block"))
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op13_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    names = F.split(urls.host_of(F.col("url")), r"\.")
+    listed = pages.filter(F.arrays_overlap(names, F.array(*[F.lit(n) for n in LISTED_NAMES])))
+    return urls.filter_urls(Scratch(spark), pages, listed, URL_RULES, columns=["page_id"]).select(
+        "page_id", "host", "path", "rule", "verdict", "listed")
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mixing, op4_token_counts, op5_packing, op6_topk, op7_simhash, op8_language,
-                                   op9_chat, op10_exact_dedup)}
+                                   op9_chat, op10_exact_dedup, op11_merkle, op12_repair, op13_urls)}

@@ -14,7 +14,7 @@ from cohortspark.llm.queries import QUERIES
 def test_all_operators_and_the_pipeline_are_registered():
     names = set(entry.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
