@@ -13,10 +13,11 @@ far as it must, and the page size changes nothing but the work.
 If every control prefers the lowest case number, the stable matching of these orders equals serving the cases one by
 one, and it can be found in parallel rounds. Each short case reads its next page, leaves out controls that a lower case
 holds, and proposes to the first ones it still needs. A control goes to its lowest proposer; the other proposers, and
-the holder it had, are short and go on in the next round from where they stopped. Only those cases are carried, and
-a round writes new holders, reading places and short cases, never the whole state. A case reads on in every round, and
-an order is finite, so the rounds end; a case ends with fewer than k controls only when lower-numbered cases hold every
-other eligible one.
+the holder it had, are short and go on in the next round from where they stopped. A round is one job that writes what
+its short cases asked for, under the numbers of the places, not of persons; holders and reading places follow from all
+rounds so far, which the next round reads as one scan. So every round has the same plan. A case reads on in every round,
+and an order is finite, so the rounds end; a case ends with fewer than k controls only when lower-numbered cases hold
+every other eligible one.
 
 Cases of one cell (same exact columns, age and day) share their eligible controls and are served in order, so once the
 cases before one must have used them all up it cannot get any, and is left out.
@@ -26,9 +27,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cohortspark import constants as k
@@ -37,6 +37,8 @@ from cohortspark.storage import Scratch
 _LOG = logging.getLogger(__name__)
 _SALTS = 256        # fixed value: controls of a day are numbered by person_id % _SALTS, then person_id
 _BLOCK_BITS = 16
+_CHUNK = 1024        # turns of a page that one row holds
+_FEW = 100_000       # rows of a round up to which its losses are sent to every task
 # Multipliers and key factors of the preference order, odd and below 2**20 so that no product overflows.
 _SCRAMBLE = ((668_265, 374_761, 15_731), (524_309, 789_221, 48_271), (907_633, 126_613, 69_069))
 
@@ -63,100 +65,92 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
     if controls < 1 or page < 1:
         raise ValueError("a case needs at least one control and one turn")
     cases, pool = _on_grid(cases), _on_grid(pool)
+    place = [*exact, "strip", "position"]
     positions = scratch.cut(_positions(pool, exact), "positions")
     served = scratch.cut(_served(cases, pool, tuple(exact), age_band, date_band, controls), "served")
-    short = served.withColumns({"cursor": F.lit(0).cast("bigint"), "need": F.lit(controls).cast("bigint")})
-    won: list[DataFrame] = []
-    cursors: list[DataFrame] = []
-    written = 0
+    paths: list[str] = []
+    state, latest, few = None, None, False
     while True:
-        asked = scratch.cut(_proposals(_read_page(short, exact, seed, page), positions, won, exact), "asked")
-        # The lowest proposer of each control; every proposer is lower than the holder before it.
-        won.append(scratch.cut(asked.filter("person_id IS NOT NULL").groupBy("person_id")
-                               .agg(F.min("case_number").alias("case_number")), "won"))
-        cursors.append(asked.groupBy("case_number").agg(F.max("next_cursor").alias("cursor")))
-        losses = _losses(asked, won[-1])
-        place = (reduce(DataFrame.unionByName, cursors).join(losses, "case_number", "left_semi")
-                 .groupBy("case_number").agg(F.max("cursor").alias("cursor")))
-        following = (served.join(losses, "case_number").join(place, "case_number")
-                     .filter(F.col("cursor") < _turns(F.col("total"))))
-        short = scratch.cut(following, "short")
-        left = short.count()
-        written += left
-        if not left:
+        asked = _round(served, state, latest, exact, few, seed=seed, page=page, controls=controls)
+        seen = Observation()
+        paths.append(scratch.write(asked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("open").alias("open")), "asked"))
+        state, latest = scratch.read(paths, asked.schema), scratch.read(paths[-1], asked.schema)   # one scan of all rounds
+        _LOG.info("round %d: %d rows, %d open", len(paths), seen.get["rows"], seen.get["open"])
+        if not seen.get["open"]:
             break
-    _LOG.info("matched in %d rounds, %d short cases carried", len(won), written)
-    return reduce(DataFrame.unionByName, won).groupBy("person_id").agg(F.min("case_number").alias("case_number")).select(
-        "case_number", "person_id")
-
-
-def _turns(total: Column) -> Column:
+        few = seen.get["rows"] <= _FEW
+    held = state.filter("winner = case_number").groupBy(*place).agg(F.min("case_number").alias("case_number"))
+    return held.join(positions, place).select("case_number", "person_id")
+
+
+def _scrambled(turn: str, seed: int) -> list[tuple[str, str]]:
+    """The candidate that a turn names, in steps (name, expression): odd multiples, key additions and xor-shifts, each a
+    bijection of ``bits`` bits."""
+    steps, x = [], turn
+    for i, (times, of_case, of_seed) in enumerate(_SCRAMBLE):
+        steps.append((f"sum{i}", f"({x} * {times} + (case_number & {(1 << 40) - 1}) * {of_case} + {seed % (1 << 40) * of_seed}) & (turns - 1)"))
+        steps.append((f"mix{i}", f"sum{i} ^ shiftright(sum{i}, 1 + bits DIV 2)"))
+        x = f"mix{i}"
+    return steps
+
+
+def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None, exact: Sequence[str], few: bool, *, seed: int, page: int,
+           controls: int) -> DataFrame:
+    """One round as one statement, which is the same in every round after the first, so that its code is compiled once.
+
+    ``state`` holds what all earlier rounds asked, ``latest`` what the last of them did. From it follow the holder of each place (every holder is lower than the one
+    before), and of the last round the *short* cases: those that took part or lost a control, and still lack some. A short
+    case reads its page (rows of at most ``_CHUNK`` turns), proposes to the first places that no lower case holds, and the
+    lowest proposer of a place wins it; every proposer is lower than the holder. A case without a free place on its page keeps
+    one row without a place. ``open`` says that somebody lacks a control after the row. ``few`` is true if the last round had
+    at most ``_FEW`` rows, so that its short cases, at most twice as many, can be sent to every task.
+    """
+    keys = ", ".join(f"`{c}`" for c in exact)
+    same = " AND ".join(f"r.`{c}` = h.`{c}`" for c in (*exact, "strip", "position"))
+    steps = "turns_read"
+    scrambling = ""
+    for name, expression in _scrambled("turn", seed):
+        scrambling += f", {name}_step AS (SELECT *, {expression} AS {name} FROM {steps})"
+        steps = f"{name}_step"
+    losses = f"""
+      events AS (SELECT case_number, next_cursor AS cursor, CAST(NULL AS BIGINT) AS asked, 0L AS change FROM {{state}}
+                 UNION ALL SELECT case_number, next_cursor, need, CASE WHEN winner = case_number THEN -1L ELSE 0L END FROM {{latest}}
+                 UNION ALL SELECT holder, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 1L FROM {{latest}} WHERE winner = case_number AND holder IS NOT NULL),
+      losses AS (SELECT * FROM (SELECT case_number, max(cursor) AS cursor, coalesce(max(asked), 0L) + sum(change) AS need FROM events GROUP BY case_number)
+                 WHERE need > 0),
+      held AS (SELECT {keys}, strip, position, min(case_number) AS holder FROM {{state}} WHERE winner = case_number GROUP BY {keys}, strip, position),
+      short AS (SELECT {'/*+ BROADCAST(losses) */' if few else ''} served.*, cursor, need FROM {{served}} AS served
+                JOIN losses ON served.case_number = losses.case_number WHERE cursor < {_turns('total')}),"""
+    first = f"short AS (SELECT *, 0L AS cursor, {controls}L AS need FROM {{served}}),"
+    text = f"""
+      WITH {first if state is None else losses}
+      pages AS (SELECT *, length(bin(total - 1)) AS bits, {_turns('total')} AS turns, least(cursor + greatest(cursor, {page}L), {_turns('total')}) AS stop FROM short),
+      chunks AS (SELECT *, explode(sequence(cursor, stop - 1, {_CHUNK}L)) AS start FROM pages),
+      turns_read AS (SELECT *, explode(concat(sequence(start, least(start + {_CHUNK}L, stop) - 1),
+                                              CASE WHEN start = cursor THEN array(-1L) ELSE array() END)) AS turn FROM chunks)
+      {scrambling},
+      named AS (SELECT case_number, {keys}, need, stop, CASE WHEN turn >= 0 THEN turn END AS turn, {name} AS place,
+                       CASE WHEN turn >= 0 THEN get(filter(runs, r -> {name} >= r.first AND {name} < r.first + r.size), 0) END AS run
+                FROM {steps} WHERE turn < 0 OR {name} < total),
+      rows AS (SELECT case_number, {keys}, need, stop, turn, run.strip AS strip, run.lo + place - run.first AS position FROM named),
+      placed AS (SELECT *, position IS NOT NULL AND coalesce(holder > case_number, true) AS free
+                 FROM (SELECT r.*, {'CAST(NULL AS BIGINT) AS holder FROM rows r' if state is None else f'h.holder FROM rows r LEFT JOIN held h ON {same}'})),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY case_number ORDER BY free DESC, turn NULLS LAST) AS rank FROM placed),
+      kept AS (SELECT *, max(CASE WHEN free AND rank = need THEN turn + 1 END) OVER (PARTITION BY case_number) AS reached
+               FROM ranked WHERE free AND rank <= need OR NOT free AND rank = 1),
+      asked AS (SELECT case_number, {keys}, strip, CASE WHEN free THEN position END AS position, need, holder,
+                       coalesce(reached, stop) AS next_cursor, reached IS NULL AS unmet FROM kept),
+      won AS (SELECT *, CASE WHEN position IS NOT NULL THEN min(case_number) OVER (
+                PARTITION BY {keys}, strip, position, CASE WHEN position IS NULL THEN case_number END) END AS winner FROM asked)
+      SELECT case_number, {keys}, strip, position, need, next_cursor, holder, winner,
+             unmet OR holder IS NOT NULL OR winner <> case_number AS open FROM won"""
+    tables = {"served": served} if state is None else {"served": served, "state": state, "latest": latest}
+    return served.sparkSession.sql(text, **tables)
+
+
+def _turns(total: str) -> str:
     """The length of the preference order: the power of two that is not below the number of candidates."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _bits(total))
-
-
-def _bits(total: Column) -> Column:
-    return F.length(F.bin(total - 1)).cast("int")
-
-
-def scrambled(turn: Column, bits: Column, case_number: Column, seed: int) -> Column:
-    """The candidate that a turn names: odd multiples, key additions and xor-shifts, each a bijection of ``bits`` bits."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-    half = F.expr("1") + F.floor(bits / 2).cast("int")
-    x = turn
-    for times, of_case, of_seed in _SCRAMBLE:
-        x = (x * times + case_number.bitwiseAND(F.lit((1 << 40) - 1)) * of_case + seed % (1 << 40) * of_seed).bitwiseAND(mask)
-        x = x.bitwiseXOR(F.call_function("shiftright", x, half))
-    return x
-
-
-def _read_page(short: DataFrame, exact: Sequence[str], seed: int, page: int) -> DataFrame:
-    """The next turns of each short case as (case_number, need, stop, turn, strip, position); a case without a candidate
-    on its page has one row without a strip."""
-    bits = _bits(F.col("total"))
-    stop = F.least(F.col("cursor") + F.greatest(F.col("cursor"), F.lit(page).cast("bigint")), _turns(F.col("total")))
-    pages = (short.withColumn("stop", stop)
-             .withColumn("named", F.transform(F.sequence(F.col("cursor"), F.col("stop") - 1), lambda t: F.struct(
-                 t.alias("turn"), scrambled(t, bits, F.col("case_number"), seed).alias("number"))))
-             .withColumn("named", F.filter("named", lambda x: x["number"] < F.col("total"))))
-    keep = ["case_number", *exact, "need", "stop"]
-    in_run = F.filter("named", lambda x: (x["number"] >= F.col("run.first")) & (x["number"] < F.col("run.first") + F.col("run.size")))
-    rows = (pages.select(*keep, "named", F.explode("runs").alias("run")).select(*keep, "run", F.explode(in_run).alias("x"))
-            .select(*keep, F.col("x.turn").alias("turn"), F.col("run.strip").alias("strip"),
-                    (F.col("run.lo") + F.col("x.number") - F.col("run.first")).alias("position")))
-    return rows.unionByName(pages.filter(F.size("named") == 0).select(*keep), allowMissingColumns=True)
-
-
-def _proposals(rows: DataFrame, positions: DataFrame, won: list[DataFrame], exact: Sequence[str]) -> DataFrame:
-    """Per short case its proposals, (case_number, need, next_cursor, person_id, holder), or one row without a person."""
-    named = rows.join(positions, [*exact, "strip", "position"], "left").select("case_number", "need", "stop", "turn", "person_id")
-    if won:
-        held = reduce(DataFrame.unionByName, won).withColumnRenamed("case_number", "holder")
-        # A control has at most one holder per round, each lower than the one before.
-        named = (named.join(held, "person_id", "left").groupBy("case_number", "need", "stop", "turn", "person_id")
-                 .agg(F.min("holder").alias("holder")))
-    else:
-        named = named.withColumn("holder", F.lit(None).cast("bigint"))
-    free = F.col("person_id").isNotNull() & F.coalesce(F.col("holder") > F.col("case_number"), F.lit(True))
-    by_turn = Window.partitionBy("case_number").orderBy(F.when(free, F.lit(0)).otherwise(F.lit(1)), "turn")
-    placed = named.withColumns({"free": free, "place": F.row_number().over(by_turn)}).filter(
-        (F.col("free") & (F.col("place") <= F.col("need"))) | (~F.col("free") & (F.col("place") == 1)))
-    # A case whose needs are met goes on after its last proposal; others have read the whole page.
-    reached = F.when(F.col("free") & (F.col("place") == F.col("need")), F.col("turn") + 1).otherwise(F.lit(None))
-    whole = Window.partitionBy("case_number")
-    return placed.select("case_number", "need", F.coalesce(F.max(reached).over(whole), F.col("stop")).alias("next_cursor"),
-                         F.when(F.col("free"), F.col("person_id")).alias("person_id"), "holder")
-
-
-def _losses(asked: DataFrame, won: DataFrame) -> DataFrame:
-    """How many controls each case still needs after the round, of the cases that took part or lost a control."""
-    outcome = asked.join(won.select("person_id", F.col("case_number").alias("winner")), "person_id", "left")
-    got = F.count_if(F.col("winner") == F.col("case_number"))
-    still = outcome.groupBy("case_number", "need").agg(got.alias("got")).select(
-        "case_number", (F.col("need") - F.col("got")).alias("need"))
-    displaced = (asked.filter("person_id IS NOT NULL AND holder IS NOT NULL").select("person_id", "holder").distinct()
-                 .groupBy(F.col("holder").alias("case_number")).agg(F.count(F.lit(1)).alias("need")))
-    return (still.unionByName(displaced).groupBy("case_number").agg(F.sum("need").alias("need")).filter("need > 0"))
+    return f"shiftleft(1L, length(bin({total} - 1)))"
 
 
 def _on_grid(people: DataFrame) -> DataFrame:

@@ -39,8 +39,9 @@ class Scratch:
         self._kept.add(path)
         return path
 
-    def read(self, path: str, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
+    def read(self, path: str | list[str], schema: StructType) -> DataFrame:
+        """A written table, or several of one schema as one scan."""
+        return self.spark.read.schema(schema).parquet(*([path] if isinstance(path, str) else path))
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         """The same rows, read back from a written table."""

@@ -163,3 +163,17 @@ def test_rules_that_never_decide(study):
     first = group_extreme(study.labs.join(pool, "person_id"), "person_id", "measurement_date")
     assert first.filter("value < 0.5 OR value > 4.5").count() == 0
     assert pool.join(study.cases, "person_id").count() == 0
+
+
+def test_every_round_has_the_same_plan(spark, monkeypatch):
+    plans = []
+    real = matching._round
+
+    def watched(*args, **options):
+        out = real(*args, **options)
+        plans.append(out._jdf.queryExecution().optimizedPlan().numberedTreeString().count("\n"))
+        return out
+    monkeypatch.setattr(matching, "_round", watched)
+    cases, pool = numbered([(i, 1, 50, START) for i in range(1, 31)]), [(1000 + i, 1, 50, START) for i in range(125)]
+    assert run(spark, cases, pool, page=2) == one_at_a_time(cases, pool, 4)
+    assert len(plans) >= 5 and len(set(plans[1:])) == 1
