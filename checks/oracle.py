@@ -247,6 +247,35 @@ STEPS: dict[str, str] = {
         exp(estimate + 1.96 * std_error) AS upper_ci, estimate, std_error, statistic, p_value,
         estimate IS NOT NULL AS converged FROM model_variables v LEFT JOIN fits USING (variable)
         LEFT JOIN p_values USING (variable)""",
+    # The same models of strata with many cases: the exposed ones among them are noncentral hypergeometric.
+    "pooled_strata": " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, count(*) AS m, sum(TSH) AS k, sum({v}) AS e, sum({v} * TSH) AS d FROM scored "
+        "GROUP BY gender_concept_id, agegr, enrollyear" for v in MODEL),
+    "pooled_histogram": """SELECT *, row_number() OVER () AS id FROM (
+            SELECT variable, CAST(m AS BIGINT) AS m, CAST(k AS BIGINT) AS k, CAST(e AS BIGINT) AS e, CAST(d AS BIGINT) AS d, count(*) AS n
+            FROM pooled_strata WHERE k > 0 AND k < m AND e > 0 AND e < m AND variable IN (SELECT variable FROM model_variables) GROUP BY ALL)""",
+    "pooled_support": """SELECT *, base - max(base) OVER (PARTITION BY id) AS weight FROM (
+            SELECT *, lgamma(e + 1) - lgamma(x + 1) - lgamma(e - x + 1) + lgamma(m - e + 1) - lgamma(k - x + 1) - lgamma(m - e - k + x + 1) AS base
+            FROM (SELECT *, unnest(range(greatest(0, k - m + e), least(k, e) + 1)) AS x FROM pooled_histogram))""",
+    "pooled_newton": """SELECT DISTINCT variable, 0 AS it, CAST(0 AS DOUBLE) AS beta, CAST(1 AS DOUBLE) AS step,
+        CAST(1 AS DOUBLE) AS info FROM pooled_histogram
+        UNION ALL
+        SELECT variable, it + 1, beta + u / info, u / info, info FROM (
+            SELECT variable, it, beta, sum(n * (d - mean)) AS u, sum(n * spread) AS info FROM (
+                SELECT variable, it, beta, id, n, d, sum(w * x) / sum(w) AS mean, sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2) AS spread
+                FROM (SELECT s.variable, s.it, s.beta, h.id, h.n, h.d, h.x, exp(h.weight + h.x * s.beta) AS w
+                      FROM pooled_newton s JOIN pooled_support h USING (variable) WHERE s.it < 20 AND abs(s.beta) < 500)
+                GROUP BY variable, it, beta, id, n, d)
+            GROUP BY variable, it, beta) WHERE info >= 1e-9""",
+    "pooled_fits": """SELECT variable, beta AS estimate, 1 / sqrt(info) AS std_error, beta * sqrt(info) AS statistic
+        FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY it) AS rn FROM pooled_newton
+              WHERE it > 0 AND abs(step) <= 1e-9 * greatest(1, abs(beta))) WHERE rn = 1""",
+    "pooled_p": """SELECT variable, 1 - 2 * sum(weight * exp(-0.5 * pow(statistic * i / 400, 2)))
+        * abs(statistic) / 1200 / sqrt(2 * pi()) AS p_value FROM pooled_fits CROSS JOIN simpson GROUP BY variable, statistic""",
+    "pooled_crude": """SELECT v.variable, '1' AS level, exp(estimate) AS OR_, exp(estimate - 1.96 * std_error) AS lower_ci,
+        exp(estimate + 1.96 * std_error) AS upper_ci, estimate, std_error, statistic, p_value,
+        estimate IS NOT NULL AS converged FROM model_variables v LEFT JOIN pooled_fits USING (variable)
+        LEFT JOIN pooled_p USING (variable)""",
     # One model of all variables: a Newton step per turn of the recursion. Members are differences from their case, the
     # matrix is [information | score | identity], and list_reduce does one Gauss-Jordan pivot per variable.
     "members": "SELECT case_number, row_number() OVER () AS member, TSH, ["
@@ -348,7 +377,7 @@ STEPS: dict[str, str] = {
     "blocks": "SELECT substr(concept_code, 1, 3) AS ICD, CAST(sum(n) AS BIGINT) AS n FROM coded GROUP BY 1",
 }
 
-RECURSIVE = {"picks", "newton", "joint"}
+RECURSIVE = {"picks", "newton", "pooled_newton", "joint"}
 
 
 @cache
@@ -413,6 +442,25 @@ ATTRITION = ("(SELECT count(DISTINCT person_id) FROM person)", "(SELECT count(*)
              "(SELECT count(*) FROM cases)", "(SELECT count(*) FROM matches)")
 CASE_CONTROL = "SELECT person_id, enroll_date, age, gender_concept_id, value, TSH, case_number, indexdt2 FROM case_control"
 
+
+
+def cells(name: str, item: str, rows: str, texts: dict[str, str], numbers: dict[str, str]) -> str:
+    """Cells of a result file as (name, item, field, text, value) rows."""
+    return " UNION ALL ".join(
+        [f"SELECT '{name}' AS name, {item} AS item, '{field}' AS field, CASE WHEN TRY_CAST({text} AS DOUBLE) IS NULL THEN {text} END AS text, "
+         f"round(TRY_CAST({text} AS DOUBLE), 6) AS value FROM {rows}" for field, text in texts.items()]
+        + [f"SELECT '{name}', {item}, '{field}', NULL, round(CAST({number} AS DOUBLE), 6) FROM {rows}" for field, number in numbers.items()])
+
+
+RESULT_CELLS = " UNION ALL ".join([
+    *[f"SELECT 'diagram' AS name, '{i}|{label}' AS item, 'number' AS field, NULL AS text, CAST({count} AS DOUBLE) AS value"
+      for i, (label, count) in enumerate(zip(k.ATTRITION_LABELS, ATTRITION), start=1)],
+    cells("TABLE2", "variable", "crude", {"level": "level", "converged": "CAST(converged AS VARCHAR)"},
+          {"OR": "OR_", **{c: c for c in ("lower_ci", "upper_ci", "estimate", "std_error", "statistic", "p_value")}}),
+    cells("TABLE1", "variable || '|' || value", "freq", {}, {c: c for c in ("total", "control", "control_ratio", "patient", "patient_ratio")}),
+    cells("newdisease_topN", "ICD", "new_codes", {"concept_name": "concept_name"}, {"n": "n"}),
+    *[f"SELECT '{name}', '', 'rows', NULL, CAST((SELECT count(*) FROM {rows}) AS DOUBLE)" for name, rows in RESULT_FILES.items()]])
+
 TEXTS: dict[str, str] = {
     "scan_person": """SELECT person_id, year_of_birth, month_of_birth, day_of_birth, gender_concept_id FROM person""",
     "scan_code_list": """SELECT measurement_id, person_id, measurement_concept_id, measurement_date FROM measurement
@@ -449,6 +497,14 @@ TEXTS: dict[str, str] = {
     "filter_out_of_range": "SELECT measurement_id, person_id, value FROM labs WHERE value > 4.5 OR value < 0.5",
     "lookback_endpoint": """SELECT person_id, case_number, drug_concept_id, drug_exposure_start_date, drug_end_date
         FROM taken_rows""",
+    "lookback_overlap": """SELECT person_id, case_number, drug_concept_id, drug_exposure_start_date, drug_end_date
+        FROM (SELECT c.person_id, case_number, indexdt2, drug_concept_id, drug_exposure_start_date,
+                     CAST(drug_exposure_start_date + days_supply - 1 AS DATE) AS drug_end_date
+              FROM case_control c JOIN target_drugs USING (person_id))
+        WHERE drug_exposure_start_date < indexdt2 AND coalesce(drug_end_date, drug_exposure_start_date) >= indexdt2 - 180""",
+    "template_events": f"""SELECT measurement_id, person_id, measurement_date FROM measurement
+        WHERE measurement_concept_id IN {ids((*k.T3_CODES, *k.FREE_T4_CODES))}
+        AND measurement_date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'""",
     "lookback_point": """SELECT person_id, case_number, condition_concept_id, condition_start_date
         FROM recent_conditions""",
     "events_in_period": "SELECT measurement_id, person_id, measurement_date FROM period_labs",
@@ -524,6 +580,10 @@ TEXTS: dict[str, str] = {
         round(exp(estimate - 1.96 * std_error), 6) AS lower_ci, round(exp(estimate + 1.96 * std_error), 6) AS upper_ci,
         {rounded("estimate", "std_error", "statistic", "p_value")}, true AS converged
         FROM joint_fits JOIN joint_p_values USING (variable)""",
+    "frequency_matched_odds": f"""SELECT variable, level, round(OR_, 6) AS "OR",
+        {rounded("lower_ci", "upper_ci", "estimate", "std_error", "statistic", "p_value")}, converged FROM pooled_crude""",
+    "drug_era_scan": "SELECT person_id, start_date, last_intake, drug_days FROM eras",
+    "drug_era_scan_running_max": "SELECT person_id, start_date, last_intake, drug_days FROM eras_max",
     "drug_era": "SELECT person_id, start_date, last_intake, drug_days FROM eras",
     "drug_era_running_max": "SELECT person_id, start_date, last_intake, drug_days FROM eras_max",
     "eras_near_index": "SELECT person_id, start_date, last_intake, drug_days, enroll_date, index_date FROM near_eras",
@@ -538,8 +598,8 @@ TEXTS: dict[str, str] = {
             SELECT *, rank() OVER (PARTITION BY person_id ORDER BY value DESC) AS place FROM period_labs) WHERE place = 1
         UNION ALL SELECT 'TSH_after_indexdt_mean', round(avg(value), 6), count(*) FROM period_labs""",
     "before_after_text": before_after("text_tests"),
-    "sink_result_files": "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT '{name}' AS name, (SELECT count(*) FROM {rows}) AS n" for name, rows in RESULT_FILES.items()) + ")",
+    "sink_result_files": RESULT_CELLS,
+    "published_results": RESULT_CELLS,
     "before_after_series": before_after("before_tests"),
     "classify_relative_to_index": """SELECT person_id, condition_concept_id, condition_start_date, index_date, condition
         FROM classified""",

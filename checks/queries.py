@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,9 @@ from cohortspark import constants as k
 from cohortspark.functions import (anniversary_years, birth_date, duration_years, na_agg,
                                    stripped_number)
 from cohortspark.operators import clogit, cohort, covariates, diagnoses, exposure, matching, relational, summaries
-from cohortspark.plans.study import Study
+from cohortspark.plans.study import MODEL_CANDIDATES, Study
 from cohortspark.sources import (contains_any, csv_codes, dynamic_codes, in_codes, literal_codes, of_persons,
-                                 read_csv, write_csv, write_table)
+                                 read_csv, run_template, write_csv, write_table)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,6 +237,25 @@ def events_in_period(s: Study) -> DataFrame:
     return summaries.labs_in_period(s.labs, s.period).select("measurement_id", "person_id", "measurement_date")
 
 
+@query
+def lookback_overlap(s: Study) -> DataFrame:
+    return exposure.exposures_before(s.case_control.select("person_id", "case_number", "indexdt2"),
+                                     s.target_drugs, mode="overlap").select(
+        "person_id", "case_number", "drug_concept_id", "drug_exposure_start_date", "drug_end_date")
+
+
+# A statement whose table, column, codes and dates are given when it is run.
+CODED_EVENTS = """
+SELECT measurement_id, person_id, measurement_date FROM {events}
+WHERE array_contains(:codes, CAST(IDENTIFIER(:column) AS STRING)) AND measurement_date BETWEEN :first AND :last"""
+
+
+@query
+def template_events(s: Study) -> DataFrame:
+    return run_template(s.spark, CODED_EVENTS, {"events": s.tables.measurement}, {"column": s.hormone_column},
+                        codes=[str(c) for c in (*k.T3_CODES, *k.FREE_T4_CODES)], first=date(1994, 1, 1), last=date(1996, 12, 31))
+
+
 @query
 def semi_filter(s: Study) -> DataFrame:
     return of_persons(s.labs, s.exposed).select("measurement_id", "person_id")
@@ -505,6 +525,13 @@ def adjusted_odds_ratios(s: Study) -> DataFrame:
     return _coefficients(s.adjusted_odds)
 
 
+@query
+def frequency_matched_odds(s: Study) -> DataFrame:
+    """The crude models of strata by gender, age band and entry year, which hold many cases each."""
+    strata = s.scored.withColumn("stratum", F.concat_ws("-", "gender_concept_id", "agegr", "enrollyear"))
+    return _coefficients(clogit.crude_odds(strata, s.model_variables, strata="stratum", candidates=MODEL_CANDIDATES))
+
+
 # ---- follow-up ---------------------------------------------------------------------------------------------------
 
 @query
@@ -518,6 +545,17 @@ def drug_era_running_max(s: Study) -> DataFrame:
         "person_id", "start_date", "last_intake", "drug_days")
 
 
+@query
+def drug_era_scan(s: Study) -> DataFrame:
+    return exposure.scanned_eras(s.target_drugs).select("person_id", "start_date", "last_intake", "drug_days")
+
+
+@query
+def drug_era_scan_running_max(s: Study) -> DataFrame:
+    return exposure.scanned_eras(s.target_drugs, compare="running_max", block_days=90).select(
+        "person_id", "start_date", "last_intake", "drug_days")
+
+
 @query
 def eras_near_index(s: Study) -> DataFrame:
     return s.near_eras.drop("era")
@@ -544,13 +582,39 @@ def before_after_text(s: Study) -> DataFrame:
     return series.select("name", r6("value").alias("value"), "n")
 
 
+def _contents(files: dict[str, DataFrame]) -> DataFrame:
+    """The cells of result files, read as text, one row each: (name, item, field, value). Numbers are rounded."""
+    keys = {"TABLE1": ("variable", "value"), "TABLE2": ("variable",), "TABLE3": ("variable",), "diagram": ("no", "name"), "TSH_table": ("name",),
+            "t_series": ("name",), "newdisease_topN": ("ICD",), "newdisease_ICDchapter": ("Chapter",)}
+    cells = []
+    for name, df in files.items():
+        fields = [c for c in df.columns if c not in keys[name]]
+        text = df.select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in keys[name]]).alias("item"),
+                         *[F.col(c).cast("string").alias(c) for c in fields])
+        number = F.col("text").try_cast("double")
+        cells.append(text.unpivot("item", fields, "field", "text").select(
+            F.lit(name).alias("name"), "item", "field", F.when(number.isNull(), F.col("text")).alias("text"), r6(number).alias("value")))
+    return reduce(DataFrame.unionByName, cells)
+
+
 @query
 def sink_result_files(s: Study) -> DataFrame:
-    """Rows of each written file, read back."""
+    """The attrition table and the crude models as they are read back from the written files, and the rows of the other files."""
     paths = s.write_results(f"{s.scratch.root}/results-{uuid.uuid4().hex}", "SITE")
-    counts = [s.spark.read.csv(path, header=True).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-              for name, path in paths.items()]
-    return reduce(DataFrame.unionByName, counts)
+    files = {name: s.spark.read.csv(path, header=True, nullValue="NA") for name, path in paths.items()}
+    counts = [files[name].agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit(name).alias("name"), F.lit("").alias("item"), F.lit("rows").alias("field"), F.lit(None).cast("string").alias("text"), "value")
+        for name in files]
+    return reduce(DataFrame.unionByName, [_contents({name: files[name] for name in ("diagram", "TABLE2", "TABLE1", "newdisease_topN")}), *counts])
+
+
+@query
+def published_results(s: Study) -> DataFrame:
+    """The same contents of a published set, found by its manifest."""
+    published = s.publish_results(f"{s.scratch.root}/published-{uuid.uuid4().hex}", "SITE")
+    rows = published.manifest().select("name", F.lit("").alias("item"), F.lit("rows").alias("field"), F.lit(None).cast("string").alias("text"),
+                                       F.col("rows").cast("double").alias("value"))
+    return _contents({name: published.read(name) for name in ("diagram", "TABLE2", "TABLE1", "newdisease_topN")}).unionByName(rows)
 
 
 @query

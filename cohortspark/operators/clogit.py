@@ -1,8 +1,9 @@
-"""Conditional logistic regression on matched sets with one case each.
+"""Conditional logistic regression on matched sets, with the exact likelihood.
 
-With one case per stratum the likelihood is the product of exp(x_case b) / sum_j exp(x_j b). Both models first shrink
-the data to counts: a crude model needs only (stratum size, number exposed, case exposed), an adjusted one the
-distinct sets of covariate differences between the controls and their case.
+A stratum with m members and k cases contributes exp(sum of x over the cases . b), divided by the sum of that over all
+choices of k members. Both models first shrink the data to counts: a crude model needs only (stratum size, cases, exposed
+members, exposed cases), where the number of exposed cases is a noncentral hypergeometric variable; an adjusted one the
+distinct sets of covariate differences to the cases' mean, where the sum over choices follows by a recursion over the members.
 """
 
 from __future__ import annotations
@@ -34,6 +35,24 @@ def _coefficient_rule():
     return row
 
 
+def _exposed_case_rule():
+    """Mean and variance of the number of exposed cases per row of counts. Made inside a function so that it travels by value."""
+    def moments(beta: float, cases: np.ndarray, m: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odds = e * math.exp(beta)
+        mean = odds / (odds + m - e)
+        variance = mean * (1 - mean)
+        for i in np.flatnonzero(cases > 1):
+            k, size, exposed = int(cases[i]), int(m[i]), int(e[i])
+            d = np.arange(max(0, k - size + exposed), min(k, exposed) + 1)
+            weight = np.array([math.lgamma(exposed + 1) - math.lgamma(x + 1) - math.lgamma(exposed - x + 1) + math.lgamma(size - exposed + 1)
+                               - math.lgamma(k - x + 1) - math.lgamma(size - exposed - k + x + 1) for x in d.tolist()]) + d * beta
+            weight = np.exp(weight - weight.max())
+            mean[i] = (weight * d).sum() / weight.sum()
+            variance[i] = (weight * (d - mean[i]) ** 2).sum() / weight.sum()
+        return mean, variance
+    return moments
+
+
 def odds_ratio(estimate: Column, error: Column) -> dict[str, Column]:
     """Odds ratio and its 95 % interval."""
     return {"OR": F.exp(estimate), "lower_ci": F.exp(estimate - _Z * error), "upper_ci": F.exp(estimate + _Z * error)}
@@ -41,15 +60,15 @@ def odds_ratio(estimate: Column, error: Column) -> dict[str, Column]:
 
 def stratum_counts(df: DataFrame, variables: Sequence[str], *, outcome: str = "TSH",
                    strata: str = "case_number") -> DataFrame:
-    """Number of strata per variable, stratum size m, exposed members e and exposed case d; sets that cannot inform
-    the model are left out. ``cases`` keeps the number of cases, which must be 1."""
+    """Number of strata per variable, stratum size m, number of cases, exposed members e and exposed cases d; sets that
+    cannot inform the model (without cases or controls, or all members alike) are left out."""
     sums = [F.expr(f"struct(sum(int({v} = 1)) AS e, sum(int({v} = 1 AND {outcome} = 1)) AS d) AS {v}")
             for v in variables]
     per_stratum = df.groupBy(strata).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col(outcome) == 1).alias("cases"),
                                          *sums)
     tall = ", ".join(f"struct('{v}' AS variable, {v}.e, {v}.d)" for v in variables)
     return (per_stratum.selectExpr("m", "cases", f"inline(array({tall}))")
-            .filter((F.col("cases") > 0) & (F.col("e") > 0) & (F.col("e") < F.col("m")))
+            .filter((F.col("cases") > 0) & (F.col("cases") < F.col("m")) & (F.col("e") > 0) & (F.col("e") < F.col("m")))
             .groupBy("variable", "cases", "m", "e", "d").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -75,21 +94,18 @@ def crude_odds(df: DataFrame, variables: DataFrame | Sequence[str], *, outcome:
 
 
 def _newton_per_variable(max_iter: int, tol: float):
-    """Newton steps on the counts of one variable: a few dozen rows, however many strata they stand for."""
-    coefficient = _coefficient_rule()
+    """Newton steps on the counts of one variable: few rows, however many strata they stand for."""
+    coefficient, moments = _coefficient_rule(), _exposed_case_rule()
     schema = pa.schema([("variable", pa.string()), ("estimate", pa.float64()), ("std_error", pa.float64()),
                         ("statistic", pa.float64()), ("p_value", pa.float64()), ("converged", pa.bool_())])
 
     def newton(rows: pa.Table) -> pa.Table:
         name = rows.column("variable")[0].as_py()
         cases, n, m, e, d = (rows.column(c).to_numpy().astype(float) for c in ("cases", "n", "m", "e", "d"))
-        if (cases > 1).any():
-            raise ValueError(f"a stratum of {name} holds more than one case")
         beta, information, converged = 0.0, 0.0, False
         for _ in range(max_iter):
-            odds = e * math.exp(beta)
-            share = odds / (odds + m - e)
-            information = float((n * share * (1 - share)).sum())
+            share, spread = moments(beta, cases, m, e)
+            information = float((n * spread).sum())
             if information < tol:
                 break
             step = float((n * (d - share)).sum()) / information
@@ -111,30 +127,57 @@ def _finish(fits: DataFrame) -> DataFrame:
 
 def stratum_differences(df: DataFrame, variables: Sequence[str], *, outcome: str = "TSH",
                         strata: str = "case_number") -> DataFrame:
-    """Distinct sets of covariate differences (control minus case) with the number of strata that show them.
+    """Distinct sets of covariate differences with the number of cases and of strata that show them.
 
-    A stratum has the size the matching gave it; one with two cases raises an error.
+    With one case a set holds the controls minus the case, which itself is 0. With more it holds all members minus the mean of
+    the cases, so that a choice of as many members as there are cases weighs exp of its sum. A stratum has the size that the
+    matching gave it; one without a case or without a control says nothing.
     """
     x = F.expr("array(" + ", ".join(f"double({v})" for v in variables) + ")")
     case = F.col(outcome) == 1
     rows = df.select(strata, case.alias("_case"), x.alias("_x")).filter(~F.exists("_x", F.isnull))
     members = rows.groupBy(strata).agg(
-        F.count_if("_case").alias("_cases"), F.first(F.when(F.col("_case"), F.col("_x")), ignorenulls=True).alias("_of_case"),
-        F.collect_list(F.when(~F.col("_case"), F.col("_x"))).alias("_of_controls"))
-    members = members.filter(F.when(F.col("_cases") > 1, F.raise_error(F.lit("a stratum holds more than one case")))
-                             .otherwise(F.col("_cases") == 1))
-    differences = F.array_sort(F.transform("_of_controls", lambda control: F.zip_with(
-        control, "_of_case", lambda a, b: a - b)))
-    informative = F.exists("differences", lambda z: F.exists(z, lambda v: v != 0))
-    return (members.select(differences.alias("differences")).filter(informative)
-            .groupBy("differences").agg(F.count(F.lit(1)).alias("n")))
+        F.collect_list(F.when(F.col("_case"), F.col("_x"))).alias("_of_cases"),
+        F.collect_list(F.when(~F.col("_case"), F.col("_x"))).alias("_of_controls")).filter(F.size("_of_cases") > 0)
+    cases = F.size("_of_cases")
+    # Cases are added up in sorted order, so that equal strata have equal sums.
+    center = F.transform(F.aggregate(F.slice(F.array_sort("_of_cases"), F.lit(2), cases), F.array_min("_of_cases"),
+                                     lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / cases)
+    compared = F.when(cases == 1, F.col("_of_controls")).otherwise(F.concat("_of_cases", "_of_controls"))
+    differences = F.array_sort(F.transform(compared, lambda member: F.zip_with(member, "_center", lambda a, b: a - b)))
+    informative = F.exists("differences", lambda z: F.exists(z, lambda v: v != 0)) & (F.size("_of_controls") > 0)
+    return (members.withColumn("_center", center).withColumn("differences", differences).filter(informative)
+            .groupBy(cases.alias("cases"), "differences").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _partial_sums(p: int, beta: np.ndarray):
-    """Per-partition log likelihood, score and information at ``beta``; vectorised over the strata of a batch."""
+    """Per-partition log likelihood, score and information at ``beta``; vectorised over the one-case strata of a batch."""
+    def several(z: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+        """Logarithm, gradient and second derivative of the sum over all choices of k members: the sum for j members grows by
+        those with the next member in place of the last one chosen."""
+        eta = z @ beta
+        top = float(eta.max())
+        weight = np.exp(eta - top)
+        total, first, second = np.zeros(k + 1), np.zeros((k + 1, p)), np.zeros((k + 1, p, p))
+        total[0] = 1.0
+        for w, x in zip(weight, z):
+            cross = first[:-1, :, None] * x
+            second[1:] += w * (second[:-1] + cross + cross.transpose(0, 2, 1) + total[:-1, None, None] * np.outer(x, x))
+            first[1:] += w * (first[:-1] + total[:-1, None] * x)
+            total[1:] += w * total[:-1]
+        mean = first[k] / total[k]
+        return math.log(total[k]) + k * top, mean, second[k] / total[k] - np.outer(mean, mean)
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_likelihood, score, information = 0.0, np.zeros(p), np.zeros((p, p))
         for batch in batches:
+            single = pc.equal(batch.column("cases"), 1)
+            for row in batch.filter(pc.invert(single)).to_pylist():
+                value, mean, spread = several(np.array(row["differences"]), row["cases"])
+                log_likelihood -= row["n"] * value
+                score -= row["n"] * mean
+                information += row["n"] * spread
+            batch = batch.filter(single)
             if batch.num_rows == 0:
                 continue
             sets = batch.column("differences")

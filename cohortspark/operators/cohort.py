@@ -106,14 +106,14 @@ def screen(labs: DataFrame, person: DataFrame, conditions: DataFrame, procedures
     Each event table is aggregated to one row per person first, so all rules share the person partitioning and
     the table is built in one pass. ``passed`` counts the rules met in order: 1 adult, 2 laboratory,
     3 condition, 4 surgery, 5 drug, 6 procedure code. With a scratch folder the entry dates, which two rules need, are
-    written once.
+    written once and laid out by person.
     """
     first_date = F.min("measurement_date")
     lab = labs.groupBy("person_id").agg(
         first_date.alias("enroll_date"),
         F.min(F.when(outside_range(F.col("value"), low, high), F.col("measurement_date"))).alias("_abnormal"))
     if scratch is not None:
-        lab = scratch.cut(lab, "entry")
+        lab = scratch.cut_by(lab, "entry", "person_id")
     condition = conditions.groupBy("person_id").agg(F.min("condition_start_date").alias("_condition"))
     surgery = contains_any(procedure_column, patterns)
     treated = F.col("procedure_concept_id").isin(*procedure_codes)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark import constants as k
-from cohortspark.functions import if_else, in_lookback
+from cohortspark.functions import if_else
 from cohortspark.operators.exposure import exposures_before
+from cohortspark.operators.intervals import dates_in_windows
 
 KEY = ["person_id", "case_number"]
 
@@ -27,8 +28,8 @@ def case_control_table(cases: DataFrame, matches: DataFrame, cohort: DataFrame)
 
 def events_in_lookback(anchors: DataFrame, events: DataFrame, date: str, *, days: int = k.LOOKBACK_DAYS) -> DataFrame:
     """Events of the anchored persons on a day of the look-back window, once per anchor row."""
-    return (anchors.select(*KEY, "indexdt2").join(events, "person_id")
-            .filter(in_lookback(F.col(date), F.col("indexdt2"), days)))
+    return dates_in_windows(anchors.select(*KEY, "indexdt2"), events, [date], F.date_sub("indexdt2", days),
+                            F.date_sub("indexdt2", 1), width=days)
 
 
 def flags(anchors: DataFrame, conditions: DataFrame, codes: DataFrame, columns: Mapping[str, str], *,

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark import constants as k
-from cohortspark.functions import exposure_end, in_lookback, na_agg, within_days
+from cohortspark.functions import exposure_end, na_agg, within_days
+from cohortspark.operators.intervals import dates_in_windows, spans_in_windows
 
 
 def with_exposure_end(drugs: DataFrame) -> DataFrame:
@@ -20,14 +21,13 @@ def exposures_before(anchors: DataFrame, drugs: DataFrame, *, days: int = k.LOOK
                      mode: str = "endpoint") -> DataFrame:
     """Anchor rows joined to the exposures in the look-back window; ``anchors`` has person, case and indexdt2."""
     ended = with_exposure_end(drugs)
-    start, end, index = F.col("drug_exposure_start_date"), F.col("drug_end_date"), F.col("indexdt2")
+    start, end = "drug_exposure_start_date", "drug_end_date"
+    window = F.date_sub("indexdt2", days), F.date_sub("indexdt2", 1)
     if mode == "endpoint":
-        hit = in_lookback(start, index, days) | in_lookback(end, index, days)
-    elif mode == "overlap":
-        hit = (start < index) & (F.coalesce(end, start) >= F.date_sub(index, days))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return anchors.join(ended, "person_id").filter(hit)
+        return dates_in_windows(anchors, ended, [start, end], *window, width=days)
+    if mode == "overlap":
+        return spans_in_windows(anchors, ended, start, F.coalesce(end, start), *window, width=days)
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def exposure_window(anchors: DataFrame, drugs: DataFrame, *, days: int = k.LOOKBACK_DAYS,
@@ -111,6 +111,58 @@ def drug_eras(drugs: DataFrame, *, gap: int = k.ERA_GAP, compare: str = "previou
             .withColumn("drug_days", F.datediff("last_intake", "start_date")))
 
 
+def scanned_eras(drugs: DataFrame, *, gap: int = k.ERA_GAP, compare: str = "previous_row", block_days: int = 366) -> DataFrame:
+    """The eras of ``drug_eras`` by a scan in two levels, for persons whose rows should not meet in one task.
+
+    A person's rows are cut into blocks by the day they start on. Each block is summed up in one row: the end of its last
+    row, its latest end and, once the block before is known, the number of eras that it opens. The summaries combine
+    associatively along the person's blocks, and what comes out before a block is handed to its rows. Windows see the rows of
+    one block, or the blocks of one person.
+    """
+    if compare not in ("previous_row", "running_max"):
+        raise ValueError(f"unknown comparison {compare!r}")
+    pairs = (drugs.groupBy("person_id", F.col("drug_exposure_start_date").alias("_start"),
+                           F.col("drug_exposure_end_date").alias("_end"))
+             .agg(F.count(F.lit(1)).alias("_copies")))
+    # Rows without a start come last.
+    block = F.coalesce(F.floor(F.unix_date("_start") / F.lit(block_days)), F.lit((1 << 31) - 1)).cast("int")
+    part = ["person_id", "_block"]
+    order = Window.partitionBy(*part).orderBy(F.col("_start").asc_nulls_last(), F.col("_end").asc_nulls_last())
+    blocks = Window.partitionBy("person_id").orderBy("_block")
+    earlier_rows, earlier_blocks = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (order, blocks))
+    rows = pairs.withColumn("_block", block).withColumns({
+        "_row": F.row_number().over(order), "_lag": F.lag("_end").over(order), "_top": F.max("_end").over(earlier_rows)})
+
+    def handed(summaries: DataFrame, *columns: Column) -> DataFrame:
+        """What the blocks before each block come to, joined to the rows of the block."""
+        return summaries.select(F.col("person_id").alias("_person"), F.col("_block").alias("_of"), *columns)
+
+    def with_handed(to: DataFrame, what: DataFrame) -> DataFrame:
+        same = F.col("person_id").eqNullSafe(F.col("_person")) & (F.col("_block") == F.col("_of"))
+        return to.join(what, same).drop("_person", "_of")
+
+    ends = rows.groupBy(*part).agg(F.max_by("_end", "_row").alias("_last_end"), F.max("_end").alias("_latest_end"))
+    rows = with_handed(rows, handed(ends, F.lag("_last_end").over(blocks).alias("_end_before"),
+                                    F.max("_latest_end").over(earlier_blocks).alias("_top_before")))
+    previous = (F.when(F.col("_row") == 1, F.col("_end_before")).otherwise(F.col("_lag")) if compare == "previous_row"
+                else F.greatest("_top", "_top_before"))
+
+    def opens(end: str) -> Column:
+        return (~F.coalesce(F.col("_start") <= F.date_add(F.col(end), gap), F.lit(False))).cast("bigint")
+
+    own_end = "_end" if compare == "previous_row" else "_latest"
+    rows = rows.withColumns({"_previous": previous}).withColumn("_latest", F.greatest("_previous", "_end"))
+    rows = rows.withColumns({"_opens": opens("_previous"), "_more": (F.col("_copies") - 1) * opens(own_end)})
+    opened = rows.groupBy(*part).agg(F.sum(F.col("_opens") + F.col("_more")).alias("_n"))
+    rows = with_handed(rows, handed(opened, F.coalesce(F.sum("_n").over(earlier_blocks), F.lit(0)).alias("_opened")))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("_last", F.col("_opened") + F.sum(F.col("_opens") + F.col("_more")).over(running))
+            .withColumn("era", F.explode(F.sequence(F.col("_last") - F.col("_more"), F.col("_last"))))
+            .groupBy("person_id", "era")
+            .agg(na_agg(F.min, "_start").alias("start_date"), na_agg(F.max, "_end").alias("last_intake"))
+            .withColumn("drug_days", F.datediff("last_intake", "start_date")))
+
+
 def eras_near_index(eras: DataFrame, cases: DataFrame, *, days: int = k.LOOKBACK_DAYS) -> DataFrame:
     """Eras that last into the look-back window or beyond, with the person's entry and index date."""
     dates = cases.select("person_id", "enroll_date", F.col("indexdt").alias("index_date"))

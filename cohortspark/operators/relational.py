@@ -33,14 +33,15 @@ def seeded_order(seed: int, *columns: str) -> Column:
 
 
 def group_extreme(df: DataFrame, key: str, value: str, *, largest: bool = False) -> DataFrame:
-    """All rows that equal their group's smallest (or largest) value, ties kept.
+    """All rows that equal their group's smallest (or largest) value, ties kept; rows without a key or value are left out.
 
-    The extreme is aggregated before it is joined back, so no task holds a whole group.
+    The rows are read once. Spark turns the filter on the rank into a group limit before the shuffle, so each map task
+    sends only the rows that tie for its own extreme.
     """
-    extreme = df.groupBy(key).agg((F.max if largest else F.min)(value).alias("_extreme"))
-    return (df.join(extreme.withColumnRenamed(key, "_key"),
-                    (F.col(key) == F.col("_key")) & (F.col(value) == F.col("_extreme")), "inner")
-            .drop("_key", "_extreme"))
+    order = F.col(value).desc() if largest else F.col(value).asc()
+    known = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return (known.withColumn("_rank", F.rank().over(Window.partitionBy(key).orderBy(order)))
+            .filter(F.col("_rank") <= 1).drop("_rank"))
 
 
 def mean_and_n(df: DataFrame, value: str, mean_name: str = "value") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import constants as k
 from cohortspark.functions import na_agg, stripped_number
+from cohortspark.operators.intervals import dates_in_windows
 from cohortspark.operators.relational import group_extreme, mean_and_n
 
 
@@ -41,8 +42,8 @@ def exposed_cases(analysis: DataFrame) -> DataFrame:
 
 def labs_in_period(labs: DataFrame, period: DataFrame) -> DataFrame:
     """Values taken during each person's period of use."""
-    return (labs.join(period.select("person_id", "entire_start", "entire_end"), "person_id")
-            .filter(F.col("measurement_date").between(F.col("entire_start"), F.col("entire_end"))))
+    return dates_in_windows(period.select("person_id", "entire_start", "entire_end"), labs, ["measurement_date"],
+                            F.col("entire_start"), F.col("entire_end"), width=k.LOOKBACK_DAYS)
 
 
 def lab_summary(labs: DataFrame, period: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ class StudyParameters:
     span_gap: int = k.SPAN_GAP
     era_gap: int = k.ERA_GAP
     era_compare: str = "previous_row"
+    era_block_days: int | None = None
     follow_up_days: int = k.FOLLOW_UP_DAYS
     drug_classes: Sequence[str] = k.DRUG_CLASSES
     age_bands: Sequence[tuple[int, int]] = k.AGE_BANDS

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from cohortspark import constants as k
 from cohortspark.operators import clogit, cohort, covariates, diagnoses, exposure, matching, summaries
 from cohortspark.plans.parameters import StudyParameters
-from cohortspark.sources import ClinicalTables, CodeLists, in_codes, of_persons, write_csv, write_table
+from cohortspark.sources import ClinicalTables, CodeLists, ResultSet, in_codes, of_persons, write_csv, write_table
 from cohortspark.storage import Scratch
 
 MODEL_CANDIDATES = tuple(v for v in k.TABLE_VARIABLES if v not in (*k.NOT_MODELLED, "enrollyear"))
 
 
 class Study:
-    """Stages of the study. Each is lazy; those that several later stages read are written once to the scratch folder."""
+    """Stages of the study. Each is lazy; those that several later stages read are written once to the scratch folder, laid out
+    by the person (and case) that later stages join on."""
 
     def __init__(self, spark: SparkSession, tables: ClinicalTables, codes: CodeLists, *,
                  parameters: StudyParameters | None = None, seed: int = 42,
@@ -31,7 +32,7 @@ class Study:
     @cached_property
     def labs(self) -> DataFrame:
         """Parsed once, for the screening, the case selection and the follow-up."""
-        return self.scratch.cut(cohort.numeric_lab(self.tables.measurement, self.codes.lab), "labs")
+        return self.scratch.cut_by(cohort.numeric_lab(self.tables.measurement, self.codes.lab), "labs", "person_id")
 
     @cached_property
     def screened(self) -> DataFrame:
@@ -42,7 +43,7 @@ class Study:
                               procedure_column=self.procedure_column, patterns=p.surgery_patterns,
                               procedure_codes=p.procedure_codes, min_age=p.min_age, low=p.lower_limit, high=p.upper_limit,
                               days=p.baseline_days, scratch=self.scratch)
-        return self.scratch.cut(flags, "screened")
+        return self.scratch.cut_by(flags, "screened", "person_id")
 
     @cached_property
     def cohort(self) -> DataFrame:
@@ -71,7 +72,8 @@ class Study:
 
     @cached_property
     def case_control(self) -> DataFrame:
-        return self.scratch.cut(covariates.case_control_table(self.cases, self.matches, self.cohort), "case-control")
+        return self.scratch.cut_by(covariates.case_control_table(self.cases, self.matches, self.cohort), "case-control",
+                                   *covariates.KEY)
 
     @cached_property
     def target_drugs(self) -> DataFrame:
@@ -86,7 +88,7 @@ class Study:
     @cached_property
     def analysis(self) -> DataFrame:
         """One row per person and case, with every covariate, gender still as a concept."""
-        exposures = self.scratch.cut(self.exposures, "exposures")
+        exposures = self.scratch.cut_by(self.exposures, "exposures", *covariates.KEY)
         p = self.parameters
         table = covariates.analysis_table(
             self.case_control, exposure.recency_class(exposures, bins=p.recency_bins),
@@ -127,8 +129,11 @@ class Study:
 
     @cached_property
     def eras(self) -> DataFrame:
-        return exposure.drug_eras(of_persons(self.target_drugs, self.exposed), gap=self.parameters.era_gap,
-                                  compare=self.parameters.era_compare)
+        p = self.parameters
+        drugs = of_persons(self.target_drugs, self.exposed)
+        if p.era_block_days is not None:
+            return exposure.scanned_eras(drugs, gap=p.era_gap, compare=p.era_compare, block_days=p.era_block_days)
+        return exposure.drug_eras(drugs, gap=p.era_gap, compare=p.era_compare)
 
     @cached_property
     def near_eras(self) -> DataFrame:
@@ -160,9 +165,10 @@ class Study:
     def new_chapters(self) -> DataFrame:
         return diagnoses.chapters(self.new_codes, mode=self.parameters.chapter_mode)
 
-    def write_results(self, folder: str, site: str) -> dict[str, str]:
-        """Write every result as CSV (the three tables also as parquet) and return the paths."""
-        results = {
+    @property
+    def results(self) -> dict[str, DataFrame]:
+        """Every result of the study under the name of its file."""
+        return {
             "TABLE1": self.frequencies.orderBy("variable", "value"),
             "TABLE2": self.crude_odds.orderBy("variable"),
             "TABLE3": self.adjusted_odds,
@@ -172,6 +178,16 @@ class Study:
             "newdisease_topN": self.new_codes.orderBy(F.desc("n"), "ICD"),
             "newdisease_ICDchapter": self.new_chapters.orderBy(F.asc_nulls_last("Chapter")),
         }
+
+    def publish_results(self, folder: str, site: str) -> ResultSet:
+        """Write every result as CSV, all under one manifest, which replaces the set before only when everything is there."""
+        published = ResultSet(self.spark, folder, site)
+        published.publish(self.results)
+        return published
+
+    def write_results(self, folder: str, site: str) -> dict[str, str]:
+        """Write every result as CSV (the three tables also as parquet) and return the paths."""
+        results = self.results
         paths = {name: f"{folder}/{site}-{name}.csv" for name in results}
         for name, df in results.items():
             write_csv(df, paths[name])

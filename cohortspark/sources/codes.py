@@ -40,14 +40,21 @@ class CodeLists:
 def csv_codes(spark: SparkSession, path: str, schema: str = "concept_id bigint") -> DataFrame:
     """A code list from a CSV file: the columns of the schema, found by their names in the header, in any order.
 
-    Other columns are left out; a missing one raises an error.
+    Other columns are left out; a missing one raises an error, and so does a value that cannot be read as its type, as the
+    cohort would change without a word. NA, an empty field and blanks are missing values.
     """
     header = spark.read.csv(path, header=True, nullValue="NA")   # all columns as text; Spark reads the first line only
     wanted = [part.split() for part in schema.split(",")]
     missing = [name for name, _ in wanted if name not in header.columns]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    return header.select(*[F.trim(F.col(f"`{name}`")).try_cast(kind).alias(name) for name, kind in wanted])
+    texts = {name: F.trim(F.col(f"`{name}`")) for name, _ in wanted}
+    bad = {name: texts[name].isNotNull() & (texts[name] != "") & texts[name].try_cast(kind).isNull() for name, kind in wanted}
+    counted = header.agg(*[F.struct(F.count_if(b), F.min(F.when(b, texts[name]))).alias(name) for name, b in bad.items()]).first()
+    unread = [f"{counted[name][0]} lines with an unreadable {name} such as {counted[name][1]!r}" for name in bad if counted[name][0]]
+    if unread:
+        raise ValueError(f"{path} has {' and '.join(unread)}")
+    return header.select(*[texts[name].try_cast(kind).alias(name) for name, kind in wanted])
 
 
 def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:

@@ -30,6 +30,7 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/cohortspark-{uuid.uuid4().hex}"
         self._tables = 0
         self._kept: set[str] = set()
+        self._laid_out: list[str] = []
 
     def write(self, df: DataFrame, label: str) -> str:
         """Write the rows as a new table and return its path."""
@@ -47,6 +48,19 @@ class Scratch:
         """The same rows, read back from a written table."""
         return self.read(self.write(df, label), df.schema)
 
+    def cut_by(self, df: DataFrame, label: str, *keys: str) -> DataFrame:
+        """The same rows, read back from a table laid out by keys: bucketed and sorted, in as many buckets as the session
+        shuffles to. Joins and aggregations on these keys need no exchange of it."""
+        self._tables += 1
+        path = f"{self.root}/{self._tables:04d}-{label}"
+        table = f"{self.root.rsplit('/', 1)[1].replace('-', '_')}_{self._tables:04d}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path)
+         .saveAsTable(table))
+        self._kept.add(path)
+        self._laid_out.append(table)
+        return self.spark.table(table)
+
     def _files(self, path: str):
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path, jvm_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
@@ -67,5 +81,8 @@ class Scratch:
 
     def close(self) -> None:
         """Delete all tables of the run."""
+        for table in self._laid_out:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._laid_out.clear()
         self.discard(self.root)
         self._kept.clear()

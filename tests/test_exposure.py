@@ -136,3 +136,18 @@ def test_score_counts_the_seventh_flag_twice_and_not_the_last(spark):
     grades = [r["CCIGR"] for r in covariates.comorbidity_score(df).collect()]
     assert scores == [0, 2, 0, 0, 2, 1, 5, 0, 2, 0, 1, 2, 1, 2, 4, 6, 0]
     assert grades == [{0: 1, 1: 2, 2: 3}.get(s, 4) for s in scores]
+
+
+@pytest.mark.parametrize("compare", ["previous_row", "running_max"])
+def test_eras_by_blocks_equal_eras_by_person(spark, compare):
+    rng = random.Random(12)
+    rows = [(p, day(None if rng.random() < 0.05 else rng.randint(0, 900)), day(None if rng.random() < 0.1 else rng.randint(-20, 1000)))
+            for p in (1, 2, 3, None) for _ in range(rng.choice([1, 40, 120]))]
+    rows += [(4, day(10 * i), day(10 * i + rng.randint(1, 8))) for i in range(100)] + rows[:30] * 2
+    df = spark.createDataFrame(rows, "person_id bigint, drug_exposure_start_date date, drug_exposure_end_date date")
+    expected = sorted(map(tuple, exposure.drug_eras(df, compare=compare).drop("era").collect()), key=str)
+    for width in (1, 30, 366, 100_000):
+        got = exposure.scanned_eras(df, compare=compare, block_days=width)
+        assert sorted(map(tuple, got.drop("era").collect()), key=str) == expected
+    with pytest.raises(ValueError):
+        exposure.scanned_eras(df, compare="other")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import random
@@ -11,7 +12,6 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
-from pyspark.errors import PySparkException
 
 from cohortspark.operators import clogit, summaries
 
@@ -99,12 +99,71 @@ def test_strata_without_controls_or_variation_change_nothing(spark):
     assert clogit.crude_odds(matched(spark, [((1,), [])], ["x"]), ["x"]).first()["converged"] is False
 
 
-def test_two_cases_in_a_stratum_are_refused(spark):
-    df = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (1, 0, 0)], "case_number bigint, TSH int, x int")
-    with pytest.raises(PySparkException):
-        clogit.crude_odds(df, ["x"]).collect()
-    with pytest.raises(PySparkException):
-        clogit.adjusted_odds(df, ["x"]).collect()
+def enumerated(strata, beta):
+    """Log likelihood from its definition: (case vectors, control vectors) per stratum, all choices of as many members."""
+    total = 0.0
+    for cases, controls in strata:
+        members = [*cases, *controls]
+        own = sum(np.dot(c, beta) for c in cases)
+        total += own - math.log(sum(math.exp(sum(np.dot(m, beta) for m in chosen)) for chosen in itertools.combinations(members, len(cases))))
+    return total
+
+
+def several(spark, strata, names):
+    rows = []
+    for number, (cases, controls) in enumerate(strata, start=1):
+        rows += [(number, 1, *c) for c in cases] + [(number, 0, *c) for c in controls]
+    return spark.createDataFrame(rows, "case_number bigint, TSH int, " + ", ".join(f"{n} int" for n in names))
+
+
+def random_sets(seed, n, p):
+    rng = random.Random(seed)
+    draw = lambda q: tuple(int(rng.random() < q) for _ in range(p))
+    return [([draw(0.5) for _ in range(rng.randint(0, 4))], [draw(0.35) for _ in range(rng.randint(0, 5))]) for _ in range(n)]
+
+
+def test_several_cases_match_enumeration_of_all_choices(spark):
+    strata, h = random_sets(4, 80, 3), 1e-5
+    strata += strata[:20] + [(c[::-1], d[::-1]) for c, d in strata[:10]]   # equal sets are counted together in any order
+    df = several(spark, strata, "abc")
+    sets = clogit.stratum_differences(df, list("abc")).cache()
+    for beta in (np.zeros(3), np.array([0.4, -0.7, 1.1])):
+        value, score, information = clogit.likelihood_at(sets, beta)
+        change = value - clogit.likelihood_at(sets, np.zeros(3))[0]
+        assert change == pytest.approx(enumerated(strata, beta) - enumerated(strata, np.zeros(3)))
+        for j in range(3):
+            e = np.eye(3)[j] * h
+            assert score[j] == pytest.approx((enumerated(strata, beta + e) - enumerated(strata, beta - e)) / (2 * h), abs=1e-4)
+            up, down = clogit.likelihood_at(sets, beta + e)[1], clogit.likelihood_at(sets, beta - e)[1]
+            assert information[j] == pytest.approx(-(up - down) / (2 * h), abs=1e-3)
+    sets.unpersist()
+    rows = clogit.adjusted_odds(df, list("abc")).collect()
+    best = np.array([r["estimate"] for r in rows])
+    for j in range(3):
+        for delta in (0.01, -0.01):
+            assert enumerated(strata, best + np.eye(3)[j] * delta) < enumerated(strata, best)
+
+
+def test_crude_models_of_several_cases(spark):
+    strata = random_sets(6, 60, 1)
+    df = several(spark, strata, "x")
+    crude, adjusted = clogit.crude_odds(df, ["x"]).first(), clogit.adjusted_odds(df, ["x"]).first()
+    assert crude["estimate"] == pytest.approx(adjusted["estimate"], abs=1e-6)
+    assert crude["std_error"] == pytest.approx(adjusted["std_error"], abs=1e-6)
+    # One stratum of all persons: the conditional estimate of a two by two table, by its definition.
+    df = several(spark, [([(1,)] * 7 + [(0,)] * 5, [(1,)] * 4 + [(0,)] * 9)], "x")
+    row = clogit.crude_odds(df, ["x"]).first()
+    ways = {d: math.comb(11, d) * math.comb(14, 12 - d) for d in range(12)}
+    mean = lambda b: sum(d * w * math.exp(b * d) for d, w in ways.items()) / sum(w * math.exp(b * d) for d, w in ways.items())
+    assert mean(row["estimate"]) == pytest.approx(7, abs=1e-6) and row["converged"]
+
+
+def test_strata_without_case_or_control_say_nothing(spark):
+    base = random_sets(8, 30, 2)
+    more = [*base, ([], [(1, 0), (0, 1)]), ([(1, 1), (0, 1)], []), ([(1, 0), (1, 0)], [(1, 0)])]
+    for fit in (clogit.crude_odds, clogit.adjusted_odds):
+        one, two = (sorted((r["variable"], r["estimate"]) for r in fit(several(spark, s, "ab"), ["a", "b"]).collect()) for s in (base, more))
+        assert [v for v, _ in one] == ["a", "b"] and [x for _, x in one] == pytest.approx([x for _, x in two])
 
 
 def test_kernels_need_nothing_but_numpy_and_arrow_on_the_executors(tmp_path):

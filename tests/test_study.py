@@ -120,3 +120,10 @@ def test_separated_variable_leaves_the_others_their_estimates(spark):
     for v in "ab":
         assert fits[v]["converged"] and fits[v]["estimate"] == pytest.approx(limit[v]["estimate"], abs=1e-4)
         assert fits[v]["std_error"] == pytest.approx(limit[v]["std_error"], abs=1e-4)
+
+
+def test_ties_and_laboratory_summary_read_their_rows_once(spark, study):
+    from cohortspark.operators.relational import group_extreme
+
+    plan = executed(group_extreme(study.labs, "person_id", "value", largest=True))
+    assert "WindowGroupLimit" in plan and plan.count("Scan") == 1 and "Join" not in plan
