@@ -83,15 +83,11 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
     return held.join(positions, place).select("case_number", "person_id")
 
 
-def _scrambled(turn: str, seed: int) -> list[tuple[str, str]]:
-    """The candidate that a turn names, in steps (name, expression): odd multiples, key additions and xor-shifts, each a
-    bijection of ``bits`` bits."""
-    steps, x = [], turn
-    for i, (times, of_case, of_seed) in enumerate(_SCRAMBLE):
-        steps.append((f"sum{i}", f"({x} * {times} + (case_number & {(1 << 40) - 1}) * {of_case} + {seed % (1 << 40) * of_seed}) & (turns - 1)"))
-        steps.append((f"mix{i}", f"sum{i} ^ shiftright(sum{i}, 1 + bits DIV 2)"))
-        x = f"mix{i}"
-    return steps
+def _scrambled(turn: str, seed: int) -> str:
+    """The candidate that a turn names: odd multiples, key additions and xor-shifts, each a bijection of ``bits`` bits."""
+    keys = ", ".join(f"struct({times}L AS times, {of_case}L AS of_case, {seed % (1 << 40) * of_seed}L AS added)" for times, of_case, of_seed in _SCRAMBLE)
+    step = f"((x * k.times + (case_number & {(1 << 40) - 1}) * k.of_case + k.added) & (turns - 1))"
+    return f"aggregate(array({keys}), {turn}, (x, k) -> {step} ^ shiftright({step}, 1 + bits DIV 2))"
 
 
 def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None, exact: Sequence[str], few: bool, *, seed: int, page: int,
@@ -107,11 +103,6 @@ def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None,
     """
     keys = ", ".join(f"`{c}`" for c in exact)
     same = " AND ".join(f"r.`{c}` = h.`{c}`" for c in (*exact, "strip", "position"))
-    steps = "turns_read"
-    scrambling = ""
-    for name, expression in _scrambled("turn", seed):
-        scrambling += f", {name}_step AS (SELECT *, {expression} AS {name} FROM {steps})"
-        steps = f"{name}_step"
     losses = f"""
       events AS (SELECT case_number, next_cursor AS cursor, CAST(NULL AS BIGINT) AS asked, 0L AS change FROM {{state}}
                  UNION ALL SELECT case_number, next_cursor, need, CASE WHEN winner = case_number THEN -1L ELSE 0L END FROM {{latest}}
@@ -127,12 +118,12 @@ def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None,
       pages AS (SELECT *, length(bin(total - 1)) AS bits, {_turns('total')} AS turns, least(cursor + greatest(cursor, {page}L), {_turns('total')}) AS stop FROM short),
       chunks AS (SELECT *, explode(sequence(cursor, stop - 1, {_CHUNK}L)) AS start FROM pages),
       turns_read AS (SELECT *, explode(concat(sequence(start, least(start + {_CHUNK}L, stop) - 1),
-                                              CASE WHEN start = cursor THEN array(-1L) ELSE array() END)) AS turn FROM chunks)
-      {scrambling},
-      named AS (SELECT case_number, {keys}, need, stop, CASE WHEN turn >= 0 THEN turn END AS turn, {name} AS place,
-                       CASE WHEN turn >= 0 THEN get(filter(runs, r -> {name} >= r.first AND {name} < r.first + r.size), 0) END AS run
-                FROM {steps} WHERE turn < 0 OR {name} < total),
-      rows AS (SELECT case_number, {keys}, need, stop, turn, run.strip AS strip, run.lo + place - run.first AS position FROM named),
+                                              CASE WHEN start = cursor THEN array(-1L) ELSE array() END)) AS turn FROM chunks),
+      numbered AS (SELECT *, explode(array({_scrambled('turn', seed)})) AS number FROM turns_read),
+      named AS (SELECT case_number, {keys}, need, stop, CASE WHEN turn >= 0 THEN turn END AS turn, number,
+                       CASE WHEN turn >= 0 THEN get(filter(runs, r -> number >= r.first AND number < r.first + r.size), 0) END AS run
+                FROM numbered WHERE turn < 0 OR number < total),
+      rows AS (SELECT case_number, {keys}, need, stop, turn, run.strip AS strip, run.lo + number - run.first AS position FROM named),
       placed AS (SELECT *, position IS NOT NULL AND coalesce(holder > case_number, true) AS free
                  FROM (SELECT r.*, {'CAST(NULL AS BIGINT) AS holder FROM rows r' if state is None else f'h.holder FROM rows r LEFT JOIN held h ON {same}'})),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY case_number ORDER BY free DESC, turn NULLS LAST) AS rank FROM placed),
