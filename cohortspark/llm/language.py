@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,29 +31,46 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((codes * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
 
 
+# A tag begins with ``<`` and a letter, ``/``, ``!`` or ``?``; quoted values may hold ``>``. No choice is taken back, so a page takes
+# linear time.
+_TAG = re.compile(r"""<(?:(?P<raw>script|style)(?=[\s/>])|[a-z/!?])(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>""", re.I)
+_UNQUOTED = re.compile(r"<(?:(?P<raw>script|style)(?=[\s/>])|[a-z/!?])[^>]*+>", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style")}
+
+
 def visible(page: str | None) -> str:
-    """The text of a page without tags, comments, scripts and styles; one pass over the page."""
+    """The text of a page without tags, comments, scripts and styles; one pass over the page.
+
+    Any other ``<`` is text, as in a browser, and so is one whose tag or comment never ends: nothing after it is lost. Only a script
+    or style that never ends hides the rest of its page. Once a tag would not end because of its quotes, quotes mean nothing.
+    """
     page = page or ""
-    low, out, at = page.lower(), [], 0
-    if len(low) != len(page):   # a few letters change their length
-        low = page
-    while True:
-        tag = page.find("<", at)
-        if tag < 0:
-            out.append(page[at:])
-            break
-        out.append(page[at:tag])
-        close, skip = ">", 1
-        if low.startswith("<!--", tag):
-            close, skip = "-->", 3
-        elif low.startswith("<script", tag):
-            close, skip = "</script>", 9
-        elif low.startswith("<style", tag):
-            close, skip = "</style>", 8
-        stop = low.find(close, tag)
+    out, at, tags = [], 0, _TAG
+    last, last_comment = page.rfind(">"), page.rfind("-->")
+    while (start := page.find("<", at)) >= 0:
+        if start > last:
+            break   # no tag ends any more
+        stop, tag = -1, None
+        if page.startswith("<!--", start):
+            if last_comment >= start + 4:
+                stop = page.find("-->", start + 4) + 3
+        else:
+            tag = tags.match(page, start)
+            if tag is None and tags is _TAG and _UNQUOTED.match(page, start):
+                tags = _UNQUOTED
+                tag = tags.match(page, start)
+        if tag is not None:
+            stop = tag.end()
+            if tag["raw"]:
+                closed = _RAW_END[tag["raw"].lower()].search(page, stop)
+                stop = len(page) if closed is None else closed.end()
         if stop < 0:
-            break   # an open tag hides the rest, as in a browser
-        at = stop + skip
+            out.append(page[at:start + 1])
+            at = start + 1
+        else:
+            out.append(page[at:start])
+            at = stop
+    out.append(page[at:])
     return html.unescape(" ".join(out))
 
 

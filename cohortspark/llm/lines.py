@@ -38,16 +38,18 @@ def windows(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def repeated_runs(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """(key, spans) of the documents that hold later copies of repeated runs; spans are sorted (first, last) line numbers.
+def repeated_runs(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  min_words: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(key, spans) of the documents that hold later copies of repeated runs; spans are sorted (first, last) line numbers. And the
+    keys of documents with enough words for a run that more than one row holds.
 
     A run of whole lines with at least ``min_words`` words that also stands earlier (in a document with a smaller id, or further
     up) is deleted. Steps: line hashes are winnowed to window minima; fingerprints that stand at one place only are dropped,
     with all windows around them; the other windows meet by content, and all but the first are later copies; copies that
     overlap or touch merge, which extends each match forwards and backwards to the whole repeated run.
 
-    Position is (id, digest of the text, line), null ids last. Rows equal in id and text are one document and fare alike. A
-    null text is one empty line. Hot lines: places and copies are reduced to their first one by aggregates that combine
+    Position is (id, digest of the text, line), null ids last. Rows equal in id and text are one document here. A null text is
+    one empty line. Hot lines: places and copies are reduced to their first one by aggregates that combine
     within tasks, and meet the windows in joins of one row against many, which adaptive execution can split.
     """
     key = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -71,6 +73,8 @@ def repeated_runs(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_
     id_type = df.schema[id_col].dataType.simpleString()
     found = scratch.cut(df.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, f"place struct<no_id:boolean,id:{id_type},key:binary,line:int>, last int, mark long, mark_line int, content binary"), "windows")
+    # The shortest run from the first line stands once in each row of a document.
+    heads = found.filter("place.line = 0").groupBy("place.key", "last").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     stand = F.struct("place.key", "mark_line")
     # Summaries are written before they are joined: the joins then read plain shuffles, in which a hot line can be split.
     marks = scratch.cut(found.groupBy("mark").agg(F.min(stand).alias("a"), F.max(stand).alias("b")).filter("a < b").select("mark"), "marks")
@@ -82,22 +86,35 @@ def repeated_runs(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_
     runs = later.withColumn("fresh", (F.coalesce(starts, F.lit(-2)) + 1 < F.col("line")).cast("int"))
     runs = runs.withColumn("run", F.expr("sum(fresh) OVER (PARTITION BY key ORDER BY line, last)"))
     merged = runs.groupBy("key", "run").agg(F.min("line").alias("first"), F.max("last").alias("last"))
-    return merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    return merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), heads.select("key").distinct()
 
 
 def dedup_lines(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """The rows of ``df`` with later copies of repeated runs cut out of the text, and the cut ``removed`` line spans.
 
     See ``repeated_runs``. Lines end at a newline; what is left is joined by newlines again. A text without repeats, null
-    texts included, stays as it is, with an empty ``removed``. No row is dropped, even if its text becomes empty.
+    texts included, stays as it is, with an empty ``removed``. No row is dropped, even if its text becomes empty. Of rows equal
+    in id and text one fares as if it were alone; in the others all is a later copy, so a text of at least ``min_words`` words
+    is cut as a whole. Such rows are written once, and chosen by an aggregate, so that a great number of them can be split.
     """
-    spans = scratch.cut(repeated_runs(scratch, df, id_col, text_col, min_words), "runs")
+    runs, repeated = repeated_runs(scratch, df, id_col, text_col, min_words)
+    spans, repeated = scratch.cut(runs, "runs"), scratch.cut(repeated, "repeated")
     docs = df.select(nested(df).alias("doc"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"))
     text = F.col(f"doc.`{text_col}`")
+    gone = None
+    if not repeated.isEmpty():
+        copies = scratch.cut(docs.join(repeated, "key", "left_semi").withColumn("row", F.monotonically_increasing_id()), "copies")
+        first = scratch.cut(copies.groupBy("key").agg(F.min("row").alias("row")), "first-copies")
+        gone = copies.join(first.withColumnRenamed("row", "kept"), "key").filter("row <> kept").select(
+            "doc", "key", F.lit("").alias("cleaned"),
+            F.array(F.struct(F.lit(0).alias("first"), (F.size(F.split(text_of(text), "\n")) - 1).alias("last"))).alias("removed"))
+        docs = docs.join(repeated, "key", "left_anti").unionByName(copies.join(first, ["key", "row"], "left_semi").drop("row"))
     left = F.filter(F.split(text_of(text), "\n"), lambda _, i: ~F.exists("spans", lambda s: (s["first"] <= i) & (i <= s["last"])))
     # The spans grow with the corpus: texts and spans are shuffled to each other at every size, never broadcast.
     cleaned = (docs.join(spans.hint("merge"), "key", "left")
                .withColumn("cleaned", F.when(F.col("spans").isNull(), text).otherwise(F.array_join(left, "\n")))
-               .withColumn("removed", F.coalesce("spans", F.expr("CAST(array() AS array<struct<first:int,last:int>>)"))))
+               .withColumn("removed", F.coalesce("spans", F.expr("CAST(array() AS array<struct<first:int,last:int>>)"))).drop("spans"))
+    if gone is not None:
+        cleaned = cleaned.unionByName(gone)
     return cleaned.select(*[F.col("cleaned").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c)
                             for c in df.columns if c.lower() != "removed"], "removed")

@@ -40,7 +40,8 @@ SELECT doc_id, size, source_size, target,
 FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN cut c ON s.source IS NOT DISTINCT FROM c.source"""
 
 OP2 = f"""
-WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text, md5(text) AS digest FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text,
+                     md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || CASE WHEN text IS NULL THEN '0' ELSE '1' || text END) AS key FROM documents),
 lines AS (SELECT d, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),
 counted AS (SELECT *, sum(len(regexp_extract_all(line, '{_WORD}'))) OVER (PARTITION BY d ORDER BY i) AS upto,
                    upto - len(regexp_extract_all(line, '{_WORD}')) AS before FROM lines),
@@ -48,9 +49,9 @@ spans AS (SELECT a.d, a.i AS first, min(b.i) AS last FROM counted a JOIN counted
           GROUP BY a.d, a.i
           UNION SELECT a.d, max(b.i), a.i FROM counted a JOIN counted b ON a.d = b.d AND b.i <= a.i AND a.upto >= b.before + 50
           GROUP BY a.d, a.i),
-runs AS (SELECT s.d, doc_id, first, last, array_to_string(list_slice(string_split(text, chr(10)), first + 1, last + 1), chr(10)) AS content
+runs AS (SELECT s.d, doc_id, key, first, last, array_to_string(list_slice(string_split(text, chr(10)), first + 1, last + 1), chr(10)) AS content
          FROM spans s JOIN docs USING (d)),
-later AS (SELECT d, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS n FROM runs) WHERE n > 1),
+later AS (SELECT d, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, key, d, first) AS n FROM runs) WHERE n > 1),
 cut AS (SELECT DISTINCT d, i FROM later JOIN lines USING (d) WHERE i BETWEEN first AND last),
 touching AS (SELECT d, first, last, max(last) OVER (PARTITION BY d ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM later),
 numbered AS (SELECT d, first, last, sum(CASE WHEN coalesce(reached, -2) + 1 < first THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY first, last) AS run FROM touching),
@@ -60,12 +61,12 @@ SELECT doc_id, coalesce(removed, '') AS removed, sha256(coalesce(kept.text, ''))
 FROM docs LEFT JOIN merged USING (d) LEFT JOIN kept USING (d)"""
 
 OP6 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS vec FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, q.vec, c.vec_id, list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS score
+           FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, vec ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10"""
 
 OP9 = r"""
 WITH turns AS (

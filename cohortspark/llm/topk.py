@@ -6,30 +6,43 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.storage import Scratch
 
-BLOCK = "shard int, block long, n int, dim int, ids binary, vectors binary, distances binary"
+BLOCK = "shard int, block long, n int, dim int, ids binary, vectors binary, copies binary, distances binary"
+_LONG = 1 << 63
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
-    """(vec_id, vec, dim): floor(scale * component) as whole numbers, of rows that take part, equal rows once.
+    """(vec_id, vec, dim, copies): floor(scale * component) of the rows that take part, equal rows as one with their number.
 
-    Left out: null ids, vectors that are null or empty or hold null or non-finite components, and components beyond 2**28 after
-    scaling, whose products would not fit the score.
+    A double holds every such whole number, however large, as scaling by a power of two is exact. Left out: null ids, and vectors
+    that are null or empty or hold null or non-finite components. Components that overflow a double when scaled raise an error.
     """
     x = F.col(f"`{vector_col}`")
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < float(1 << 28)))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+
+    def scaled(c: Column) -> Column:
+        value = c.cast("double") * scale
+        # Rounded down by hand: Spark's floor gives a long, which large components do not fit. -0.0 becomes 0.0.
+        small = F.abs(value) < float(1 << 52)
+        down = F.when(small, F.floor(F.when(small, value).otherwise(0.0)).cast("double")).otherwise(value)
+        return F.when(F.abs(value) < float("inf"), down + 0.0).otherwise(F.raise_error(F.lit("a scaled component does not fit a double")))
+
     return (df.filter(F.col(f"`{id_col}`").isNotNull() & F.coalesce(fine, F.lit(False)))
-            .select(F.col(f"`{id_col}`").cast("long").alias("vec_id"),
-                    F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("vec"))
-            .distinct().withColumn("dim", F.size("vec")))
+            .select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, scaled).alias("vec"))
+            .groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("vec")))
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python's, which are never too large."""
+    return np.array([[int(c) for c in v] for v in vectors.tolist()], object).reshape(vectors.shape)
 
 
 def _blocks(pivots: dict[int, np.ndarray]):
@@ -38,63 +51,81 @@ def _blocks(pivots: dict[int, np.ndarray]):
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         vectors = _matrix(table.column("vec").combine_chunks(), dim)
-        to_pivots = np.sqrt(((vectors[:, None, :].astype(np.float64) - pivots[dim][None]) ** 2).sum(axis=2))
+        with np.errstate(over="ignore"):
+            to_pivots = np.sqrt(((vectors[:, None, :] - pivots[dim][None]) ** 2).sum(axis=2))
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
                          "block": pa.array([table.column("block")[0].as_py()], pa.int64()),
                          "n": pa.array([len(vectors)], pa.int32()), "dim": pa.array([dim], pa.int32()),
                          "ids": [table.column("vec_id").to_numpy().astype(np.int64).tobytes()],
-                         "vectors": [vectors.tobytes()], "distances": [to_pivots.tobytes()]})
+                         "vectors": [vectors.tobytes()], "copies": [table.column("copies").to_numpy().astype(np.int64).tobytes()],
+                         "distances": [to_pivots.tobytes()]})
 
     return build
 
 
-def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _best_of(ids: np.ndarray, scores: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if scores.dtype == object:
+        order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    else:
+        order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order], copies[order]
 
 
 def _search(k: int, step: int, held: int):
     """Scores pairs of (query block, candidate block); queries keep their best k from block to block within the task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(q, row, i, s) for (q, row), (ids, scores) in best.items() for i, s in zip(ids.tolist(), scores.tolist())]
+            # A score that does not fit a long stands at the end of its range, marked by its side.
+            rows = [(q, row, i, max(-_LONG, min(_LONG - 1, s)), 1 if s >= _LONG else -1 if s < -_LONG else 0, n)
+                    for (q, row), found in best.items() for i, s, n in zip(*(f.tolist() for f in found))]
             best.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                 pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
-                names=["query_id", "query", "vec_id", "score"])
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                                              names=["query_id", "query", "vec_id", "score", "beyond", "copies"])
 
         for batch in batches:
             for row in range(batch.num_rows):
                 value = {name: batch.column(i)[row].as_py() for i, name in enumerate(batch.schema.names)}
                 dim = value["dim"]
                 q_ids, ids = np.frombuffer(value["q_ids"], np.int64), np.frombuffer(value["ids"], np.int64)
-                q, x = np.frombuffer(value["q_vectors"], np.int64).reshape(-1, dim), np.frombuffer(value["vectors"], np.int64).reshape(-1, dim)
+                copies = np.frombuffer(value["copies"], np.int64)
+                q, x = np.frombuffer(value["q_vectors"]).reshape(-1, dim), np.frombuffer(value["vectors"]).reshape(-1, dim)
                 q_far = np.frombuffer(value["q_distances"]).reshape(len(q), -1)
                 far = np.frombuffer(value["distances"]).reshape(len(x), -1)
-                exact = dim * float(np.abs(q).max()) * float(np.abs(x).max()) < 2.0 ** 53   # then doubles hold every sum
-                fast = x.astype(np.float64)
-                norms, q_norms = (fast ** 2).sum(axis=1), (q.astype(np.float64) ** 2).sum(axis=1)
+                # The largest sum of products decides whether doubles, longs or only Python's whole numbers hold every sum.
+                largest = dim * int(np.abs(q).max()) * int(np.abs(x).max())
+                if largest < 1 << 53:
+                    exact, q_exact = x, q
+                elif largest < 1 << 62:
+                    exact, q_exact = x.astype(np.int64), q.astype(np.int64)
+                else:
+                    exact, q_exact = _whole(x), _whole(q)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norms, q_norms = (x ** 2).sum(axis=1), (q ** 2).sum(axis=1)
                 far_t = np.ascontiguousarray(far.T)
                 for i in range(len(q)):
                     # the largest gap over all pivots bounds the distance from below, and so the product from above
-                    gap = np.abs(far_t - q_far[i][:, None]).max(axis=0)
-                    upper = (q_norms[i] + norms - gap * gap) / 2
-                    upper += 1e-6 * (1 + q_norms[i] + norms)   # rounding of the distances
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        gap = np.abs(far_t - q_far[i][:, None]).max(axis=0)
+                        upper = (q_norms[i] + norms - gap * gap) / 2
+                        upper += 1e-6 * (1 + q_norms[i] + norms)   # rounding of the distances
+                    upper[np.isnan(upper)] = np.inf   # squares beyond a double bound nothing
                     upper[ids == q_ids[i]] = -np.inf
                     key = (int(q_ids[i]), q[i].tobytes())
-                    top = best.get(key, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    top = best.get(key, (np.zeros(0, np.int64),) * 3)
                     order, at = np.argsort(-upper, kind="stable"), 0
                     while at < len(order):
                         some = order[at:at + step]
                         if upper[some[0]] == -np.inf or len(top[1]) == k and upper[some[0]] < top[1][-1]:
                             break   # no later candidate can reach the k-th score
                         some = some[upper[some] > -np.inf]
-                        scores = (fast[some] @ q[i].astype(np.float64)).astype(np.int64) if exact else x[some] @ q[i]
-                        top = _best_of(np.concatenate((top[0], ids[some])), np.concatenate((top[1], scores)), k)
+                        scores = exact[some] @ q_exact[i]
+                        if scores.dtype == np.float64:
+                            scores = scores.astype(np.int64)
+                        top = _best_of(*(np.concatenate(both) for both in zip(top, (ids[some], scores, copies[some]))), k)
                         at += step
                     best[key] = top
                 if len(best) > held:
@@ -118,8 +149,9 @@ def top_k(scratch: Scratch, df: DataFrame, id_col: str = "vec_id", vector_col: s
     each query block is copied to all of them. In a block, the pivot table bounds
     each candidate's product from above; candidates are scored in order of that bound until it falls below the k-th best.
 
-    Rows that repeat id and vector count once; queries that share an id but not the vector are each answered. With fewer than
-    ``k`` candidates all are returned; an empty table gives an empty result. Extra columns are ignored.
+    Rows that repeat id and vector are one query, but as many candidates; queries that share an id but not the vector are each
+    answered. With fewer than ``k`` candidates all are returned; an empty table gives an empty result. Extra columns are ignored.
+    Sums are exact at any size of the components; a score of the result that does not fit a long raises an error.
     """
     rows = scratch.cut(usable(df, id_col, vector_col).withColumn("h", F.xxhash64("vec_id", "vec")), "vectors")
     # Spark limits each task to its first rows before the shuffle, as the filter is on the row number.
@@ -133,14 +165,16 @@ def top_k(scratch: Scratch, df: DataFrame, id_col: str = "vec_id", vector_col: s
     shards = min(blocks, shards or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     queries = rows.filter(F.col("vec_id") % every == 0)
     q_blocks = max(1, -(-queries.count() // query_rows))
-    sharded = rows.select("vec_id", "vec", "dim", F.pmod("h", F.lit(blocks)).alias("block")).withColumn(
+    sharded = rows.select("vec_id", "vec", "dim", "copies", F.pmod("h", F.lit(blocks)).alias("block")).withColumn(
         "shard", (F.col("block") % shards).cast("int"))
     packed = sharded.groupBy("block", "dim").applyInArrow(_blocks(pivot_arrays), BLOCK)
-    asked = (queries.select("vec_id", "vec", "dim", F.pmod(F.xxhash64("h"), F.lit(q_blocks)).alias("block"), F.lit(0).alias("shard"))
+    asked = (queries.select("vec_id", "vec", "dim", "copies", F.pmod(F.xxhash64("h"), F.lit(q_blocks)).alias("block"), F.lit(0).alias("shard"))
              .groupBy("block", "dim").applyInArrow(_blocks(pivot_arrays), BLOCK))
     copied = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim",
                           *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "distances")])
-    pairs = packed.join(copied, ["shard", "dim"]).select("dim", "ids", "vectors", "distances", "q_ids", "q_vectors", "q_distances")
-    found = pairs.mapInArrow(_search(k, step, 20_000), "query_id long, query binary, vec_id long, score long")
-    return (found.withColumn("rank", F.expr("CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INT)"))
-            .filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    pairs = packed.join(copied, ["shard", "dim"]).select("dim", "ids", "vectors", "copies", "distances", "q_ids", "q_vectors", "q_distances")
+    found = pairs.mapInArrow(_search(k, step, 20_000), "query_id long, query binary, vec_id long, score long, beyond int, copies long")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    ranked = each.withColumn("rank", F.expr("CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, beyond DESC, vec_id) AS INT)"))
+    score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import language
@@ -101,3 +102,31 @@ def test_sample_holds_the_distinct_texts_with_the_smallest_hashes(spark, docs_of
     assert len(drawn) == 200
     few, all_of_them = language.TextModel.fit(whole, rows=100), language.TextModel.fit(docs_of([(1, d["text"], d["lang"]) for d in drawn]))
     assert few.languages == all_of_them.languages and (few.logs == all_of_them.logs).all()
+
+
+@pytest.mark.parametrize("page, words", [
+    ("<body>5 < 6 and nothing else follows", "5 < 6 and nothing else follows"),
+    ("if a < b then c</p><p>second", "if a < b then c second"),
+    ("a<3 x <b>bold</b> <<i>y", "a< 3 x bold < y"),
+    ("open <b and no end", "open <b and no end"),
+    ("x <!-- never closed", "x <!-- never closed"),
+    ("x<!-- a > b -->y", "x y"),
+    ('<a title="a > b" href=x>link</a >t', "link t"),
+    ("<a title=it's>that's</a>", "that's"),
+    ("<SCRIPT>if (a < b) t='</p>'</script >after<style a='>'>p{}</STYLE\n>end", "after end"),
+    ("<scripture>kept</scripture>", "kept"),
+    ("a<script>never closed", "a"),
+    ("<?xml version='1'?><!DOCTYPE html>&lt;b&gt; &amp;", "<b> &"),
+    ("x <", "x <"), ("", ""), (None, "")])
+def test_visible_text_loses_nothing(page, words):
+    assert language.visible(page).split() == words.split()
+
+
+def test_visible_text_takes_linear_time():
+    import time
+
+    for unit in ("<", "<a =", "<a ='", '<a ="', "<!--", "<script", "<b x='>", "a < b ", '<a =">"', "<a =\">\" ='", "<script>", "<!-- -->"):
+        page = unit * (400_000 // len(unit))
+        begin = time.perf_counter()
+        language.visible(page)
+        assert time.perf_counter() - begin < 5, unit

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 
+from cohortspark.llm.oracle import OP6
 from cohortspark.llm.topk import top_k
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -14,13 +17,13 @@ SCHEMA = "vec_id long, embedding array<float>"
 def brute(rows, every, k):
     import numpy as np
 
-    usable = {}
+    usable = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) or abs(x) * 1024 >= 2 ** 28 for x in v):
+        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
-        usable[(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v))] = None
+        usable.append((i, tuple(math.floor(1024 * Fraction(float(np.float32(x)))) for x in v)))
     out = []
-    for i, v in usable:
+    for i, v in dict.fromkeys(usable):
         if i % every == 0:
             scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i and len(w) == len(v))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
@@ -32,7 +35,7 @@ def vectors(seed, n=900, dim=8):
     hot = [r.gauss(0, 1) for _ in range(dim)]
     rows = [(i, hot if r.random() < 0.33 else [r.gauss(0, r.choice([0.1, 1, 50])) for _ in range(dim)]) for i in range(n)]
     rows += [(None, hot), (2000, None), (2001, []), (2002, [float("nan")] * dim), (2003, [float("inf")] + [0.0] * (dim - 1)),
-             (2004, [None] + [1.0] * (dim - 1)), (2010, [1.0, 2.0]), (2020, [3.0, 4.0]), (2030, [1e30] * dim), (0, rows[0][1]), (10, [0.5] * dim)]
+             (2004, [None] + [1.0] * (dim - 1)), (2010, [1.0, 2.0]), (2020, [3.0, 4.0]), (2030, [300_000.0] * dim), (0, rows[0][1]), (10, [0.5] * dim)]
     return rows
 
 
@@ -56,3 +59,44 @@ def test_few_and_no_rows(spark, scratch):
     few = top_k(scratch, spark.createDataFrame([(0, [1.0]), (1, [2.0])], SCHEMA)).collect()
     assert list(map(tuple, few)) == [(0, 1, 1, 1024 * 2048)]
     assert top_k(scratch, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [300_000.0, 1.0]), (1, [300_000.0, 2.0]), (10, [1.0, 1.0])],
+    [(0, [1e30, 0.0, 1.0]), (1, [0.0, 1e30, 2.0]), (10, [0.0, 0.0, 3.0]), (11, [0.0, -1e30, -1.0])],   # only the sums must fit
+    [(i, [262143.9 * (-1) ** (i + j) for j in range(383 + i)][:383]) for i in (0, 2, 4, 6)],
+    [(0, [2.0 ** 20 + i for i in range(40)]), (1, [-(2.0 ** 20) - i for i in range(40)]), (2, [2.0 ** 21] * 40), (10, [0.25] * 40)]])
+def test_components_of_any_size_are_exact(spark, scratch, rows):
+    try:
+        expected = brute(rows, 10, 10)
+        assert all(-2 ** 63 <= r[3] < 2 ** 63 for r in expected)
+    except AssertionError:
+        with pytest.raises(Exception, match="does not fit a long"):
+            top_k(scratch, spark.createDataFrame(rows, SCHEMA), every=10).collect()
+    else:
+        assert sorted(map(tuple, top_k(scratch, spark.createDataFrame(rows, SCHEMA), every=10).collect())) == expected
+
+
+def test_a_score_beyond_a_long_is_an_error(spark, scratch):
+    rows = [(0, [262143.9] * 384), (1, [262143.9] * 384)]
+    assert brute(rows, 100, 10)[0][3] > 2 ** 63
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_k(scratch, spark.createDataFrame(rows, SCHEMA)).collect()
+    # Outside the best k it does not matter.
+    rows += [(i, [float(i)] * 384) for i in range(2, 40)]
+    low = [(0, [-262143.9] * 384), *rows[1:]]
+    assert sorted(map(tuple, top_k(scratch, spark.createDataFrame(low, SCHEMA)).collect())) == brute(low, 100, 10)
+
+
+def test_every_repeated_row_is_a_candidate_as_in_sql(spark, scratch, tmp_path):
+    import duckdb
+
+    r = random.Random(6)
+    rows = [(i % 150, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(260)]
+    rows += rows[:120] + [(500, [9.0] * 4)] * 30 + [(100, [1.0, 2.0, 3.0, 4.0])] * 3 + [(7, [300_000.0] * 4), (8, []), (9, [1.0]), (200, [2.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings/*.parquet')")
+    assert difference(top_k(scratch, df, block_rows=40, query_rows=2, shards=3), con, OP6) is None
+    assert sorted(map(tuple, top_k(scratch, df).collect())) == brute(rows, 100, 10)
