@@ -519,6 +519,9 @@ TEXTS: dict[str, str] = {
     "new_pairs": "SELECT person_id, condition_concept_id FROM fresh_pairs",
     "group_extreme_ties": """SELECT person_id, measurement_id, value FROM (
         SELECT *, rank() OVER (PARTITION BY person_id ORDER BY value DESC) AS place FROM labs) WHERE place = 1""",
+    "count_distinct_bitmaps": "SELECT count(DISTINCT person_id) AS persons FROM measurement",
+    "scan_listed_events": """SELECT measurement_id, person_id, measurement_concept_id, measurement_date FROM measurement
+        WHERE measurement_concept_id IN (SELECT concept_id FROM tsh_codes)""",
     "count_distinct_person": "SELECT count(DISTINCT person_id) AS persons FROM measurement",
     "agg_min_max": f"""SELECT person_id, min(measurement_date) AS first_date, max(measurement_date) AS last_date,
         CASE WHEN count(*) = count(v) THEN min(v) END AS lowest, CASE WHEN count(*) = count(v) THEN max(v) END AS highest
@@ -558,6 +561,9 @@ TEXTS: dict[str, str] = {
     "attrition": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT {i} AS no, '{name}' AS name, CAST({count} AS BIGINT) AS number"
         for i, (name, count) in enumerate(zip(k.ATTRITION_LABELS, ATTRITION), start=1)) + ")",
+    "attrition_merged": "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT {i} AS no, '{name}' AS name, CAST({count} AS BIGINT) AS number"
+        for i, (name, count) in enumerate(zip(k.ATTRITION_LABELS, ATTRITION), start=1)) + ")",
     "select_cases": "SELECT case_number, person_id, enroll_date, indexdt, birth, age, value, gender_concept_id FROM cases",
     "candidate_counts": """SELECT case_number, CAST(len(people) AS BIGINT) AS candidates FROM lists""",
     "match_controls": "SELECT case_number, person_id FROM matches",

@@ -14,10 +14,10 @@ from checks.binding import clinical_tables, code_lists
 from cohortspark import constants as k
 from cohortspark.functions import (anniversary_years, birth_date, duration_years, na_agg,
                                    stripped_number)
-from cohortspark.operators import clogit, cohort, covariates, diagnoses, exposure, matching, relational, summaries
+from cohortspark.operators import clogit, cohort, covariates, diagnoses, distinct, exposure, matching, relational, summaries
 from cohortspark.plans.study import MODEL_CANDIDATES, Study
-from cohortspark.sources import (contains_any, csv_codes, dynamic_codes, in_codes, literal_codes, of_persons,
-                                 read_csv, run_template, write_csv, write_table)
+from cohortspark.sources import (contains_any, csv_codes, dynamic_codes, in_codes, listed_events, literal_codes,
+                                 of_persons, read_csv, run_template, write_csv, write_table)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +302,24 @@ def count_distinct_person(s: Study) -> DataFrame:
     return s.tables.measurement.agg(F.count_distinct("person_id").alias("persons"))
 
 
+@query
+def count_distinct_bitmaps(s: Study) -> DataFrame:
+    """Counted on bitmaps of the measurements of either half of the concepts, merged."""
+    halves = [distinct.person_bitmaps(s.tables.measurement.filter(F.col("measurement_concept_id") % 2 == i)) for i in (0, 1)]
+    return distinct.counted(distinct.merged(halves))
+
+
+@query
+def attrition_merged(s: Study) -> DataFrame:
+    return distinct.attrition_of(s.attrition_bitmaps)
+
+
+@query
+def scan_listed_events(s: Study) -> DataFrame:
+    return listed_events(s.tables.measurement, "measurement_concept_id", s.codes.lab).select(
+        "measurement_id", "person_id", "measurement_concept_id", "measurement_date")
+
+
 @query
 def agg_min_max(s: Study) -> DataFrame:
     value = stripped_number(F.col("value_source_value"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark import constants as k
-from cohortspark.operators import clogit, cohort, covariates, diagnoses, exposure, matching, summaries
+from cohortspark.operators import clogit, cohort, covariates, diagnoses, distinct, exposure, matching, summaries
 from cohortspark.plans.parameters import StudyParameters
-from cohortspark.sources import ClinicalTables, CodeLists, ResultSet, in_codes, of_persons, write_csv, write_table
+from cohortspark.sources import ClinicalTables, CodeLists, ResultSet, listed_events, of_persons, write_csv, write_table
 from cohortspark.storage import Scratch
 
 MODEL_CANDIDATES = tuple(v for v in k.TABLE_VARIABLES if v not in (*k.NOT_MODELLED, "enrollyear"))
@@ -37,8 +37,8 @@ class Study:
     @cached_property
     def screened(self) -> DataFrame:
         p = self.parameters
-        excluded = in_codes(self.tables.condition_occurrence, "condition_concept_id", self.codes.excluded_condition)
-        drugs = in_codes(self.tables.drug_exposure, "drug_concept_id", self.codes.excluded_drug)
+        excluded = listed_events(self.tables.condition_occurrence, "condition_concept_id", self.codes.excluded_condition)
+        drugs = listed_events(self.tables.drug_exposure, "drug_concept_id", self.codes.excluded_drug)
         flags = cohort.screen(self.labs, self.tables.person, excluded, self.tables.procedure_occurrence, drugs,
                               procedure_column=self.procedure_column, patterns=p.surgery_patterns,
                               procedure_codes=p.procedure_codes, min_age=p.min_age, low=p.lower_limit, high=p.upper_limit,
@@ -70,6 +70,11 @@ class Study:
     def attrition(self) -> DataFrame:
         return cohort.attrition(self.tables.person, self.screened, self.cases, self.matches)
 
+    @cached_property
+    def attrition_bitmaps(self) -> DataFrame:
+        """The persons behind each line of the attrition table, to be merged with those of other sites or increments."""
+        return distinct.attrition_bitmaps(self.tables.person, self.screened, self.cases, self.matches)
+
     @cached_property
     def case_control(self) -> DataFrame:
         return self.scratch.cut_by(covariates.case_control_table(self.cases, self.matches, self.cohort), "case-control",
@@ -78,7 +83,7 @@ class Study:
     @cached_property
     def target_drugs(self) -> DataFrame:
         """Written once, for the exposures and the eras."""
-        return self.scratch.cut(in_codes(self.tables.drug_exposure, "drug_concept_id", self.codes.target_drug), "target-drugs")
+        return self.scratch.cut(listed_events(self.tables.drug_exposure, "drug_concept_id", self.codes.target_drug), "target-drugs")
 
     @cached_property
     def exposures(self) -> DataFrame:

@@ -154,3 +154,20 @@ def test_tables_laid_out_by_person_need_no_exchange(spark):
         laid_out.close()
         scratch.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(scratch.root.rsplit("/", 1)[1].replace("-", "_"))]
+
+
+def test_short_lists_reach_the_scan_and_change_nothing(spark, study, tmp_path):
+    from cohortspark.sources import listed_events
+
+    stored = str(tmp_path / "measurement")
+    study.tables.measurement.write.parquet(stored)
+    events, results = spark.read.parquet(stored), []
+    for most, pushed in ((1000, True), (0, False)):
+        df = listed_events(events, "measurement_concept_id", study.codes.lab, most=most)
+        results.append(sorted(map(tuple, df.collect()), key=str))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("In(measurement_concept_id" in plan.split("PushedFilters")[1]) == pushed and ("Join" in plan) != pushed
+    assert results[0] == results[1] == sorted(
+        map(tuple, in_codes(events, "measurement_concept_id", study.codes.lab).select(*events.columns).collect()), key=str)
+    nobody = spark.createDataFrame([(None,)], "concept_id bigint")
+    assert listed_events(events, "measurement_concept_id", nobody).count() == 0
