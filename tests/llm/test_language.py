@@ -130,3 +130,36 @@ def test_visible_text_takes_linear_time():
         begin = time.perf_counter()
         language.visible(page)
         assert time.perf_counter() - begin < 5, unit
+
+
+def test_every_page_matches_a_plain_recomputation(spark):
+    from conftest import DATA
+    from .plain_language import fitted, identified, page_row
+
+    from cohortspark.llm.queries import op8_language
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("lang", "text").collect()
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    rows = [page_row(p["url"], p["html"]) for p in pages]
+    expected = {p["page_id"]: (r, e) for p, r, e in zip(pages, rows, identified(rows, fitted([tuple(d) for d in docs])))}
+    found = op8_language(spark, DATA).collect()
+    assert len(found) == len(pages) and len({r["lang"] for r in found}) > 2
+    for r in found:
+        row, (lang, posterior, text_lang, rejected) = expected[r["page_id"]]
+        assert (r["lang"], r["text_lang"], r["declared"], r["host"], r["rejected"]) == (lang, text_lang, row[1], row[2], rejected)
+        assert abs(r["posterior"] - posterior) < 2e-6
+
+
+def test_kept_documents_match_a_plain_recomputation(spark, scratch, docs_of):
+    from .plain_language import fitted, identified
+
+    rng = random.Random(9)
+    words = {"en": ["the", "and", "water", "house", "with"], "de": ["und", "der", "wasser", "haus", "mit"], "xx": ["zzq", "qqx", "xjq"]}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(words))
+        text = " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 30)))
+        rows.append((i, rng.choice([text, text, text, text, "123 456", "", None, "q0w9"]), rng.choice([lang, lang, "en", None]), rng.choice(["a", "b", "b", None])))
+    plain = identified([(t or "", lang, host, None, None) for _, t, lang, host in rows], fitted([(lang, t) for _, t, lang, _ in rows]))
+    expected = sorted(r[0] for r, e in zip(rows, plain) if not e[3])
+    assert sorted(r["doc_id"] for r in language.keep_identified(scratch, docs_of(rows)).collect()) == expected and 0 < len(expected) < len(rows)
