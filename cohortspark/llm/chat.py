@@ -82,9 +82,10 @@ def learned_text(formatted: str, starts, ends, loss) -> str:
     """The original text under the mask: each turn is unescaped on its own, as a ``<`` that ends one and a ``\\|`` that begins the
     next are no escape."""
     starts, ends, loss = np.asarray(starts), np.asarray(ends), np.asarray(loss, bool)
-    # Turns begin at a control string, which no masked token touches.
-    turn = np.searchsorted([m.start() for m in re.finditer(re.escape(START), formatted)], starts, "right")
-    return "".join(unescape(masked_text(formatted, starts, ends, loss & (turn == k))) for k in np.unique(turn[loss]).tolist())
+    # Turns begin at a control string, which no masked token touches; each is read from its own tokens.
+    edges = np.searchsorted(starts, [m.start() for m in re.finditer(re.escape(START), formatted)]).tolist()
+    turns = zip(edges, [*edges[1:], len(starts)])
+    return "".join(unescape(masked_text(formatted, starts[i:j], ends[i:j], loss[i:j])) for i, j in turns if loss[i:j].any())
 
 
 def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",

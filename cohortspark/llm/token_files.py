@@ -52,16 +52,17 @@ def write_tokens(df: DataFrame, text_col: str = "text", ranks: str | None = None
 
 def read_files(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = 1 << 18) -> DataFrame:
     """Blocks (file, start, data) of raw token files that other programs have written. A file is at most 2 GB, as Spark reads
-    binary files whole; trailing bytes that make no id are left out."""
+    binary files whole. A file whose last bytes make no id is torn and raises an error."""
     width = np.dtype(dtype).itemsize
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 data = content.as_buffer()
-                usable = len(data) // width * width
-                for at in range(0, usable, block_tokens * width):
-                    piece = data.slice(at, min(block_tokens * width, usable - at)).to_pybytes()
+                if len(data) % width:
+                    raise ValueError(f"{file.as_py()} is torn: {len(data)} bytes are no whole number of ids of {width} bytes")
+                for at in range(0, len(data), block_tokens * width):
+                    piece = data.slice(at, min(block_tokens * width, len(data) - at)).to_pybytes()
                     yield pa.RecordBatch.from_pydict({"file": [file.as_py()], "start": pa.array([at // width], pa.int64()),
                                                       "data": [piece]})
 

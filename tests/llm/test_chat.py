@@ -73,3 +73,18 @@ def test_masked_texts_are_unescaped_one_by_one(spark):
     for c, texts in [*enumerate(pairs), (9, ("<", "\\|"))]:
         whole = "".join(texts)
         assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(whole), sha256(whole.encode()).hexdigest())
+
+
+def test_many_turns_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text, spans = chat.render([("assistant", f"a{i} < \\| <| b") for i in range(n)])
+        cuts = sorted({0, len(text), *[c for s in spans for c in s], *range(0, len(text), 7)})
+        starts, ends = np.array(cuts[:-1]), np.array(cuts[1:])
+        loss = chat.align(starts, ends, spans)
+        begin = time.perf_counter()
+        assert chat.learned_text(text, starts, ends, loss) == "".join(f"a{i} < \\| <| b" for i in range(n))
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 4 * 4 * took[0] and took[1] < 5

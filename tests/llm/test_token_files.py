@@ -62,3 +62,9 @@ def test_raw_files(spark, scratch, tmp_path):
     blocks = token_files.read_files(spark, str(tmp_path), block_tokens=4)
     found = token_files.count_tokens(scratch, blocks, end=9).collect()
     assert len(found) == sum(len(brute(ids * (k + 1), 9)) for k in range(3))
+
+
+def test_torn_files_are_refused(spark, tmp_path):
+    (tmp_path / "part-0.bin").write_bytes(b"\x01\x00\x02")
+    with pytest.raises(Exception, match="part-0.bin is torn: 3 bytes"):
+        token_files.read_files(spark, str(tmp_path)).count()
