@@ -32,11 +32,11 @@ class Scratch:
         self._kept: set[str] = set()
         self._laid_out: list[str] = []
 
-    def write(self, df: DataFrame, label: str) -> str:
-        """Write the rows as a new table and return its path."""
+    def write(self, df: DataFrame, label: str, *folders: str) -> str:
+        """Write the rows as a new table, with a folder for each value of the given columns, and return its path."""
         self._tables += 1
         path = f"{self.root}/{self._tables:04d}-{label}"
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
         self._kept.add(path)
         return path
 
@@ -44,9 +44,9 @@ class Scratch:
         """A written table, or several of one schema as one scan."""
         return self.spark.read.schema(schema).parquet(*([path] if isinstance(path, str) else path))
 
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
+    def cut(self, df: DataFrame, label: str, *folders: str) -> DataFrame:
         """The same rows, read back from a written table."""
-        return self.read(self.write(df, label), df.schema)
+        return self.read(self.write(df, label, *folders), df.schema)
 
     def cut_by(self, df: DataFrame, label: str, *keys: str) -> DataFrame:
         """The same rows, read back from a table laid out by keys: bucketed and sorted, in as many buckets as the session
