@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import functions as F
 
@@ -38,6 +40,25 @@ def test_full_filter_changes_nothing(scratch, docs_of):
     assert sizes[0] == sizes[1] and sum(k for _, _, k in sizes[0]) == 700
 
 
+def grouped_rows(scratch, spark, rows, **sizes):
+    """What comes back, and how many rows went the grouped way."""
+    df = spark.range(rows, numPartitions=13).selectExpr("id AS doc_id", "CONCAT('text ', IF(id % 50 = 0, id DIV 500, -id)) AS text")
+    out = exact_dedup(scratch, df, columns=["doc_id"], **sizes).collect()
+    folder = max(Path(unquote(urlparse(scratch.root).path)).glob("*-maybe"))
+    return out, spark.read.parquet(str(folder)).count()
+
+
+def test_a_filter_beyond_the_broadcast_keeps_its_share(scratch, spark):
+    shares = []
+    for rows in (4_000, 40_000, 120_000):   # the largest one has several slabs
+        out, grouped = grouped_rows(scratch, spark, rows, max_bits=1 << 15)
+        plain, as_broadcast = grouped_rows(scratch, spark, rows)
+        assert sorted(out) == sorted(plain) and grouped == as_broadcast and len(out) == rows
+        assert sum(r["kept"] for r in out) == rows - rows // 50 + rows // 500
+        shares.append(grouped / rows)
+    assert max(shares) < 0.08 and max(shares) - min(shares) < 0.04
+
+
 def test_clashing_columns_and_empty_table(scratch, docs_of):
     df = docs_of(ROWS).withColumn("Kept", F.lit("x")).withColumn("segment", F.lit(1)).withColumn("id", F.lit(2)).withColumn("bits", F.lit(3))
     out = exact_dedup(scratch, df)
@@ -48,6 +69,8 @@ def test_clashing_columns_and_empty_table(scratch, docs_of):
 
 def test_plan_is_native_and_unique_rows_do_not_shuffle(scratch, docs_of):
     out = exact_dedup(scratch, docs_of([(i, f"t{i}") for i in range(100)]))
-    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
-    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
-    assert "Window" not in plan
+    large = exact_dedup(scratch, docs_of([(i, f"t{i}") for i in range(40_000)]), max_bits=1 << 15)
+    for df in (out, large):
+        plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Window"))
+        assert all(keys.startswith("text_sha256") for keys in re.findall(r"hashpartitioning\((\w+)", plan))
