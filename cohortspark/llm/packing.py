@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from cohortspark.storage import Scratch
 
 Pattern = tuple[tuple[int, int], ...]   # (length, how often) of one sequence
 
+TASKS = 2_048   # so many rows of at most ``limit`` counts are broadcast at a time: 32 MB with the usual limit
 PIECES = "doc struct<id:{id}>, piece int, start long, length int, ids binary, part long, nth long"
 
 
@@ -54,35 +56,71 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(emit, PIECES.format(id=id_type))
 
 
+def dominates(one: Pattern, other: Pattern, tries: int = 200) -> bool:
+    """Whether the pieces of ``other`` can be shared out so that each share fits into a piece of ``one`` of its own.
+
+    Then whatever a plan with ``other`` does with the pieces of ``one`` can be done with the shares in their place. An answer not
+    found within ``tries`` placements is no: the filling is kept.
+    """
+    rooms = [length for length, times in one for _ in range(times)]
+    items = [length for length, times in other for _ in range(times)]
+    if sum(items) > sum(rooms) or (items and (not rooms or items[0] > rooms[0])):
+        return False
+    left = [tries]
+
+    def place(k: int) -> bool:
+        if k == len(items):
+            return True
+        left[0] -= 1
+        if left[0] < 0:
+            return False
+        seen = set()
+        for i, room in enumerate(rooms):
+            if room >= items[k] and room not in seen:
+                seen.add(room)
+                rooms[i] -= items[k]
+                if place(k + 1):
+                    return True
+                rooms[i] += items[k]
+        return False
+
+    return len(items) <= tries and place(0)
+
+
 def _fillings(counts: list[int], lengths: list[int], room: int, waste: int, width: int, steps: int) -> list[Pattern]:
     """Undominated ways to fill ``room`` with what is left, wasting at most ``waste``; at most ``width``, least waste first.
 
-    Longer items first: replacing two items of a filling by one of their joint length is never worse later on, so a filling
-    is dropped if one found before has at least its total with fewer, longer items.
+    Longer pieces first, as deep as the room allows; ``steps`` pieces are tried. ``fitting[r]`` is the first length of at most r.
     """
     found: list[tuple[int, int, Pattern]] = []
-    left = [steps]
-
-    def extend(i: int, room: int, chosen: list[tuple[int, int]], pieces: int) -> None:
-        if left[0] <= 0 or len([f for f in found if f[0] == 0]) >= width:
+    left, exact = [steps], [0]
+    fitting, k = [len(lengths)] * (room + 1), len(lengths)
+    for r in range(room + 1):
+        while k and lengths[k - 1] <= r:
+            k -= 1
+        fitting[r] = k
+
+    def extend(i: int, room: int, chosen: Pattern, pieces: int) -> None:
+        if left[0] <= 0 or exact[0] >= width:
             return
         left[0] -= 1
-        while i < len(lengths) and lengths[i] > room:
-            i += 1
+        i = max(i, fitting[room])
         if i == len(lengths):
-            if room <= waste and not any(w <= room and n <= pieces for w, n, _ in found):
-                found.append((room, pieces, tuple(chosen)))
+            if room <= waste and not any(w <= room and n <= pieces and dominates(f, chosen) for w, n, f in found):
+                found.append((room, pieces, chosen))
+                exact[0] += room == 0
             return
         length = lengths[i]
         for times in range(min(counts[length], room // length), -1, -1):
-            if times == 0 and all(lengths[k] * counts[lengths[k]] == 0 for k in range(i + 1, len(lengths))):
-                if room <= waste and not any(w <= room and n <= pieces for w, n, _ in found):
-                    found.append((room, pieces, tuple(chosen)))
-                return
-            extend(i + 1, room - times * length, [*chosen, (length, times)] if times else chosen, pieces + times)
+            extend(i + 1, room - times * length, (*chosen, (length, times)) if times else chosen, pieces + times)
 
-    extend(0, room, [], 0)
-    return [f[2] for f in sorted(found)[:width]]
+    extend(0, room, (), 0)
+    found.sort()
+    kept: list[Pattern] = []
+    for _, _, filling in found:   # a later one may dominate an earlier one
+        if not any(dominates(f, filling) for f in kept):
+            kept.append(filling)
+    return kept[:width]
 
 
 def best_fit(histogram: dict[int, int], limit: int) -> list[tuple[Pattern, int]]:
@@ -175,7 +213,7 @@ def complete(histogram: dict[int, int], limit: int, incumbent: list[tuple[Patter
 def plan(histogram: dict[int, int], limit: int, nodes: int = 2_000, reopened: tuple[int, ...] = (20, 40, 80, 160, 320)) -> list[tuple[Pattern, int]]:
     """Patterns and how many sequences use each, for the given number of pieces of each length.
 
-    Best fit gives the incumbent. Bin completion then searches for a better plan of all pieces, and again of the pieces of
+    Each pattern is listed once. Best fit gives the incumbent. Bin completion then searches for a better plan of all pieces, and again of the pieces of
     the 20, 40, ... sequences with the most room, where a small search is nearly complete. Work depends on the
     number of different lengths, not of pieces.
     """
@@ -195,7 +233,10 @@ def plan(histogram: dict[int, int], limit: int, nodes: int = 2_000, reopened: tu
             for length, n in pattern:
                 part[length] = part.get(length, 0) + n * times
         best = rest + complete(part, limit, opened, nodes)
-    return best
+    merged: dict[Pattern, int] = {}
+    for pattern, times in best:
+        merged[pattern] = merged.get(pattern, 0) + times
+    return list(merged.items())
 
 
 def _slots(spark: SparkSession, patterns: list[tuple[Pattern, int]]) -> DataFrame:
@@ -218,7 +259,8 @@ def pack(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Tokenised pieces are written once. Only the number of pieces of each length (at most ``limit`` numbers) reaches the
     driver, where ``plan`` chooses patterns; pieces find their sequence by their rank among pieces of the same length, which is
-    their place within the task plus the pieces of the tasks before. Ties between pieces of a length are arbitrary.
+    their place within the task plus the pieces of the tasks before. Those numbers are one small row a task, broadcast for
+    ``TASKS`` tasks at a time to the pieces that these tasks wrote, so that no ids are shuffled. Ties between pieces of a length are arbitrary.
     A null text is an empty document, which is the final id alone. Null ids and repeated rows are packed like any others.
     An empty table gives no pieces. Extra columns are ignored. ``sequences`` joins the ids of each sequence.
     """
@@ -227,9 +269,13 @@ def pack(scratch: Scratch, df: DataFrame, id_col: str = "doc_id", text_col: str
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}   # at most limit rows
     slots = _slots(df.sparkSession, plan(histogram, limit))
     earlier = F.expr("coalesce(sum(n) OVER (PARTITION BY length ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    ranked = cut.join(counts.select("length", "part", earlier.alias("earlier")), ["length", "part"]).withColumn(
-        "rank", F.col("earlier") + F.col("nth"))
-    placed = ranked.join(F.broadcast(slots.withColumnRenamed("length", "of")),   # bounded by the limit, not by the rows
+    offsets = scratch.cut(counts.select("length", "part", earlier.alias("earlier")).groupBy("part").agg(
+        F.map_from_entries(F.collect_list(F.struct("length", "earlier"))).alias("earlier")), "offsets")   # at most limit entries a task
+    parts = offsets.agg(F.coalesce(F.max("part") + 1, F.lit(1))).first()[0]
+    ranked = reduce(DataFrame.unionAll, [
+        cut.filter(of_tasks).join(F.broadcast(offsets.filter(of_tasks)), "part").withColumn("rank", F.expr("earlier[length] + nth"))
+        for of_tasks in (F.col("part").between(first, first + TASKS - 1) for first in range(0, parts, TASKS))])
+    placed = ranked.join(F.broadcast(slots.withColumnRenamed("length", "of")),   # a few patterns a length, whatever the number of rows
                          (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     return placed.select(
         F.col("doc.id").alias("id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids",

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -102,6 +103,54 @@ def test_plan_is_optimal_on_small_cases():
         assert sum(times for _, times in patterns) == brute_bins(items, 30)
 
 
+def brute_dominates(rooms, items):
+    if not items:
+        return True
+    return any(room >= items[0] and brute_dominates([*rooms[:i], room - items[0], *rooms[i + 1:]], items[1:]) for i, room in enumerate(rooms))
+
+
+def test_dominance_shares_out_the_pieces():
+    assert not packing.dominates(((99, 1), (1, 1)), ((50, 2),)) and packing.dominates(((99, 1), (1, 1)), ((50, 1), (49, 1), (1, 1)))
+    r = random.Random(6)
+    tally = lambda items: tuple((x, items.count(x)) for x in sorted(set(items), reverse=True))
+    for _ in range(3000):
+        rooms, items = ([r.randint(1, 12) for _ in range(r.randint(0, 4))] for _ in range(2))
+        assert packing.dominates(tally(rooms), tally(items)) == brute_dominates(rooms, items), (rooms, items)
+
+
+def test_fillings_are_the_undominated_ones():
+    r = random.Random(2)
+    for _ in range(150):
+        counts = [0] * 13
+        for _ in range(r.randint(1, 5)):
+            counts[r.randint(1, 12)] += 1
+        lengths, room = [n for n in range(12, 0, -1) if counts[n]], 12
+        ways = [w for w in itertools.product(*[range(counts[n] + 1) for n in lengths]) if sum(k * n for k, n in zip(w, lengths)) <= room]
+        full = [[n for k, n in zip(w, lengths) for _ in range(k)] for w in ways]
+        found = [[n for n, k in f for _ in range(k)] for f in packing._fillings(counts, lengths, room, room, 10_000, 10_000)]
+        assert all(any(brute_dominates(f, way) for f in found) for way in full)      # nothing undominated is missing
+        assert not any(f is not g and brute_dominates(f, g) for f in found for g in found)
+
+
+def test_plan_has_a_few_patterns_a_length():
+    r = random.Random(5)
+    for low, high, number in ((1, 1024, 100_000), (1, 60, 50_000), (250, 700, 5_000)):
+        items = [r.randint(low, high) for _ in range(number)]
+        patterns = packing.plan({x: items.count(x) for x in set(items)}, 1024, nodes=50)
+        assert len(patterns) <= 3 * (high - low + 1) + 320 and len({p for p, _ in patterns}) == len(patterns)
+
+
+def test_ids_are_not_shuffled_and_tasks_go_in_groups(scratch, docs_of, tokenizer, monkeypatch):
+    docs = {i: TEXTS[i % len(TEXTS)] for i in range(60)}
+    df = docs_of(list(docs.items())).repartition(7)
+    for tasks in (packing.TASKS, 3):
+        monkeypatch.setattr(packing, "TASKS", tasks)
+        packed = packing.pack(scratch, df)
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+        check_pack(packed.collect(), docs, tokenizer)
+
+
 def test_empty_and_repeated_rows(scratch, docs_of):
     assert packing.pack(scratch, docs_of([])).count() == 0
     rows = packing.pack(scratch, docs_of([(None, None), (1, "same"), (1, "same")])).collect()
