@@ -74,14 +74,16 @@ def listed_events(events: DataFrame, column: str, codes: DataFrame, most: int =
     """The same rows as ``in_codes``, with the scan pruned by short lists.
 
     The list is measured: up to ``most`` different codes become an in-list, which reaches the scan and skips Parquet row groups
-    (by each code, or for longer lists by their range) and slices of a database; a longer list is joined. The result does not
-    depend on it.
+    (by each code, or for longer lists by their range) and slices of a database. A longer list is joined; its smallest and
+    largest code still reach the scan. The result does not depend on it.
     """
-    known = codes.select(codes["concept_id"].alias("code")).filter("code IS NOT NULL").distinct().limit(most + 1).collect()
+    given = codes.select(codes["concept_id"].alias("code")).filter("code IS NOT NULL")
+    known = given.distinct().limit(most + 1).collect()
     if len(known) > most:
-        return in_codes(events, column, codes).select(*events.columns)
-    kind = events.schema[column].dataType
-    return events.filter(F.col(column).isin(*[F.lit(r["code"]).cast(kind) for r in known]) if known else F.lit(False))
+        low, high = given.agg(F.min("code"), F.max("code")).first()
+        return in_codes(events.filter(F.col(column).between(low, high)), column, codes).select(*events.columns)
+    kind = events.schema[column].dataType   # a code that the column cannot hold is in no row
+    return events.filter(F.col(column).isin(*[F.lit(r["code"]).try_cast(kind) for r in known]) if known else F.lit(False))
 
 
 def in_codes(events: DataFrame, column: str, codes: DataFrame) -> DataFrame:
