@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -178,9 +178,18 @@ class Slots:
         """
         if not (self.both or self.left or self.labels):
             return
+        plain = _WORD.findall(text)
+        heads = _WORD.findall(_shape(text))   # neither lower case nor digits move the white space, so words stay words
+        tails = heads
+        if any(len(word) > REACH for word in plain):
+            heads = [h if len(word) <= REACH else _shape(word[:REACH]) for h, word in zip(heads, plain)]
+            tails = [h if len(word) <= REACH else _shape(word[-REACH:]) for h, word in zip(heads, plain)]
+        keys = self.both.keys() | self.left.keys()
+        after = [0] if "" in keys else []
+        after += [w for w, one in enumerate(tails, 1) if one in keys]
+        if not after and not (self.labels and _CUTS.search(text)):
+            return
         words = [m.span() for m in _WORD.finditer(text)]
-        heads = [_shape(text[i:min(j, i + REACH)]) for i, j in words]
-        tails = [h if j - i <= REACH else _shape(text[j - REACH:j]) for h, (i, j) in zip(heads, words)]
         taken = sorted((i, j) for _, i, j in base)
         reached = list(accumulate((j for _, j in taken), max))
         last = len(words)
@@ -193,8 +202,10 @@ class Slots:
             head = _LABEL.match(text, words[w][0], words[w][1])
             return _trimmed(text, head.end() if head and head.end() < words[w][1] else words[w][0], words[v][1])
 
-        for w, (start, stop) in enumerate(words):
-            one = tails[w - 1] if w else ""
+        for w in after:
+            if w == last:
+                break
+            start, one = words[w][0], tails[w - 1] if w else ""
             rights = self.both.get(one)
             if rights:
                 for v in range(w, min(w + TOKENS, last)):
@@ -213,13 +224,17 @@ class Slots:
                     i, j = spot(w, v)
                     if free(i, j):
                         yield i, j, f"L {two} {one} _"
-            if self.labels and (_CUTS.search(text, start, stop)):
-                inside = [t for t in taken[bisect_left(reached, start + 1):bisect_left(taken, (stop,))] if t[1] > start] if taken else []
-                for i, j, label in _fields(text, start, stop, inside):
-                    if label and _shape(label) in self.labels:
-                        i, j = _trimmed(text, i, j)
-                        if i < j:
-                            yield i, j, f"K {_shape(label)}_"
+        done = 0
+        for m in _CUTS.finditer(text) if self.labels else ():
+            if m.start() < done:
+                continue
+            start, done = words[bisect_right(words, (m.start(), len(text))) - 1]
+            inside = [t for t in taken[bisect_left(reached, start + 1):bisect_left(taken, (done,))] if t[1] > start] if taken else []
+            for i, j, label in _fields(text, start, done, inside):
+                if label and _shape(label) in self.labels:
+                    i, j = _trimmed(text, i, j)
+                    if i < j:
+                        yield i, j, f"K {_shape(label)}_"
 
 
 def candidates(text: str, base: list[Span], min_chars: int, min_digits: int, slots: Slots | None = None) -> list[tuple[int, int, bool, list[str]]]:

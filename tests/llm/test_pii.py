@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import pii
 
+from . import plain_pii
+
 # The patterns as they are defined; only fit for short texts.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -93,3 +95,51 @@ def test_slots_find_identifiers_of_every_shape(scratch, docs_of):
     for i, (text, value) in new.items():
         assert [text[s["start"]:s["stop"]] for s in found[i]["added"]] == ([value] if value else []), text
     assert not any(found[i]["added"] for i, _ in rows)
+
+
+def found_spans(rows):
+    return {r["id"]: [(s["start"], s["stop"]) for s in r["added"]] for r in rows}
+
+
+def test_graph_scores_match_a_plain_version(scratch, docs_of):
+    r = random.Random(12)
+    left, right = ["call", "mail", "see", "the", "id:", "ref="], ["now", "today", "or", "the", "x,", ""]
+    values = [lambda: f"+1 (555) {r.randint(200, 999)}-{r.randint(1000, 9999)}", lambda: f"user{r.randint(1, 60)}@host.org", lambda: f"10.0.0.{r.randint(1, 99)}",
+              lambda: f"AB-{r.randint(100000, 100030)}", lambda: f"v{r.randint(10000, 10400)}.{r.randint(0, 9)}", lambda: "someone", lambda: "me(at)host"]
+    weights = [[r.choice((0, 1, 6)) for _ in values] for _ in range(12)]   # what stands between two words differs from pair to pair
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            k = r.randrange(len(weights))
+            value = r.choices(values, [w + 0.05 for w in weights[k]])[0]()
+            parts.append(f"w{r.randint(1, 40)}x {left[k % 6]} {value} {right[k * 5 % 6]}")
+        texts.append(" ".join(parts))
+    texts += ["", "call", "id:AB-123456"]
+    expected = plain_pii.added_spans(texts)
+    assert found_spans(pii.extract(scratch, docs_of(list(enumerate(texts)))).collect()) == dict(enumerate(expected))
+    assert 20 < sum(map(len, expected))
+
+
+def test_unseen_identifiers_in_real_documents(spark, scratch, docs_of):
+    """Seeds and identifiers of other shapes are planted in supplied texts, in the same contexts."""
+    r = random.Random(21)
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    frames = ["please call me at {} today", "write to {} for details", "account_ref={} ok", "my handle is {} there"]
+    unseen = [lambda k: f"@user_{k}abc", lambda k: f"bob{k}(at)host(dot)org", lambda k: f"555 {k:03d} {r.randint(1000, 9999)}", lambda k: f"DE{k:02d}-XY-{r.randint(10, 99)}"]
+    planted = {}
+    for k, doc in enumerate(r.sample(range(len(texts)), 240)):
+        frame, value = frames[k % 4], (f"+1 (555) {r.randint(200, 999)}-{r.randint(1000, 9999)}" if k < 160 else unseen[k // 4 % 4](k))
+        if k >= 160 and "=" in frame:
+            value = value.replace(" ", "-")   # a field has no spaces
+        words = texts[doc].split(" ")
+        at = r.randint(0, len(words))
+        before = " ".join([*words[:at], frame.split("{}")[0]])
+        texts[doc] = " ".join([*words[:at], frame.format(value), *words[at:]])
+        if k >= 160:
+            begin = before.index(frame.split("{}")[0], max(0, len(before) - len(frame))) + len(frame.split("{}")[0])
+            planted[doc] = (begin, begin + len(value))
+            assert texts[doc][slice(*planted[doc])] == value
+    found = {(i, s) for i, spans in found_spans(pii.extract(scratch, docs_of(list(enumerate(texts)))).collect()).items() for s in spans}
+    hits = len(found & set(planted.items()))
+    assert hits / len(planted) >= 0.9 and hits / len(found) >= 0.9, (hits, len(found), len(planted))
