@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortspark import constants as k
 from cohortspark.sources import ClinicalTables, CodeLists
+from cohortspark.storage import shuffled
 
 # The classes of the covariate drugs, by (concept id * 7) % 19.
 CLASS_CYCLE = (*k.DRUG_CLASSES, "other")
@@ -20,7 +21,7 @@ CLASS_CYCLE = (*k.DRUG_CLASSES, "other")
 def clinical_tables(spark: SparkSession, folder: str) -> ClinicalTables:
     customer, orders, lineitem = (spark.read.parquet(f"{folder}/{t}.parquet")
                                   for t in ("customer", "orders", "lineitem"))
-    shipped = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    shipped = lineitem.join(shuffled(orders), F.col("l_orderkey") == F.col("o_orderkey"))
     return ClinicalTables(
         person=customer.selectExpr(
             "c_custkey AS person_id",

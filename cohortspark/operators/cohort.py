@@ -12,7 +12,7 @@ from cohortspark.functions import (anniversary_years, birth_date, duration_years
                                    stripped_number, within_days)
 from cohortspark.operators.relational import first_event, number_rows
 from cohortspark.sources import contains_any, in_codes
-from cohortspark.storage import Scratch
+from cohortspark.storage import Scratch, shuffled
 
 
 def numeric_lab(measurement: DataFrame, codes: DataFrame, *, value: str = "value_source_value",
@@ -40,7 +40,7 @@ def with_demographics(entry: DataFrame, person: DataFrame) -> DataFrame:
     demographics = person.select("person_id", "gender_concept_id",
                                  birth_date(F.col("year_of_birth"), F.col("month_of_birth"),
                                             F.col("day_of_birth")).alias("birth"))
-    return (entry.join(demographics, "person_id", "left")
+    return (entry.join(shuffled(demographics), "person_id", "left")
             .withColumn("age", duration_years(F.col("birth"), F.col("enroll_date"))))
 
 
@@ -61,8 +61,8 @@ def exclude_if_event(cohort: DataFrame, events: DataFrame, *, start: str, end: s
         first = events.groupBy("person_id").agg(F.min(start).alias("_first"))
         hit = [cohort["person_id"] == first["person_id"],
                first["_first"] <= F.date_add(cohort[anchor], hi)]
-        return cohort.join(first, hit, "left_anti")
-    return cohort.join(_persons_with_event(cohort, events, start, end, anchor, lo, hi, mode),
+        return cohort.join(shuffled(first), hit, "left_anti")
+    return cohort.join(shuffled(_persons_with_event(cohort, events, start, end, anchor, lo, hi, mode)),
                        "person_id", "left_anti")
 
 
@@ -85,7 +85,7 @@ def _persons_with_event(cohort: DataFrame, events: DataFrame, start: str, end: s
     else:
         raise ValueError(f"unknown mode {mode!r}")
     dates = [start] if end is None else [start, end]
-    return (events.select("person_id", *dates).join(anchors, "person_id").filter(hit)
+    return (events.select("person_id", *dates).join(shuffled(anchors), "person_id").filter(hit)
             .select("person_id").distinct())
 
 
@@ -136,8 +136,8 @@ def screen(labs: DataFrame, person: DataFrame, conditions: DataFrame, procedures
     for rule in rules:
         so_far = so_far & rule
         passed = passed + so_far.cast("int")
-    return (with_demographics(lab, person).join(condition, "person_id", "left")
-            .join(procedure, "person_id", "left").join(drug, "person_id", "left")
+    return (with_demographics(lab, person).join(shuffled(condition), "person_id", "left")
+            .join(shuffled(procedure), "person_id", "left").join(shuffled(drug), "person_id", "left")
             .select("person_id", "enroll_date", "birth", "age", "gender_concept_id", passed.alias("passed")))
 
 
@@ -146,7 +146,7 @@ def select_cases(cohort: DataFrame, labs: DataFrame, scratch: Scratch, *,
     """Members with a value above the threshold: first such value, age in birthdays, number in person order."""
     high = labs.filter(F.col("value") > threshold).select("person_id", "measurement_id", "measurement_date", "value")
     first = first_event(high, "person_id", [F.col("measurement_date"), F.col("measurement_id")])
-    cases = (cohort.join(first, "person_id")
+    cases = (cohort.join(shuffled(first), "person_id")
              .select("person_id", "enroll_date", F.col("measurement_date").alias("indexdt"), "birth",
                      anniversary_years(F.col("birth"), F.col("measurement_date")).alias("age"),
                      "value", "gender_concept_id", F.lit(1).alias("TSH")))

@@ -11,6 +11,7 @@ from cohortspark import constants as k
 from cohortspark.functions import if_else
 from cohortspark.operators.exposure import exposures_before
 from cohortspark.operators.intervals import dates_in_windows
+from cohortspark.storage import shuffled
 
 KEY = ["person_id", "case_number"]
 
@@ -18,9 +19,9 @@ KEY = ["person_id", "case_number"]
 def case_control_table(cases: DataFrame, matches: DataFrame, cohort: DataFrame) -> DataFrame:
     """Cases and their controls; a control takes its case's index date and has no value."""
     case_rows = cases.withColumn("indexdt2", F.col("indexdt"))
-    controls = (matches.join(cases.select("case_number", F.col("indexdt").alias("indexdt2")), "case_number")
-                .join(cohort.select("person_id", "enroll_date", "gender_concept_id",
-                                    F.floor("age").cast("int").alias("age")), "person_id")
+    controls = (matches.join(shuffled(cases.select("case_number", F.col("indexdt").alias("indexdt2"))), "case_number")
+                .join(shuffled(cohort.select("person_id", "enroll_date", "gender_concept_id",
+                                             F.floor("age").cast("int").alias("age"))), "person_id")
                 .withColumn("TSH", F.lit(0)))
     columns = ["person_id", "enroll_date", "age", "gender_concept_id", "value", "TSH", "case_number", "indexdt2"]
     return case_rows.unionByName(controls, allowMissingColumns=True).select(*columns)
@@ -97,7 +98,7 @@ def analysis_table(case_control: DataFrame, *parts: DataFrame, bands: Sequence[t
     """Case-control rows with all covariates joined on (person, case), missing flags as 0, age band and entry year."""
     table = case_control
     for part in parts:
-        table = table.join(part, KEY, "left")
+        table = table.join(shuffled(part), KEY, "left")
     return (fill_zero(table, ("CCI", "cdis", "cdr"), ("w", "allo"))
             .withColumns({"agegr": age_group(F.col("age"), bands), "enrollyear": F.year("enroll_date")}))
 

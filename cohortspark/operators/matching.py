@@ -32,20 +32,19 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cohortspark import constants as k
-from cohortspark.storage import Scratch
+from cohortspark.storage import Scratch, shuffled
 
 _LOG = logging.getLogger(__name__)
 _SALTS = 256        # fixed value: controls of a day are numbered by person_id % _SALTS, then person_id
 _BLOCK_BITS = 16
 _CHUNK = 1024        # turns of a page that one row holds
-_FEW = 100_000       # rows of a round up to which its losses are sent to every task
 # Multipliers and key factors of the preference order, odd and below 2**20 so that no product overflows.
 _SCRAMBLE = ((668_265, 374_761, 15_731), (524_309, 789_221, 48_271), (907_633, 126_613, 69_069))
 
 
 def control_pool(cohort: DataFrame, cases: DataFrame) -> DataFrame:
     """Members who never become a case, one row each, with their age in full years at entry."""
-    return (cohort.join(cases.select("person_id"), "person_id", "left_anti")
+    return (cohort.join(shuffled(cases.select("person_id")), "person_id", "left_anti")
             .withColumn("age", F.floor("age").cast("int")))
 
 
@@ -53,7 +52,7 @@ def candidate_counts(cases: DataFrame, pool: DataFrame, *, exact: Sequence[str]
                      age_band: int = k.AGE_BAND, date_band: int = k.ENTRY_BAND) -> DataFrame:
     """Number of eligible controls of every case, without listing them."""
     runs = _runs(_on_grid(cases), _cells(_on_grid(pool), exact), exact, age_band, date_band)
-    return (_on_grid(cases).join(runs, [*exact, "age", "day"], "left")
+    return (_on_grid(cases).join(shuffled(runs), [*exact, "age", "day"], "left")
             .select("case_number", F.coalesce("total", F.lit(0)).cast("bigint").alias("candidates")))
 
 
@@ -69,18 +68,17 @@ def match_controls(cases: DataFrame, pool: DataFrame, scratch: Scratch, *,
     positions = scratch.cut(_positions(pool, exact), "positions")
     served = scratch.cut(_served(cases, pool, tuple(exact), age_band, date_band, controls), "served")
     paths: list[str] = []
-    state, latest, few = None, None, False
+    state, latest = None, None
     while True:
-        asked = _round(served, state, latest, exact, few, seed=seed, page=page, controls=controls)
+        asked = _round(served, state, latest, exact, seed=seed, page=page, controls=controls)
         seen = Observation()
         paths.append(scratch.write(asked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("open").alias("open")), "asked"))
         state, latest = scratch.read(paths, asked.schema), scratch.read(paths[-1], asked.schema)   # one scan of all rounds
         _LOG.info("round %d: %d rows, %d open", len(paths), seen.get["rows"], seen.get["open"])
         if not seen.get["open"]:
             break
-        few = seen.get["rows"] <= _FEW
     held = state.filter("winner = case_number").groupBy(*place).agg(F.min("case_number").alias("case_number"))
-    return held.join(positions, place).select("case_number", "person_id")
+    return shuffled(held).join(positions, place).select("case_number", "person_id")
 
 
 def _scrambled(turn: str, seed: int) -> str:
@@ -90,7 +88,7 @@ def _scrambled(turn: str, seed: int) -> str:
     return f"aggregate(array({keys}), {turn}, (x, k) -> {step} ^ shiftright({step}, 1 + bits DIV 2))"
 
 
-def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None, exact: Sequence[str], few: bool, *, seed: int, page: int,
+def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None, exact: Sequence[str], *, seed: int, page: int,
            controls: int) -> DataFrame:
     """One round as one statement, which is the same in every round after the first, so that its code is compiled once.
 
@@ -98,8 +96,8 @@ def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None,
     before), and of the last round the *short* cases: those that took part or lost a control, and still lack some. A short
     case reads its page (rows of at most ``_CHUNK`` turns), proposes to the first places that no lower case holds, and the
     lowest proposer of a place wins it; every proposer is lower than the holder. A case without a free place on its page keeps
-    one row without a place. ``open`` says that somebody lacks a control after the row. ``few`` is true if the last round had
-    at most ``_FEW`` rows, so that its short cases, at most twice as many, can be sent to every task.
+    one row without a place. ``open`` says that somebody lacks a control after the row. Both joins shuffle, so nothing of a round passes
+    through the driver.
     """
     keys = ", ".join(f"`{c}`" for c in exact)
     same = " AND ".join(f"r.`{c}` = h.`{c}`" for c in (*exact, "strip", "position"))
@@ -110,7 +108,7 @@ def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None,
       losses AS (SELECT * FROM (SELECT case_number, max(cursor) AS cursor, coalesce(max(asked), 0L) + sum(change) AS need FROM events GROUP BY case_number)
                  WHERE need > 0),
       held AS (SELECT {keys}, strip, position, min(case_number) AS holder FROM {{state}} WHERE winner = case_number GROUP BY {keys}, strip, position),
-      short AS (SELECT {'/*+ BROADCAST(losses) */' if few else ''} served.*, cursor, need FROM {{served}} AS served
+      short AS (SELECT /*+ SHUFFLE_HASH(losses) */ served.*, cursor, need FROM {{served}} AS served
                 JOIN losses ON served.case_number = losses.case_number WHERE cursor < {_turns('total')}),"""
     first = f"short AS (SELECT *, 0L AS cursor, {controls}L AS need FROM {{served}}),"
     text = f"""
@@ -125,7 +123,7 @@ def _round(served: DataFrame, state: DataFrame | None, latest: DataFrame | None,
                 FROM numbered WHERE turn < 0 OR number < total),
       rows AS (SELECT case_number, {keys}, need, stop, turn, run.strip AS strip, run.lo + number - run.first AS position FROM named),
       placed AS (SELECT *, position IS NOT NULL AND coalesce(holder > case_number, true) AS free
-                 FROM (SELECT r.*, {'CAST(NULL AS BIGINT) AS holder FROM rows r' if state is None else f'h.holder FROM rows r LEFT JOIN held h ON {same}'})),
+                 FROM (SELECT {'r.*, CAST(NULL AS BIGINT) AS holder FROM rows r' if state is None else f'/*+ SHUFFLE_HASH(h) */ r.*, h.holder FROM rows r LEFT JOIN held h ON {same}'})),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY case_number ORDER BY free DESC, turn NULLS LAST) AS rank FROM placed),
       kept AS (SELECT *, max(CASE WHEN free AND rank = need THEN turn + 1 END) OVER (PARTITION BY case_number) AS reached
                FROM ranked WHERE free AND rank <= need OR NOT free AND rank = 1),
@@ -185,7 +183,7 @@ def _positions(pool: DataFrame, exact: Sequence[str]) -> DataFrame:
     starts = (salted.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
     rank = F.row_number().over(Window.partitionBy(*part).orderBy("person_id"))
-    return (salted.join(starts, part)
+    return (salted.join(shuffled(starts), part)
             .select(*exact, F.col("age").alias("strip"), (F.col("start") + rank - 1).alias("position"), "person_id"))
 
 
@@ -202,9 +200,9 @@ def _served(cases: DataFrame, pool: DataFrame, exact: Sequence[str], age_band: i
     earlier = Window.partitionBy(*cell).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (places.groupBy(*cell, "block").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-              .join(runs, cell).filter(F.col("ahead") * taken_by_each < F.col("total")))
+              .join(shuffled(runs), cell).filter(F.col("ahead") * taken_by_each < F.col("total")))
     in_block = F.row_number().over(Window.partitionBy(*cell, "block").orderBy("case_number"))
-    return (places.join(blocks, [*cell, "block"])
+    return (places.join(shuffled(blocks), [*cell, "block"])
             .withColumn("ahead", F.col("ahead") + in_block - 1)
             .filter(F.col("ahead") * taken_by_each < F.col("total"))
             .select("case_number", *exact, "runs", "total"))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.storage import Scratch
+from cohortspark.storage import Scratch, shuffled
 
 
 @dataclass(frozen=True)
@@ -59,9 +59,9 @@ def _places(cls: type, schema: str, vocabulary: str | None) -> list[tuple[str, s
     return [(f.name, (vocabulary or schema) if f.name.startswith("concept") else schema) for f in fields(cls)]
 
 
-def of_persons(events: DataFrame, persons: DataFrame) -> DataFrame:
+def of_persons(events: DataFrame, persons: DataFrame, key: str = "person_id") -> DataFrame:
     """Events of the given persons, as a join: the ids never pass through the driver."""
-    return events.join(persons.select("person_id").distinct(), "person_id", "left_semi")
+    return events.join(shuffled(persons.select(key).distinct()), key, "left_semi")
 
 
 def dynamic_codes(events: DataFrame, column: str, codes: DataFrame) -> DataFrame:
