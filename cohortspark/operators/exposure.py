@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark import constants as k
 from cohortspark.functions import exposure_end, na_agg, within_days
 from cohortspark.operators.intervals import dates_in_windows, spans_in_windows
+from cohortspark.storage import shuffled
 
 
 def with_exposure_end(drugs: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def scanned_eras(drugs: DataFrame, *, gap: int = k.ERA_GAP, compare: str = "prev
 
     def with_handed(to: DataFrame, what: DataFrame) -> DataFrame:
         same = F.col("person_id").eqNullSafe(F.col("_person")) & (F.col("_block") == F.col("_of"))
-        return to.join(what, same).drop("_person", "_of")
+        return to.join(shuffled(what), same).drop("_person", "_of")
 
     ends = rows.groupBy(*part).agg(F.max_by("_end", "_row").alias("_last_end"), F.max("_end").alias("_latest_end"))
     rows = with_handed(rows, handed(ends, F.lag("_last_end").over(blocks).alias("_end_before"),
@@ -166,7 +167,7 @@ def scanned_eras(drugs: DataFrame, *, gap: int = k.ERA_GAP, compare: str = "prev
 def eras_near_index(eras: DataFrame, cases: DataFrame, *, days: int = k.LOOKBACK_DAYS) -> DataFrame:
     """Eras that last into the look-back window or beyond, with the person's entry and index date."""
     dates = cases.select("person_id", "enroll_date", F.col("indexdt").alias("index_date"))
-    return (eras.join(dates, "person_id")
+    return (eras.join(shuffled(dates), "person_id")
             .filter(F.col("last_intake") > F.date_sub("index_date", days)))
 
 
