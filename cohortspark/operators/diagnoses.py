@@ -9,6 +9,7 @@ from cohortspark import constants as k
 from cohortspark.functions import if_else
 from cohortspark.operators.relational import first_event
 from cohortspark.sources import literal_table
+from cohortspark.storage import shuffled
 
 PAIR = ["person_id", "condition_concept_id"]
 
@@ -18,7 +19,7 @@ def classify(conditions: DataFrame, anchors: DataFrame) -> DataFrame:
     dates = anchors.select("person_id", "index_date").distinct()
     date, index = F.col("condition_start_date"), F.col("index_date")
     when = if_else(date < index, F.lit("before"), if_else(date > index, F.lit("after"), F.lit("same")))
-    return (conditions.select(*PAIR, "condition_start_date").join(dates, "person_id")
+    return (conditions.select(*PAIR, "condition_start_date").join(shuffled(dates), "person_id")
             .withColumn("condition", when))
 
 

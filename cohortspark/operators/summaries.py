@@ -12,6 +12,7 @@ from cohortspark import constants as k
 from cohortspark.functions import na_agg, stripped_number
 from cohortspark.operators.intervals import dates_in_windows
 from cohortspark.operators.relational import group_extreme, mean_and_n
+from cohortspark.storage import shuffled
 
 
 def frequency_table(df: DataFrame, *, outcome: str = "TSH",
@@ -76,7 +77,7 @@ def before_after(eras: DataFrame, measurement: DataFrame, *, column: str = "meas
     persons = eras.groupBy("person_id", "index_date").agg(F.max("start_date").alias("_last_start"))
     tests = (measurement.withColumn("_set", belongs).filter(F.col("_set").isNotNull())
              .select("_set", "person_id", "measurement_id", "measurement_date", "value_source_value")
-             .join(persons, "person_id"))
+             .join(shuffled(persons), "person_id"))
 
     text, day = F.col("value_source_value"), F.col("measurement_date")
     lowest = na_agg(F.min, text).try_cast("double") if string_min else na_agg(F.min, stripped_number(text))
