@@ -164,7 +164,8 @@ class Study:
 
     @cached_property
     def new_codes(self) -> DataFrame:
-        return diagnoses.roll_up(self.new_pairs, self.tables.concept_relationship, self.tables.concept)
+        """Written once, for the list of codes and the chapters: a row per code, made from all conditions."""
+        return self.scratch.cut(diagnoses.roll_up(self.new_pairs, self.tables.concept_relationship, self.tables.concept), "new-codes")
 
     @cached_property
     def new_chapters(self) -> DataFrame:

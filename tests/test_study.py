@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from checks import oracle
 from checks.binding import clinical_tables, code_lists
 from cohortspark import constants as k
-from cohortspark.operators import clogit, cohort, covariates, summaries
+from cohortspark.operators import clogit, cohort, covariates, exposure, matching, summaries
+from cohortspark.operators.intervals import dates_in_windows
 from cohortspark.plans.parameters import StudyParameters
 from cohortspark.plans.study import Study
 from cohortspark.sources import csv_codes
@@ -127,3 +128,48 @@ def test_ties_and_laboratory_summary_read_their_rows_once(spark, study):
 
     plan = executed(group_extreme(study.labs, "person_id", "value", largest=True))
     assert "WindowGroupLimit" in plan and plan.count("Scan") == 1 and "Join" not in plan
+
+
+def broadcast_keys(df):
+    """The first join key of every join in the plan that sends a side to all tasks."""
+    return re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_tables_of_persons_and_events_are_not_broadcast(study):
+    """However small they are here: by the size of their files they would be sent up to a size that strains the driver."""
+    t = study.tables
+    cases, pool = (matching._on_grid(x) for x in (study.cases, study.pool))
+    served = matching._served(cases, pool, ("gender_concept_id",), 2, 90, 4)
+    plans = {
+        "screen": cohort.screen(study.labs, t.person, t.condition_occurrence, t.procedure_occurrence, t.drug_exposure),
+        "pool": matching.control_pool(study.cohort, study.cases), "counts": matching.candidate_counts(study.cases, study.pool),
+        "positions": matching._positions(pool, ["gender_concept_id"]), "served": served,
+        "case_control": covariates.case_control_table(study.cases, study.matches, study.cohort),
+        "exposures": study.exposures, "overlap": exposure.exposure_window(study.case_control, study.target_drugs, mode="overlap"),
+        "eras": exposure.eras_near_index(study.eras, study.exposed), "period": summaries.labs_in_period(study.labs, study.period),
+        "series": summaries.before_after(study.near_eras, t.measurement), "pairs": study.new_pairs}
+    grows = {"person_id", "case_number", "l_orderkey", "o_orderkey", "o_custkey", "gender_concept_id"}
+    assert {name: sent for name, df in plans.items() if (sent := grows & set(broadcast_keys(df)))} == {}
+
+
+def test_rounds_of_the_matching_are_not_broadcast(study):
+    cases, pool = (matching._on_grid(x) for x in (study.cases, study.pool))
+    served = matching._served(cases, pool, ("gender_concept_id",), 2, 90, 4)
+    asked = matching._round(served, None, None, ["gender_concept_id"], seed=1, page=32, controls=4)
+    later = matching._round(served, asked, asked, ["gender_concept_id"], seed=1, page=32, controls=4)
+    assert not {"case_number", "gender_concept_id"} & set(broadcast_keys(later))
+
+
+def test_new_codes_are_made_once(study):
+    """The chapters read the written list of codes, not the conditions again."""
+    plan = study.new_chapters._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "condition_concept_id" not in plan
+
+
+def test_events_meet_only_windows_of_their_person(spark):
+    """Null and repeated keys: the events left out early are those that meet no window anyway."""
+    anchors = spark.createDataFrame([(1, 10, 20), (1, 10, 20), (2, 5, 6), (None, 1, 90)], "person_id long, a int, b int")
+    events = spark.createDataFrame([(1, 15), (1, 15), (1, 21), (2, 5), (3, 15), (None, 15), (2, None)], "person_id long, d int")
+    dated = events.select("person_id", F.date_from_unix_date("d").alias("day"))
+    met = dates_in_windows(anchors, dated, ["day"], F.date_from_unix_date("a"), F.date_from_unix_date("b"), width=7)
+    assert sorted(tuple(r) for r in met.select("person_id", F.unix_date("day")).collect()) == [(1, 15)] * 4 + [(2, 5)]
